@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 SPAN = 1 << 52
 
 
-def priority(seed: int, ids: list[str], hasher: str = "md5") -> Column:
+def priority(seed: int, ids: list[str], hasher: str = "xxhash64") -> Column:
     """A 52-bit integer drawn from the seed and the id columns.
 
-    ``md5`` takes the first 13 hex digits of md5('seed:id1:id2...'), which any SQL
-    engine can recompute; ``xxhash64`` is several times faster.
+    ``xxhash64`` takes the upper bits of Spark's own 64-bit hash. ``md5`` takes the
+    first 13 hex digits of md5('seed:id1:id2...'), which any SQL engine can
+    recompute, at about ten times the cost.
     """
     if hasher == "md5":
         text = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in ids])

@@ -74,7 +74,7 @@ def draw_sample(
     ids: Iterable[str],
     seed: int = 0,
     method: str = "rank",
-    hasher: str = "md5",
+    hasher: str = "xxhash64",
     slack: tuple[float, float] = SLACK,
     bucket_rows: int = BUCKET_ROWS,
     broadcast_bytes: int = BROADCAST_BYTES,
@@ -93,10 +93,8 @@ def draw_sample(
     keys = resolve_all(data, ids)
     columns = data.columns
     keyed = data.withColumn(P, priority(seed, keys, hasher))
-    strata = materialize(
-        allocation.where(F.col("si") > 0).select(
-            *groups, F.col("si").alias("_si"), F.col("n").alias("_n")
-        )
+    strata = allocation.where(F.col("si") > 0).select(
+        *groups, F.col("si").alias("_si"), F.col("n").alias("_n")
     )
     if method == "skip":
         numbered = materialize(strata.withColumn("_sid", F.monotonically_increasing_id()))
@@ -116,6 +114,10 @@ def draw_sample(
     found = candidates(strata.withColumn("_limit", limit))
     counts = materialize(bucket_counts(found, groups))
 
+    # No stratum gives more than si, so equal sums mean that none came out short.
+    taken = counts.agg(F.sum("_take")).first()[0]
+    if taken == strata.agg(F.sum("_si")).first()[0]:
+        return pick(found, counts)
     totals = counts.groupBy(*groups).agg(F.sum("_rows").alias("_found"))
     short = materialize(
         strata.join(totals, groups, "left")

@@ -48,7 +48,7 @@ def stratified_sample(
     weights: DataFrame | Sequence[float] | None = None,
     seed: int = 0,
     method: str = "rank",
-    hasher: str = "md5",
+    hasher: str = "xxhash64",
     cv: str = "signed",
     on_bad: str = "drop",
     on_mismatch: str = "error",
@@ -73,7 +73,6 @@ def stratified_sample(
         stats = stratum_stats(df, groups, number, on_bad=on_bad)
         if digits is not None:
             stats = round_stats(stats, digits)
-        stats = materialize(stats)
     sizes = materialize(allocate(stats, groups, budget, weights, cv, on_mismatch))
     drawn = draw_sample(rows, sizes, groups, keys, seed, method, hasher)
-    return SampleRun(groups, number, keys, stats, sizes, drawn)
+    return SampleRun(groups, number, keys, sizes.drop("si"), sizes, drawn)

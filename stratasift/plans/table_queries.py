@@ -44,6 +44,8 @@ from stratasift.streaming.stats import stats_writer
 
 DIGITS = 6
 SEED = 7
+# Priorities and figures that SQL can recompute.
+SQL_SAMPLE = {"seed": SEED, "hasher": "md5", "digits": DIGITS}
 
 ORDERS = ["o_orderpriority", "o_orderstatus"]
 LINES = ["l_returnflag", "l_linestatus"]
@@ -240,7 +242,7 @@ def orders_run(spark, sf_dir, **options) -> SampleRun:
     orders = table(spark, sf_dir, "orders")
     return stratified_sample(
         orders, ORDERS, "o_totalprice", orders.count() // 30, ["o_orderkey"],
-        seed=SEED, digits=DIGITS, **options,
+        **{**SQL_SAMPLE, **options},
     )
 
 
@@ -248,7 +250,7 @@ def events_run(spark, sf_dir, **options) -> SampleRun:
     events = table(spark, sf_dir, "events")
     return stratified_sample(
         events, ["event_type"], "value", events.count() // 20, ["event_id"],
-        seed=SEED, digits=DIGITS, **options,
+        **{**SQL_SAMPLE, **options},
     )
 
 
@@ -256,14 +258,14 @@ def documents_run(spark, sf_dir, **options) -> SampleRun:
     docs = table(spark, sf_dir, "documents")
     return stratified_sample(
         docs, DOCS, "n_chars", docs.count() // 2, ["doc_id"],
-        seed=SEED, digits=DIGITS, **options,
+        **{**SQL_SAMPLE, **options},
     )
 
 
 def lineitem_run(spark, sf_dir, **options) -> SampleRun:
     lines = table(spark, sf_dir, "lineitem")
     return stratified_sample(
-        lines, LINES, "l_quantity", lines.count() // 60, seed=SEED, digits=DIGITS, **options
+        lines, LINES, "l_quantity", lines.count() // 60, **{**SQL_SAMPLE, **options}
     )
 
 
@@ -284,6 +286,10 @@ def stratified_sample_lineitem(spark, sf_dir):
     return lineitem_run(spark, sf_dir).sample
 
 
+def stratified_sample_orders_fast(spark, sf_dir):
+    return orders_run(spark, sf_dir, hasher="xxhash64").sample
+
+
 def skip_sample_events(spark, sf_dir):
     return events_run(spark, sf_dir, method="skip").sample
 
@@ -369,7 +375,8 @@ def stream_sample_events(spark, sf_dir):
     folder = run_folder(spark)
     rows = stream(spark, sf_dir, "events").select("event_id", "event_type", "value")
     writer = sample_writer(
-        rows, sizes, ["event_type"], ["event_id"], f"{folder}/sample", f"{folder}/state", SEED
+        rows, sizes, ["event_type"], ["event_id"], f"{folder}/sample", f"{folder}/state",
+        SEED, "md5",
     )
     writer.trigger(availableNow=True).start().awaitTermination()
     return read_sample(spark, f"{folder}/sample")
@@ -395,6 +402,12 @@ def idle_publish_events(spark, sf_dir):
 def idle_emit_events(spark, sf_dir):
     """Each kind emitted once by its own timer."""
     folder = run_folder(spark)
+    # The state has a row per kind: as many state partitions as cores are plenty.
+    partitions = min(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     emitted = idle_stats(stream(spark, sf_dir, "events"), ["event_type"], "value", 1000)
 
     def store(batch: DataFrame, number: int) -> None:
@@ -407,6 +420,7 @@ def idle_emit_events(spark, sf_dir):
         .trigger(processingTime="200 milliseconds")
         .start()
     )
+    spark.conf.set("spark.sql.shuffle.partitions", usual)
     try:
         if not await_idle(query, 3000):
             raise TimeoutError("the stream did not go quiet")
@@ -438,6 +452,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "allocate_parts": allocate_parts,
     "allocate_lineitem_supplier": allocate_lineitem_supplier,
     "stratified_sample_orders": stratified_sample_orders,
+    "stratified_sample_orders_fast": stratified_sample_orders_fast,
     "stratified_sample_events": stratified_sample_events,
     "stratified_sample_documents": stratified_sample_documents,
     "stratified_sample_lineitem": stratified_sample_lineitem,

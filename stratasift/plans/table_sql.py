@@ -85,11 +85,13 @@ def allocate(source: str, by: list[str], value: str, budget: str, **options: str
 SELECT {joined(by)}, mean, std, n, si FROM allocated"""
 
 
-def sampling(source: str, by: list[str], value: str, budget: str, ids: list[str]) -> str:
+def sampling(
+    source: str, by: list[str], value: str, budget: str, ids: list[str], priority: str = ""
+) -> str:
     """WITH-clause body ending in ``allocated`` and ``sampled``."""
     text = f"concat_ws(':', '{SEED}', " + joined([f"CAST(d.{c} AS VARCHAR)" for c in ids]) + ")"
     groups = joined([f"d.{c}" for c in by])
-    order = joined([f"substr(md5({text}), 1, 13)", *[f"d.{c}" for c in ids]])
+    order = joined([priority or f"substr(md5({text}), 1, 13)", *[f"d.{c}" for c in ids]])
     return f"""{allocation(source, by, value, budget)},
 sampled AS (
   SELECT * FROM (
@@ -100,12 +102,60 @@ sampled AS (
 
 
 def sample(
-    source: str, by: list[str], value: str, budget: str, ids: list[str], columns: list[str]
+    source: str, by: list[str], value: str, budget: str, ids: list[str], columns: list[str],
+    priority: str = "",
 ) -> str:
-    return f"""WITH {sampling(source, by, value, budget, ids)}
+    return f"""WITH {sampling(source, by, value, budget, ids, priority)}
 SELECT {joined(columns)} FROM sampled"""
 
 
+# The five primes of XXH64 and the seed's own hash, xxhash64(7).
+XXH_PRIMES = (
+    11400714785074694791,
+    14029467366897019727,
+    1609587929392839161,
+    9650029242287828579,
+    2870177450012600261,
+)
+XXH_SEED_HASH = 2786828215451145335
+WORD = 1 << 64
+
+
+def xxhash_rows(source: str, key: str) -> str:
+    """``source`` with ``p``, the upper 52 bits of XXH64 of a bigint key."""
+    p1, p2, p3, p4, p5 = XXH_PRIMES
+
+    def times(x: str, prime: int) -> str:
+        return f"(({x}) * CAST({prime} AS UHUGEINT)) % CAST({WORD} AS UHUGEINT)"
+
+    def rotated(x: str, bits: int) -> str:
+        low, high = 1 << bits, 1 << (64 - bits)
+        return (
+            f"((({x}) % CAST({high} AS UHUGEINT)) * CAST({low} AS UHUGEINT)"
+            f" + ({x}) // CAST({high} AS UHUGEINT))"
+        )
+
+    def folded(x: str, bits: int) -> str:
+        return f"xor({x}, ({x}) // CAST({1 << bits} AS UHUGEINT))"
+
+    start = (XXH_SEED_HASH % WORD + p5 + 8) % WORD
+    steps = [
+        times(f"CAST({key} AS UHUGEINT)", p2),
+        times(rotated("x", 31), p1),
+        f"xor(CAST({start} AS UHUGEINT), x)",
+        f"({times(rotated('x', 27), p1)} + CAST({p4} AS UHUGEINT)) % CAST({WORD} AS UHUGEINT)",
+        folded("x", 33),
+        times("x", p2),
+        folded("x", 29),
+        times("x", p3),
+        folded("x", 32),
+    ]
+    query = f"SELECT *, {steps[0]} AS x FROM {source}"
+    for step in steps[1:]:
+        query = f"SELECT * REPLACE ({step} AS x) FROM ({query})"
+    return f"(SELECT * EXCLUDE (x), CAST(x // 4096 AS BIGINT) AS p FROM ({query}))"
+
+
 def report(source: str, by: list[str], value: str, budget: str, ids: list[str]) -> str:
     return f"""WITH {sampling(source, by, value, budget, ids)}
 SELECT {joined(by)}, any_value(mean) AS mean, any_value(std) AS std, any_value(n) AS n,
@@ -214,6 +264,10 @@ FROM s""",
     "stratified_sample_orders": sample(
         *ORDERS_SAMPLE, [*ORDERS, "o_orderkey", "o_totalprice"]
     ),
+    "stratified_sample_orders_fast": sample(
+        xxhash_rows("orders", "o_orderkey"), *ORDERS_SAMPLE[1:],
+        [*ORDERS, "o_orderkey", "o_totalprice"], "d.p",
+    ),
     "stratified_sample_events": sample(*EVENTS_SAMPLE, EVENTS_OUT),
     "stratified_sample_documents": sample(*DOCS_SAMPLE, DOCS_OUT),
     "stratified_sample_lineitem": sample(

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from stratasift.functions.columns import resolve, resolve_all
 from stratasift.operators.clean import clean
 from stratasift.sources.stats_table import write_stats
-from stratasift.streaming.slots import read_latest
+from stratasift.streaming.slots import read_slot
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -123,29 +123,35 @@ def idle_stats(
     )
 
 
-def _ended(progress) -> float:
+def _times(progress) -> tuple[float, float]:
+    """When a batch started and ended, in seconds."""
     started = datetime.fromisoformat(progress["timestamp"].replace("Z", "+00:00")).timestamp()
-    return started + progress["batchDuration"] / 1000
+    return started, started + progress["batchDuration"] / 1000
 
 
 def await_idle(query: StreamingQuery, quiet_ms: int, limit_s: float = 600.0) -> bool:
     """Wait until a query had rows and then none for ``quiet_ms``.
 
-    True once that holds and no batch is running; False after ``limit_s`` seconds.
+    True once that holds and either no batch is running or a batch without rows,
+    started after the quiet time, has ended; False after ``limit_s`` seconds.
     """
     deadline = time.time() + limit_s
     last_rows = None
-    seen = -1
     while time.time() < deadline:
         if query.exception() is not None:
             raise query.exception()
+        quiet_from = float("inf")
         for progress in query.recentProgress:
-            if progress["batchId"] >= seen and progress["numInputRows"] > 0:
-                seen = progress["batchId"]
-                last_rows = max(last_rows or 0.0, _ended(progress))
+            started, ended = _times(progress)
+            if progress["numInputRows"] > 0:
+                last_rows = max(last_rows or 0.0, ended)
+            elif last_rows is not None and started > last_rows + quiet_ms / 1000:
+                return True
+        if last_rows is not None:
+            quiet_from = last_rows + quiet_ms / 1000
         status = query.status
-        still = not status["isTriggerActive"] and not status["isDataAvailable"]
-        if last_rows is not None and still and time.time() - last_rows > quiet_ms / 1000:
+        waiting = not status["isTriggerActive"] and not status["isDataAvailable"]
+        if waiting and time.time() > quiet_from:
             return True
         time.sleep(0.05)
     return False
@@ -162,5 +168,6 @@ def publish_when_idle(
     """
     if not await_idle(query, quiet_ms):
         raise TimeoutError("the stream did not go quiet")
-    write_stats(read_latest(spark, path), target)
+    # The slot of a finished batch is not written while the next batch runs.
+    write_stats(read_slot(spark, path, query.lastProgress["batchId"]), target)
     return spark.read.parquet(target)

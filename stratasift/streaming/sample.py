@@ -25,7 +25,7 @@ def sample_writer(
     path: str,
     checkpoint: str,
     seed: int = 0,
-    hasher: str = "md5",
+    hasher: str = "xxhash64",
 ) -> DataStreamWriter:
     """A writer that keeps, after every batch, the sample of all rows so far.
 
