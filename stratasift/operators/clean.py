@@ -39,6 +39,8 @@ def clean(
         raise ValueError(f"on_bad must be 'drop' or 'fail', not {on_bad!r}")
     groups = resolve_all(df, by)
     name = resolve(df, value)
+    if name in groups:
+        raise ValueError(f"{name} is both the value and a group column")
     extra = [resolve(df, c) for c in keep]
     number = F.col(name).try_cast("double")
     if on_bad == "fail":
