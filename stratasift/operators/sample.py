@@ -3,9 +3,9 @@
 The sample of a stratum is its ``si`` rows of smallest seeded priority. Three steps
 keep hot strata out of single tasks and the shuffle near the size of the sample:
 
-1. Cut while scanning. With n rows in the stratum, its si smallest of n uniform
-   priorities lie below (si + 8 sqrt(si) + 40) / n but for a chance near 1e-15, so
-   rows above that limit are dropped before any shuffle.
+1. Cut while scanning. With n rows in the stratum, the si smallest of its n uniform
+   priorities lie below (sqrt(si) + 3.5)^2 / n = (si + 7 sqrt(si) + 12.25) / n but for
+   a chance near 1e-9, so rows above that limit are dropped before any shuffle.
 2. Count per bucket. Candidates fall in priority buckets of a few thousand rows;
    running sums over the buckets tell how many rows to take from each.
 3. Rank inside (stratum, bucket), never across a whole stratum.
@@ -30,7 +30,7 @@ from stratasift.session import materialize
 
 BUCKET_ROWS = 4096
 MAX_BUCKETS = 1 << 16
-SLACK = (8.0, 40.0)
+SLACK = (7.0, 12.25)
 
 P = "_p"
 
@@ -84,8 +84,9 @@ def draw_sample(
     ``allocation`` gives ``si`` and ``n`` per stratum, as :func:`allocate` makes it.
     ``ids`` identify a row; see :func:`number_copies` where no column does. Strata
     without an allocation are left out; a stratum with fewer than ``si`` rows is
-    taken whole. ``method='skip'`` prunes every input partition with per-stratum
-    reservoirs and so needs no faith in ``n``; it picks the same rows as ``'rank'``.
+    taken whole. ``method='skip'`` also runs the rows below the limit through
+    reservoirs, one per stratum and input partition, which skip most rows where no
+    limit can be set; it picks the same rows as ``'rank'``.
     """
     if method not in ("rank", "skip"):
         raise ValueError(f"method must be 'rank' or 'skip', not {method!r}")
@@ -97,12 +98,12 @@ def draw_sample(
         *groups, F.col("si").alias("_si"), F.col("n").alias("_n")
     )
     if method == "skip":
-        numbered = materialize(strata.withColumn("_sid", F.monotonically_increasing_id()))
-        held = attach(keyed, numbered, groups, P, broadcast_bytes=broadcast_bytes).drop("_n")
-        keyed = prune_partitions(held, "_sid", "_si", P).drop("_sid", "_si")
+        strata = materialize(strata.withColumn("_sid", F.monotonically_increasing_id()))
 
     def candidates(table: DataFrame) -> DataFrame:
         near = attach(keyed, table, groups, P, "_limit", broadcast_bytes)
+        if method == "skip":
+            near = prune_partitions(near, "_sid", "_si", P)
         expected = F.col("_n") * (F.col("_limit") / SPAN)
         return materialize(bucketed(near, expected, bucket_rows))
 

@@ -78,6 +78,32 @@ def test_hot_stratum_is_salted(spark, monkeypatch):
     assert whole.exceptAll(salted).count() == 0 and salted.count() == 3000
 
 
+@pytest.mark.parametrize("slots", [1 << 20, 4])
+def test_cut_by_slot(spark, tables, monkeypatch, slots):
+    from stratasift.operators import joins, sample
+
+    cuts = []
+    cut = joins._cut_by_slot
+
+    def counted(rows, table, by, spread, limit, _):
+        out = cut(rows, table, by, spread, limit, slots)
+        cuts.append(out.count() / rows.count())
+        return out
+
+    monkeypatch.setattr(joins, "_cut_by_slot", counted)
+    orders = tables("orders", "0.01").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    by = ["o_orderpriority"]
+    sizes = allocate(stratum_stats(orders, by, "o_totalprice"), by, 100)
+    plain = sample.draw_sample(orders, sizes, by, ["o_orderkey"], 1)
+    assert not cuts
+    cut_first = sample.draw_sample(orders, sizes, by, ["o_orderkey"], 1, broadcast_bytes=0)
+    assert len(cuts) == 1 and cuts[0] < 0.05
+    assert plain.count() == 100 and plain.exceptAll(cut_first).count() == 0
+    # Other key types in the allocation than in the data: joined, but not cut.
+    wide = sizes.withColumn("o_orderpriority", F.col("o_orderpriority").cast("varchar(20)"))
+    assert draw_sample(orders, wide, by, ["o_orderkey"], 1, broadcast_bytes=0).count() == 100
+
+
 def test_partitioning_and_order_do_not_matter(docs, sizes):
     one = draw_sample(docs, sizes, BY, ["doc_id"], 3)
     other = draw_sample(docs.orderBy(F.rand(1)).repartition(7), sizes, BY, ["doc_id"], 3)
