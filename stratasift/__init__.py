@@ -1,6 +1,6 @@
 """Variance-aware stratified sampling on Spark DataFrames."""
 
-from stratasift.operators.allocate import allocate, shares
+from stratasift.operators.allocate import allocate, shares, totals
 from stratasift.operators.clean import clean, project, rejected
 from stratasift.operators.copies import number_copies
 from stratasift.operators.report import nested_report, report_lines, sample_report, sample_stats
@@ -33,4 +33,5 @@ __all__ = [
     "sort_stats",
     "stratified_sample",
     "stratum_stats",
+    "totals",
 ]

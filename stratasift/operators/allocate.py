@@ -17,6 +17,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def _weighted(
             raise ValueError(f"{len(given)} weights for {strata} strata")
         ranked = global_rank(stats, [stratum(by), *map(F.col, by)], "_place", strata, small)
         listed = stats.sparkSession.createDataFrame(
-            list(enumerate(given, 1)), "_place bigint, weight double"
+            pa.table({"_place": pa.array(range(1, strata + 1), pa.int64()), "weight": given})
         )
         joined = ranked.join(listed, "_place", "left").drop("_place")
     else:
@@ -75,6 +76,24 @@ def _with_gamma(
     return materialize(weighted.withColumn("gamma", gamma).drop("_w"))
 
 
+def _totals(rows: DataFrame) -> DataFrame:
+    return rows.agg(
+        F.count("*").alias("strata"), F.sum("n").alias("rows"), F.sum("gamma").alias("gamma")
+    )
+
+
+def totals(
+    stats: DataFrame,
+    by: Iterable[str],
+    weights: DataFrame | Sequence[float] | None = None,
+    cv: str = "signed",
+    on_mismatch: str = "error",
+) -> DataFrame:
+    """One row: number of strata, rows in them, sum of ``gamma``."""
+    groups = resolve_all(stats, by)
+    return _totals(_with_gamma(stats, groups, weights, cv, on_mismatch, SMALL_RANK))
+
+
 def shares(
     stats: DataFrame,
     by: Iterable[str],
@@ -85,7 +104,7 @@ def shares(
     """Statistics with ``gamma`` (weighted coefficient of variation) and ``share``."""
     groups = resolve_all(stats, by)
     rows = _with_gamma(stats, groups, weights, cv, on_mismatch, SMALL_RANK)
-    total = rows.agg(F.sum("gamma")).first()[0]
+    total = _totals(rows).first()["gamma"]
     return rows.withColumn("share", divide(F.col("gamma"), F.lit(total)))
 
 
@@ -149,9 +168,8 @@ def allocate(
     groups = resolve_all(stats, by)
     rows = _with_gamma(stats, groups, weights, cv, on_mismatch, small)
 
-    strata, held, gamma, distinct = rows.agg(
-        F.count("*"), F.sum("n"), F.sum("gamma"), F.count_distinct(*groups)
-    ).first()
+    strata, held, gamma = _totals(rows).first()
+    distinct = rows.select(*groups).distinct().count()
     if strata != distinct:
         raise ValueError(f"{strata} statistics rows for {distinct} strata")
     if budget > (held or 0):

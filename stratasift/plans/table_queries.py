@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratasift.functions.columns import stratum
-from stratasift.operators.allocate import allocate, shares
+from stratasift.operators.allocate import allocate, shares, totals
 from stratasift.operators.clean import clean, project, rejected
 from stratasift.operators.copies import number_copies
 from stratasift.operators.stats import (
@@ -178,6 +178,13 @@ def share_orders(spark, sf_dir):
     return rounded(shares(stats, ORDERS), "gamma", "share", digits=9)
 
 
+def totals_documents(spark, sf_dir):
+    """Strata, rows and total weighted coefficient of variation."""
+    stats = stored_stats(table(spark, sf_dir, "documents"), DOCS, "n_chars")
+    weights = stats.select(*DOCS, F.length("lang").cast("double").alias("weight"))
+    return rounded(totals(stats, DOCS, weights), "gamma")
+
+
 def allocate_documents_give(spark, sf_dir):
     stats = stored_stats(table(spark, sf_dir, "documents"), DOCS, "n_chars")
     return allocate(stats, DOCS, held(stats) // 2)
@@ -442,6 +449,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "merge_stats_lineitem": merge_stats_lineitem,
     "stats_records_orders": stats_records_orders,
     "share_orders": share_orders,
+    "totals_documents": totals_documents,
     "allocate_documents_give": allocate_documents_give,
     "allocate_documents_take": allocate_documents_take,
     "allocate_weight_list": allocate_weight_list,

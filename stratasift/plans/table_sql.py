@@ -232,6 +232,10 @@ FROM ({stats("orders", ORDERS, "o_totalprice")})""",
 SELECT {joined(ORDERS)}, mean, std, n, round(std / mean, 9) AS gamma,
        round((std / mean) / (SELECT sum(std / mean) FROM s), 9) AS share
 FROM s""",
+    "totals_documents": f"""
+SELECT count(*) AS strata, CAST(sum(n) AS BIGINT) AS rows,
+       round(sum(sqrt(length(lang)) * (std / mean)), 6) AS gamma
+FROM ({stats("documents", DOCS, "n_chars")})""",
     "allocate_documents_give": allocate("documents", DOCS, "n_chars", "rows // 2"),
     "allocate_documents_take": allocate(
         "documents", DOCS, "n_chars", "strata + 1",
