@@ -41,6 +41,7 @@ def _weighted(
         return stats.withColumn("_w", F.lit(1.0))
     if not isinstance(weights, DataFrame):
         given = [float(w) for w in weights]
+        stats = materialize(stats)  # counted here and ranked below
         strata = stats.count()
         if len(given) != strata:
             if on_mismatch == "ignore":

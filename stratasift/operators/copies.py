@@ -9,36 +9,43 @@ from pyspark.sql import functions as F
 
 from stratasift.functions.columns import resolve_all
 
-CHUNK = 1_000_000
+FEW_COPIES = 1_000
+PIECE_COPIES = 100_000
 
 
 def number_copies(
-    df: DataFrame, columns: Iterable[str | int], name: str = "copy_no", chunk: int = CHUNK
+    df: DataFrame,
+    columns: Iterable[str | int],
+    name: str = "copy_no",
+    few: int = FEW_COPIES,
+    piece: int = PIECE_COPIES,
 ) -> DataFrame:
     """The chosen columns with equal rows numbered 1, 2, ...
 
     The columns and the number together are a unique id that does not depend on
     partitioning or order. Equal rows are counted before the shuffle and written
-    out again after it, so a value with very many copies is no hot key; runs
-    longer than ``chunk`` are first cut in pieces that are spread over the tasks.
+    out again after it, so a value with very many copies is no hot key. Rows with
+    more than ``few`` copies are cut in pieces that are dealt to a fixed number of
+    partitions; adaptive execution, which sees only the small pieces, could put all
+    of them in one task.
     """
     names = resolve_all(df, columns)
+    spark = df.sparkSession
+    partitions = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
     counted = df.groupBy(*names).agg(F.count("*").alias("_copies"))
+    first, one = F.col("_first"), F.lit(1).cast("bigint")
 
-    few = counted.where(F.col("_copies") <= chunk).select(
-        *names, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))).alias(name)
+    in_place = counted.where(F.col("_copies") <= few).select(
+        *names, F.explode(F.sequence(one, F.col("_copies"))).alias(name)
     )
+    starts = F.sequence(one, F.col("_copies"), F.lit(piece).cast("bigint"))
     pieces = (
-        counted.where(F.col("_copies") > chunk)
-        .select(
-            *names,
-            "_copies",
-            F.explode(
-                F.sequence(F.lit(1).cast("bigint"), F.col("_copies"), F.lit(chunk).cast("bigint"))
-            ).alias("_first"),
-        )
-        .repartition(*names, "_first")
+        counted.where(F.col("_copies") > few)
+        .select(*names, "_copies", F.explode(starts).alias("_first"))
+        .repartition(partitions, *names, "_first")
     )
-    last = F.least(F.col("_copies"), F.col("_first") + (chunk - 1))
-    many = pieces.select(*names, F.explode(F.sequence(F.col("_first"), last)).alias(name))
-    return few.unionByName(many)
+    last = F.least(F.col("_copies"), first + (piece - 1))
+    dealt = pieces.select(*names, F.explode(F.sequence(first, last)).alias(name))
+    return in_place.unionByName(dealt)

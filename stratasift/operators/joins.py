@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratasift.functions.priority import SPAN
@@ -15,15 +15,12 @@ LIMIT_SLOTS = 1 << 20
 _SALT = "_salt"
 
 
-def table_bytes(table: DataFrame, by: list[str]) -> int:
-    """An upper estimate of a per-stratum table's size in memory.
-
-    ``table`` must be cheap to read (materialised or stored).
-    """
+def table_bytes(table: DataFrame, by: list[str]) -> Column:
+    """Aggregate: an upper estimate of a per-stratum table's size in memory."""
     width = F.lit(ROW_OVERHEAD + 16 * len(table.columns))
     for c in by:
         width = width + F.octet_length(F.col(c).cast("string"))
-    return table.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    return F.coalesce(F.sum(width), F.lit(0))
 
 
 def _cut_by_slot(
@@ -52,6 +49,7 @@ def attach(
     spread: str,
     limit: str | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
+    size: int | None = None,
     slots: int = LIMIT_SLOTS,
 ) -> DataFrame:
     """Inner join of ``rows`` with the per-stratum ``table`` on the group columns.
@@ -61,14 +59,16 @@ def attach(
     ``limit`` names a column of ``table``, only rows with ``spread < limit`` are kept.
     Both are priorities in [0, SPAN).
 
-    Up to ``broadcast_bytes``, measured here, the table is broadcast and the rows do
-    not move. Beyond, rows are cut by the limits of hash slots (where that drops most
+    Up to ``broadcast_bytes`` (``size`` tells the table's, else it is measured) the
+    table is broadcast and the rows do not move. Beyond, rows are cut by the limits of hash slots (where that drops most
     of them), then shuffled on stratum and salt. Only strata holding more than
     1/HOT_STRATA of all rows get several salts; as there are fewer than HOT_STRATA
     of those, their salt counts are broadcast.
     """
     below = F.col(spread) < F.col(limit) if limit else F.lit(True)
-    if table_bytes(table, by) <= broadcast_bytes:
+    if size is None:
+        size = table.agg(table_bytes(table, by)).first()[0]
+    if size <= broadcast_bytes:
         return rows.join(F.broadcast(table), by).where(below)
 
     share_kept = F.col(limit) / SPAN if limit else F.lit(1.0)

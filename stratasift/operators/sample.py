@@ -11,7 +11,8 @@ keep hot strata out of single tasks and the shuffle near the size of the sample:
 3. Rank inside (stratum, bucket), never across a whole stratum.
 
 Strata that come out short of rows are drawn again without a limit, so the result
-is exact whatever the limit did.
+is exact whatever the limit did. Where the limits let pass at most DIRECT_ROWS rows
+in all, step 2 is left out and whole strata are ranked.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ from pyspark.sql import functions as F
 
 from stratasift.functions.columns import resolve_all
 from stratasift.functions.priority import SPAN, priority
-from stratasift.operators.joins import BROADCAST_BYTES, attach
+from stratasift.operators.joins import BROADCAST_BYTES, attach, table_bytes
 from stratasift.operators.skip import prune_partitions
 from stratasift.session import materialize
 
 BUCKET_ROWS = 4096
 MAX_BUCKETS = 1 << 16
+DIRECT_ROWS = 1_000_000
 SLACK = (7.0, 12.25)
 
 P = "_p"
@@ -78,10 +80,12 @@ def draw_sample(
     slack: tuple[float, float] = SLACK,
     bucket_rows: int = BUCKET_ROWS,
     broadcast_bytes: int = BROADCAST_BYTES,
+    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Rows of ``data`` in the sample, with the columns of ``data``.
 
-    ``allocation`` gives ``si`` and ``n`` per stratum, as :func:`allocate` makes it.
+    ``allocation`` gives ``si`` and ``n`` per stratum, as :func:`allocate` makes it;
+    it is read several times.
     ``ids`` identify a row; see :func:`number_copies` where no column does. Strata
     without an allocation are left out; a stratum with fewer than ``si`` rows is
     taken whole. ``method='skip'`` also runs the rows below the limit through
@@ -99,34 +103,43 @@ def draw_sample(
     )
     if method == "skip":
         strata = materialize(strata.withColumn("_sid", F.monotonically_increasing_id()))
+    near = F.col("_si") + F.lit(slack[0]) * F.sqrt("_si") + F.lit(slack[1])
+    limit = F.least(F.ceil(near / F.col("_n") * SPAN), F.lit(SPAN)).cast("bigint")
+    strata = strata.withColumn("_limit", limit)
+    expected = F.col("_n") * (F.col("_limit") / SPAN)
+    size, wanted, reach = strata.agg(
+        table_bytes(strata, groups), F.sum("_si"), F.sum(F.greatest(expected, F.lit(0)))
+    ).first()
 
-    def candidates(table: DataFrame) -> DataFrame:
-        near = attach(keyed, table, groups, P, "_limit", broadcast_bytes)
-        if method == "skip":
-            near = prune_partitions(near, "_sid", "_si", P)
-        expected = F.col("_n") * (F.col("_limit") / SPAN)
-        return materialize(bucketed(near, expected, bucket_rows))
+    def below_limit(table: DataFrame) -> DataFrame:
+        rows = attach(keyed, table, groups, P, "_limit", broadcast_bytes, size)
+        return prune_partitions(rows, "_sid", "_si", P) if method == "skip" else rows
 
     def pick(found: DataFrame, counts: DataFrame) -> DataFrame:
         return take_smallest(found, counts, groups, keys).select(*columns)
 
-    near = F.col("_si") + F.lit(slack[0]) * F.sqrt("_si") + F.lit(slack[1])
-    limit = F.least(F.ceil(near / F.col("_n") * SPAN), F.lit(SPAN)).cast("bigint")
-    found = candidates(strata.withColumn("_limit", limit))
-    counts = materialize(bucket_counts(found, groups))
+    if (reach or 0) <= direct_rows:
+        # Few rows below the limits in all: rank them by stratum, no buckets needed.
+        inside = W.partitionBy(*groups).orderBy(P, *keys)
+        ranked = below_limit(strata).withColumn("_rank", F.row_number().over(inside))
+        sample = materialize(ranked.where(F.col("_rank") <= F.col("_si")).select(*columns))
+        if sample.count() == (wanted or 0):
+            return sample
 
+    found = materialize(bucketed(below_limit(strata), expected, bucket_rows))
+    counts = materialize(bucket_counts(found, groups))
     # No stratum gives more than si, so equal sums mean that none came out short.
-    taken = counts.agg(F.sum("_take")).first()[0]
-    if taken == strata.agg(F.sum("_si")).first()[0]:
+    if counts.agg(F.sum("_take")).first()[0] == wanted:
         return pick(found, counts)
     totals = counts.groupBy(*groups).agg(F.sum("_rows").alias("_found"))
     short = materialize(
         strata.join(totals, groups, "left")
         .where(F.coalesce("_found", F.lit(0)) < F.least("_si", "_n"))
         .drop("_found")
+        .withColumn("_limit", F.lit(SPAN).cast("bigint"))
     )
     if short.isEmpty():
         return pick(found, counts)
-    again = candidates(short.withColumn("_limit", F.lit(SPAN)))
+    again = materialize(bucketed(below_limit(short), expected, bucket_rows))
     enough = pick(found, counts.join(short.select(*groups), groups, "left_anti"))
     return enough.unionByName(pick(again, bucket_counts(again, groups)))

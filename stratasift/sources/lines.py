@@ -37,7 +37,7 @@ def read_lines(spark: SparkSession, path: str | list[str], header: bool = True)
             F.coalesce(F.sum(kept).over(earlier), F.lit(0)).alias("_before"),
         )
     )
-    if table_bytes(offsets, place) <= BROADCAST_BYTES:
+    if offsets.agg(table_bytes(offsets, place)).first()[0] <= BROADCAST_BYTES:
         offsets = F.broadcast(offsets)
     inside = F.col("_id") - F.col("_first") + 1 - F.col("_skipped")
     return (

@@ -21,6 +21,8 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 PARTS = ["n", "mean", "m2"]
+MERGE_ROWS = 50_000
+FLUSH_ROWS = 500_000
 
 
 def _summed(frame: pd.DataFrame, by: list[str]) -> pd.DataFrame:
@@ -36,22 +38,36 @@ def _summed(frame: pd.DataFrame, by: list[str]) -> pd.DataFrame:
     return out.assign(n=rows.astype("int64"), mean=centre, m2=spread)
 
 
-def partial_stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """One (n, mean, m2) row per group and input partition, with no shuffle."""
+def partial_stats(
+    rows: DataFrame,
+    by: list[str],
+    value: str,
+    merge_rows: int = MERGE_ROWS,
+    flush_rows: int = FLUSH_ROWS,
+) -> DataFrame:
+    """Few (n, mean, m2) rows per group and input partition, with no shuffle."""
     fields = [rows.schema[c] for c in by]
     fields += [T.StructField("n", T.LongType()), T.StructField("mean", T.DoubleType())]
     fields += [T.StructField("m2", T.DoubleType())]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
+        parts, held, merge_at = [], 0, merge_rows
         for batch in batches:
             if batch.empty:
                 continue
             single = batch[by].assign(n=1, mean=batch[value].astype(float), m2=0.0)
-            part = _summed(single, by)
-            total = part if total is None else _summed(pd.concat([total, part]), by)
-        if total is not None:
-            yield total
+            parts.append(_summed(single, by))
+            held += len(parts[-1])
+            if held >= merge_at:
+                total = _summed(pd.concat(parts), by)
+                if len(total) > flush_rows:  # very many groups: hand them on
+                    yield total
+                    parts, held, merge_at = [], 0, merge_rows
+                else:
+                    parts, held = [total], len(total)
+                    merge_at = max(merge_rows, 2 * held)
+        if parts:
+            yield _summed(pd.concat(parts), by)
 
     return rows.select(*by, value).mapInPandas(run, T.StructType(fields))
 

@@ -44,12 +44,14 @@ def test_smallest_priorities(docs, sizes, method, hasher):
 
 
 OPTIONS = {
-    "several buckets": {"bucket_rows": 2},
+    "buckets": {"direct_rows": 0},
+    "several buckets": {"bucket_rows": 2, "direct_rows": 0},
     "limit too low": {"slack": (-1.0, 0.0)},
+    "limit too low, buckets": {"slack": (-1.0, 0.0), "direct_rows": -1},
     "limit at zero": {"slack": (-50.0, 0.0)},
     "no broadcast": {"broadcast_bytes": 0},
     "low limit, no broadcast, buckets": {
-        "slack": (0.0, 0.0), "broadcast_bytes": 0, "bucket_rows": 2
+        "slack": (0.0, 0.0), "broadcast_bytes": 0, "bucket_rows": 2, "direct_rows": 0
     },
     "skip, no broadcast": {"method": "skip", "broadcast_bytes": 0},
     "skip, limit too low": {"method": "skip", "slack": (-1.0, 0.0)},
@@ -73,7 +75,7 @@ def test_hot_stratum_is_salted(spark, monkeypatch):
     )
     sizes = allocate(stratum_stats(df, ["g"], "v"), ["g"], 3000)
     whole = draw_sample(df, sizes, ["g"], ["id"], 1)
-    salted = draw_sample(df, sizes, ["g"], ["id"], 1, broadcast_bytes=0, bucket_rows=50)
+    salted = draw_sample(df, sizes, ["g"], ["id"], 1, broadcast_bytes=0, bucket_rows=50, direct_rows=0)
     assert whole.count() == 3000
     assert whole.exceptAll(salted).count() == 0 and salted.count() == 3000
 
@@ -206,11 +208,11 @@ def test_prune_moves_nothing(spark):
     assert plan.count() < 1000
 
 
-@pytest.mark.parametrize("chunk", [1_000_000, 4])
-def test_copies_are_numbered(spark, chunk):
+@pytest.mark.parametrize("few,piece", [(1000, 1000), (3, 4), (0, 1)])
+def test_copies_are_numbered(spark, few, piece):
     rows = ["a"] * 11 + ["b"] + ["c"] * 4 + [None] * 2
     df = spark.createDataFrame([(r, 1) for r in rows], "g string, x int").repartition(3)
-    got = Counter((r.g, r.copy_no) for r in number_copies(df, ["g"], chunk=chunk).collect())
+    got = Counter((r.g, r.copy_no) for r in number_copies(df, ["g"], few=few, piece=piece).collect())
     want = Counter((g, i) for g, n in Counter(rows).items() for i in range(1, n + 1))
     assert got == want
 

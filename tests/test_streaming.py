@@ -76,8 +76,13 @@ def test_repeated_batch_changes_nothing(spark, events, sizes, tmp_path):
         read_latest(spark, str(tmp_path / "none"))
 
 
-def test_partial_statistics_add_up(spark, events):
-    rows = partial_stats(events.repartition(6), BY, "value").toPandas()
+@pytest.mark.parametrize("bounds", [(50_000, 500_000), (1, 500_000), (1, 2)])
+def test_partial_statistics_add_up(spark, events, bounds):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        rows = partial_stats(events.repartition(6), BY, "value", *bounds).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(rows) > events.select(*BY).distinct().count()
     total = _summed(rows, BY).set_index("event_type")
     for r in stratum_stats(events, BY, "value").collect():
