@@ -31,6 +31,17 @@ VALUE = "l_extendedprice"
 IDS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
 
 
+def shuffled(spark, after: int) -> tuple[int, int]:
+    """Bytes written to shuffles by stages after ``after``, and the last stage so far."""
+    jvm = spark.sparkContext._jvm
+    store = spark.sparkContext._jsc.sc().statusStore()
+    doubles = spark.sparkContext._gateway.new_array(jvm.double, 0)
+    stages = store.stageList(None, False, False, doubles, jvm.java.util.ArrayList())
+    seen = [stages.apply(i) for i in range(stages.size())]
+    new = [s for s in seen if s.stageId() > after]
+    return sum(s.shuffleWriteBytes() for s in new), max([after, *(s.stageId() for s in new)])
+
+
 def main() -> None:
     spark = local_session(CPUS, "bench")
     spark.sparkContext.setLogLevel("ERROR")
@@ -59,14 +70,16 @@ def main() -> None:
         "stream_stats_events": run("stream_stats_events"),
         "stream_sample_events": run("stream_sample_events"),
     }
-    seconds = {}
+    seconds, shuffle_bytes = {}, {}
     for name, query in headline.items():
         times = []
+        _, stage = shuffled(spark, -1)
         for _ in range(RUNS):
             started = time.perf_counter()
             query().write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - started)
         seconds[name] = round(min(times), 3)
+        shuffle_bytes[name] = shuffled(spark, stage)[0] // RUNS
     print(
         json.dumps(
             {
@@ -79,6 +92,7 @@ def main() -> None:
                 "lineitem_rows_per_sec": {
                     name: round(rows / seconds[name]) for name in seconds if "lineitem" in name
                 },
+                "shuffle_bytes": shuffle_bytes,
                 "cpus": CPUS,
             }
         )

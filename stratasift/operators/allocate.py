@@ -77,9 +77,16 @@ def _with_gamma(
     return materialize(weighted.withColumn("gamma", gamma).drop("_w"))
 
 
-def _totals(rows: DataFrame) -> DataFrame:
-    return rows.agg(
-        F.count("*").alias("strata"), F.sum("n").alias("rows"), F.sum("gamma").alias("gamma")
+def _totals(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct strata, rows of the table, rows of the strata, sum of gamma."""
+    each = rows.groupBy(*by).agg(
+        F.count("*").alias("c"), F.sum("n").alias("n"), F.sum("gamma").alias("gamma")
+    )
+    return each.agg(
+        F.count("*").alias("strata"),
+        F.sum("c").alias("given"),
+        F.sum("n").alias("rows"),
+        F.sum("gamma").alias("gamma"),
     )
 
 
@@ -92,7 +99,8 @@ def totals(
 ) -> DataFrame:
     """One row: number of strata, rows in them, sum of ``gamma``."""
     groups = resolve_all(stats, by)
-    return _totals(_with_gamma(stats, groups, weights, cv, on_mismatch, SMALL_RANK))
+    rows = _with_gamma(stats, groups, weights, cv, on_mismatch, SMALL_RANK)
+    return _totals(rows, groups).drop("given")
 
 
 def shares(
@@ -105,7 +113,7 @@ def shares(
     """Statistics with ``gamma`` (weighted coefficient of variation) and ``share``."""
     groups = resolve_all(stats, by)
     rows = _with_gamma(stats, groups, weights, cv, on_mismatch, SMALL_RANK)
-    total = _totals(rows).first()["gamma"]
+    total = _totals(rows, groups).first()["gamma"]
     return rows.withColumn("share", divide(F.col("gamma"), F.lit(total)))
 
 
@@ -169,10 +177,9 @@ def allocate(
     groups = resolve_all(stats, by)
     rows = _with_gamma(stats, groups, weights, cv, on_mismatch, small)
 
-    strata, held, gamma = _totals(rows).first()
-    distinct = rows.select(*groups).distinct().count()
-    if strata != distinct:
-        raise ValueError(f"{strata} statistics rows for {distinct} strata")
+    strata, given, held, gamma = _totals(rows, groups).first()
+    if strata != (given or 0):
+        raise ValueError(f"{given} statistics rows for {strata} strata")
     if budget > (held or 0):
         raise ValueError(f"the budget {budget} is larger than the {held or 0} rows there are")
     if strata > budget:
