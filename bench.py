@@ -19,7 +19,7 @@ from stratasift.operators.allocate import allocate
 from stratasift.operators.sample import draw_sample
 from stratasift.operators.stats import stratum_stats
 from stratasift.plans import table_queries as tq
-from stratasift.plans.pipeline import stratified_sample
+from stratasift.plans.whole_run import stratified_sample
 from stratasift.session import local_session, materialize
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -63,7 +63,7 @@ def main() -> None:
         "sample_rank_md5_lineitem": lambda: draw_sample(lines, sizes, BY, IDS, 1, hasher="md5"),
         "sample_skip_lineitem": lambda: draw_sample(lines, sizes, BY, IDS, 1, "skip"),
         "sample_no_id_lineitem": run("stratified_sample_lineitem"),
-        "pipeline_lineitem": lambda: stratified_sample(
+        "whole_run_lineitem": lambda: stratified_sample(
             lines, BY, VALUE, rows // 20, IDS, seed=1
         ).report(),
         "report_orders": run("sample_report_orders"),

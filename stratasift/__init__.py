@@ -12,7 +12,7 @@ from stratasift.operators.stats import (
     sort_stats,
     stratum_stats,
 )
-from stratasift.plans.pipeline import SampleRun, stratified_sample
+from stratasift.plans.whole_run import SampleRun, stratified_sample
 
 __all__ = [
     "SampleRun",

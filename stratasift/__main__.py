@@ -14,15 +14,22 @@ import argparse
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratasift.operators.stats import sort_stats, stratum_stats
-from stratasift.plans.pipeline import stratified_sample
+from stratasift.operators.stats import latest_stats, sort_stats, stratum_stats
+from stratasift.plans.whole_run import stratified_sample
 from stratasift.session import checkpoint_dir
 from stratasift.sources.csv import parse_csv, read_csv
 from stratasift.sources.lines import read_lines
 from stratasift.sources.stats_table import read_stats, write_stats
 from stratasift.sources.text import show_stats, write_lines
-from stratasift.sources.topic import read_topic, to_records, write_records
+from stratasift.sources.topic import (
+    read_topic,
+    stats_from_records,
+    stats_to_records,
+    to_records,
+    write_records,
+)
 from stratasift.streaming.idle import publish_when_idle
 from stratasift.streaming.stats import stats_writer
 
@@ -57,10 +64,12 @@ def parser() -> argparse.ArgumentParser:
         sub.add_argument("--on-bad", choices=["drop", "fail"], default="drop")
         if name == "stats":
             sub.add_argument("--out", required=True, help="folder for the statistics")
-            sub.add_argument("--stream", action="store_true", help="store when the topic is quiet")
+            sub.add_argument("--out-topic", help="topic to send the statistics to as well")
+            sub.add_argument("--stream", action="store_true", help="store when input is quiet")
             sub.add_argument("--timeout", type=int, default=1000, help="quiet time in ms")
         else:
-            sub.add_argument("--stats", required=True, help="folder the statistics are in")
+            sub.add_argument("--stats", help="folder the statistics are in")
+            sub.add_argument("--stats-topic", help="topic the statistics are in")
             sub.add_argument("--budget", type=int, default=150)
             sub.add_argument("--weights", type=weights)
             sub.add_argument("--on-mismatch", choices=["error", "ignore"], default="error")
@@ -80,9 +89,7 @@ def rows(spark: SparkSession, args: argparse.Namespace, stream: bool = False) ->
         return parsed.select(*names, "partition", "offset")
     if not args.file:
         raise SystemExit("give --file or --topic")
-    if stream:
-        raise SystemExit("--stream reads a topic")
-    return read_csv(spark, args.file, names).select(*names)
+    return read_csv(spark, args.file, names, stream=stream).select(*names)
 
 
 def feed(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -107,13 +114,29 @@ def stats(spark: SparkSession, args: argparse.Namespace) -> None:
             query.stop()
     else:
         write_stats(stratum_stats(rows(spark, args), names, value, args.on_bad), args.out)
-    show_stats(sort_stats(read_stats(spark, args.out), names))
+    table = read_stats(spark, args.out)
+    if args.out_topic:
+        sent = table.withColumn("version", F.unix_millis(F.current_timestamp()))
+        write_records(stats_to_records(sent), args.brokers, args.out_topic)
+    show_stats(sort_stats(table, names))
+
+
+def stored(spark: SparkSession, args: argparse.Namespace, names: list[str]) -> DataFrame:
+    """Statistics of an earlier run; from a topic, the newest row of each stratum."""
+    if args.stats:
+        return read_stats(spark, args.stats)
+    if not args.stats_topic:
+        raise SystemExit("give --stats or --stats-topic")
+    fields = [*[f"{c} string" for c in names], "mean double, std double, n bigint, version bigint"]
+    records = read_topic(spark, args.brokers, args.stats_topic)
+    return latest_stats(stats_from_records(records, ", ".join(fields)), names, "version")
 
 
 def sample(spark: SparkSession, args: argparse.Namespace) -> None:
+    names = [f"c{i}" for i in args.groups]
     run = stratified_sample(
         rows(spark, args),
-        [f"c{i}" for i in args.groups],
+        names,
         f"c{args.value}",
         args.budget,
         ids=["partition", "offset"] if args.topic else None,
@@ -123,7 +146,7 @@ def sample(spark: SparkSession, args: argparse.Namespace) -> None:
         cv=args.cv,
         on_bad=args.on_bad,
         on_mismatch=args.on_mismatch,
-        stats=read_stats(spark, args.stats),
+        stats=stored(spark, args, names),
     )
     if args.out:
         write_lines(run.lines(), args.out)

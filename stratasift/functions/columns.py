@@ -32,6 +32,19 @@ def resolve_all(df: DataFrame, columns: str | int | Iterable[str | int]) -> list
     return names
 
 
+# Names of result columns.
+FIGURES = ["mean", "std", "n", "si", "sample_n", "sample_mean", "sample_std"]
+
+
+def group_columns(df: DataFrame, columns: str | int | Iterable[str | int]) -> list[str]:
+    """Names of group columns, which results show beside :data:`FIGURES`."""
+    names = resolve_all(df, columns)
+    taken = sorted({*FIGURES, "gamma", "share", "weight"}.intersection(names))
+    if taken:
+        raise ValueError(f"rename the group columns {taken}: results use these names")
+    return names
+
+
 def stratum(by: list[str]) -> Column:
     """The group values joined with ','; for display and ordering only.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratasift.functions.columns import resolve_all, stratum
+from stratasift.functions.columns import group_columns, stratum
 from stratasift.functions.ieee import divide
 from stratasift.operators.ranking import SMALL_RANK, global_rank
 from stratasift.session import materialize
@@ -80,13 +80,13 @@ def _with_gamma(
 def _totals(rows: DataFrame, by: list[str]) -> DataFrame:
     """Distinct strata, rows of the table, rows of the strata, sum of gamma."""
     each = rows.groupBy(*by).agg(
-        F.count("*").alias("c"), F.sum("n").alias("n"), F.sum("gamma").alias("gamma")
+        F.count("*").alias("_given"), F.sum("n").alias("_held"), F.sum("gamma").alias("_gamma")
     )
     return each.agg(
         F.count("*").alias("strata"),
-        F.sum("c").alias("given"),
-        F.sum("n").alias("rows"),
-        F.sum("gamma").alias("gamma"),
+        F.sum("_given").alias("given"),
+        F.sum("_held").alias("rows"),
+        F.sum("_gamma").alias("gamma"),
     )
 
 
@@ -98,7 +98,7 @@ def totals(
     on_mismatch: str = "error",
 ) -> DataFrame:
     """One row: number of strata, rows in them, sum of ``gamma``."""
-    groups = resolve_all(stats, by)
+    groups = group_columns(stats, by)
     rows = _with_gamma(stats, groups, weights, cv, on_mismatch, SMALL_RANK)
     return _totals(rows, groups).drop("given")
 
@@ -111,14 +111,14 @@ def shares(
     on_mismatch: str = "error",
 ) -> DataFrame:
     """Statistics with ``gamma`` (weighted coefficient of variation) and ``share``."""
-    groups = resolve_all(stats, by)
+    groups = group_columns(stats, by)
     rows = _with_gamma(stats, groups, weights, cv, on_mismatch, SMALL_RANK)
     total = _totals(rows, groups).first()["gamma"]
     return rows.withColumn("share", divide(F.col("gamma"), F.lit(total)))
 
 
 def _full_rounds(room: DataFrame, need: int) -> tuple[int, int, int]:
-    """(r, need - T(r), strata with h > r) for the column ``h`` of ``room``.
+    """(r, need - T(r), strata with h > r) for the column ``_room`` of ``room``, called h here.
 
     Every pass counts h in at most HISTOGRAM equal steps of the bracket and keeps
     the step that holds r, so the passes grow with log(need) / log(HISTOGRAM).
@@ -129,11 +129,11 @@ def _full_rounds(room: DataFrame, need: int) -> tuple[int, int, int]:
         # whenever a stratum has h > r.
         step = -(-(high - low) // HISTOGRAM) or 1
         edges = list(range(low, high, step)) + [high]
-        slot = F.greatest(F.lit(0), F.ceil((F.col("h") - low) / step).cast("bigint"))
-        slot = F.when(F.col("h") > high, len(edges)).otherwise(slot)
+        slot = F.greatest(F.lit(0), F.ceil((F.col("_room") - low) / step).cast("bigint"))
+        slot = F.when(F.col("_room") > high, len(edges)).otherwise(slot)
         counted = (
             room.groupBy(slot.alias("slot"))
-            .agg(F.count("*").alias("strata"), F.sum("h").alias("rows"))
+            .agg(F.count("*").alias("strata"), F.sum("_room").alias("rows"))
             .collect()  # at most HISTOGRAM + 2 rows
         )
         strata = {x.slot: x.strata for x in counted}
@@ -174,7 +174,7 @@ def allocate(
 
     Only totals and a histogram of fixed size reach the driver.
     """
-    groups = resolve_all(stats, by)
+    groups = group_columns(stats, by)
     rows = _with_gamma(stats, groups, weights, cv, on_mismatch, small)
 
     strata, given, held, gamma = _totals(rows, groups).first()
@@ -200,16 +200,16 @@ def allocate(
 
     giving = spare > 0
     room = F.col("n") - F.col("_base") if giving else F.greatest(F.col("_base") - 1, F.lit(0))
-    sized = sized.withColumn("h", room).withColumn(
+    sized = sized.withColumn("_room", room).withColumn(
         "_rest", F.col("_wanted") - F.col("_base")
     )
     rounds, extra, open_strata = _full_rounds(sized, abs(spare))
-    moved = F.least(F.col("h"), F.lit(rounds))
+    moved = F.least(F.col("_room"), F.lit(rounds))
     if extra:
         key = [stratum(groups), *map(F.col, groups)]
         order: list[Column] = [F.col("_rest"), *key]
         order = [c.desc() if giving else c.asc() for c in order]
-        more = F.col("h") > rounds
+        more = F.col("_room") > rounds
         ranked = global_rank(sized.where(more), order, "_place", open_strata, small)
         sized = ranked.unionByName(
             sized.where(~more).withColumn("_place", F.lit(extra + 1).cast("bigint"))

@@ -7,17 +7,14 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratasift.functions.columns import resolve, resolve_all, stratum
+from stratasift.functions.columns import FIGURES, group_columns, resolve, stratum
 
 NESTED_ROWS = 100_000
 
-FIGURES = ["mean", "std", "n", "si", "sample_n", "sample_mean", "sample_std"]
-
-
 def sample_stats(sample: DataFrame, by: Iterable[str], value: str) -> DataFrame:
     """Size, mean and population standard deviation of each stratum's sample."""
     number = F.col(resolve(sample, value))
-    return sample.groupBy(*resolve_all(sample, by)).agg(
+    return sample.groupBy(*group_columns(sample, by)).agg(
         F.count(number).alias("sample_n"),
         F.avg(number).alias("sample_mean"),
         F.stddev_pop(number).alias("sample_std"),
@@ -31,7 +28,7 @@ def sample_report(
 
     ``n`` is the count the allocation was made from, also if the data changed since.
     """
-    groups = resolve_all(sample, by)
+    groups = group_columns(sample, by)
     drawn = sample_stats(sample, groups, value)
     return allocation.join(drawn, groups).select(*groups, *FIGURES)
 
@@ -48,7 +45,7 @@ def nested_report(
     An array lives in one row, so a sample of more than ``most`` rows in one
     stratum is refused; the sample itself holds the same rows flat.
     """
-    groups = resolve_all(sample, by)
+    groups = group_columns(sample, by)
     largest = allocation.agg(F.max("si")).first()[0] or 0
     if largest > most:
         raise ValueError(f"a stratum has {largest} sampled rows, more than {most}; use the sample")
@@ -80,9 +77,8 @@ def report_lines(
     of ``ids``) and an empty line (part 2). One line is one row, so no stratum
     needs to fit in one string. ``digits`` fixes the decimals of real numbers.
     """
-    groups = resolve_all(sample, by)
+    groups = group_columns(sample, by)
     keys = [resolve(sample, c) for c in ids]
-    key = stratum(groups).alias("stratum")
     reals = ["mean", "std", "sample_mean", "sample_std"]
     figures = [
         _text(F.col(c), digits if c in reals else None) for c in FIGURES
@@ -91,14 +87,23 @@ def report_lines(
     record = F.concat_ws(
         ", ", *[F.col(c).cast("string") for c in groups], _text(F.col(value), digits)
     )
+    places = [f"_g{i}" for i in range(len(groups))]
+
+    def part(rows: DataFrame, number: int, line: Column, at: Column) -> DataFrame:
+        shown = [F.col(c).alias(p) for c, p in zip(groups, places)]
+        return rows.select(
+            stratum(groups).alias("stratum"), *shown,
+            F.lit(number).alias("part"), at.alias("_at"), line.alias("line"),
+        )
+
     order = F.struct(*[F.col(c) for c in keys]) if keys else F.struct(F.lit(0))
-    records = sample.select(key, *groups, F.lit(1).alias("part"), order.alias("at"), record.alias("line"))
-    nowhere = F.lit(None).cast(records.schema["at"].dataType).alias("at")
-    headers = report.select(key, *groups, F.lit(0).alias("part"), nowhere, header.alias("line"))
-    blanks = report.select(key, *groups, F.lit(2).alias("part"), nowhere, F.lit("").alias("line"))
+    records = part(sample, 1, record, order)
+    nowhere = F.lit(None).cast(records.schema["_at"].dataType)
+    headers = part(report, 0, header, nowhere)
+    blanks = part(report, 2, F.lit(""), nowhere)
     return (
         headers.unionByName(records)
         .unionByName(blanks)
-        .orderBy("stratum", *groups, "part", "at")
+        .orderBy("stratum", *places, "part", "_at")
         .select("stratum", "part", "line")
     )

@@ -35,6 +35,11 @@ DIRECT_ROWS = 1_000_000
 SLACK = (7.0, 12.25)
 
 P = "_p"
+# Columns added to the rows on the way.
+INTERNAL = {
+    P, "_si", "_n", "_sid", "_limit", "_bucket", "_rank", "_take", "_rows",
+    "_salt", "_salts", "_slot", "_slot_limit",
+}
 
 
 def bucketed(rows: DataFrame, expected: Column, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -97,6 +102,8 @@ def draw_sample(
     groups = resolve_all(data, by)
     keys = resolve_all(data, ids)
     columns = data.columns
+    if taken := sorted(INTERNAL.intersection(columns)):
+        raise ValueError(f"rename the columns {taken}: the sample is worked out with these names")
     keyed = data.withColumn(P, priority(seed, keys, hasher))
     strata = allocation.where(F.col("si") > 0).select(
         *groups, F.col("si").alias("_si"), F.col("n").alias("_n")

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratasift.functions.columns import resolve_all, stratum
+from stratasift.functions.columns import group_columns, stratum
 from stratasift.operators.clean import clean
 
 
@@ -19,7 +19,7 @@ def stratum_stats(
     Columns: the group columns, ``mean``, ``std``, ``n``. Aggregates partially
     before the shuffle, so a hot stratum sends one row per map task.
     """
-    groups = resolve_all(df, by)
+    groups = group_columns(df, by)
     rows = clean(df, groups, value, on_bad=on_bad)
     number = F.col(rows.columns[-1])
     return rows.groupBy(*groups).agg(
@@ -31,7 +31,7 @@ def stratum_stats(
 
 def sort_stats(stats: DataFrame, by: Iterable[str]) -> DataFrame:
     """Statistics in ascending stratum order (range-partitioned sort)."""
-    groups = resolve_all(stats, by)
+    groups = group_columns(stats, by)
     return stats.orderBy(stratum(groups), *groups)
 
 
@@ -48,7 +48,7 @@ def merge_stats(stats: DataFrame, by: Iterable[str]) -> DataFrame:
     The spread is taken around the merged mean, which keeps its digits where
     E[x^2] - E[x]^2 would cancel. Empty parts (n = 0) take no part.
     """
-    groups = resolve_all(stats, by)
+    groups = group_columns(stats, by)
     parts = stats.where(F.col("n") > 0)
     centre = parts.groupBy(*groups).agg(
         F.sum("n").alias("_n"),
@@ -75,7 +75,7 @@ def latest_stats(stats: DataFrame, by: Iterable[str], version: str) -> DataFrame
     A version may hold a stratum once. The numeric columns are picked one by one
     under the same order, which keeps the aggregate hash-based.
     """
-    groups = resolve_all(stats, by)
+    groups = group_columns(stats, by)
     order = F.col(version)
     return stats.groupBy(*groups).agg(
         *[F.max_by(F.col(c), order).alias(c) for c in ("mean", "std", "n")],

@@ -25,7 +25,7 @@ from stratasift.operators.stats import (
 )
 from stratasift.operators.report import nested_report, report_lines, sample_report
 from stratasift.operators.sample import draw_sample
-from stratasift.plans.pipeline import SampleRun, stratified_sample
+from stratasift.plans.whole_run import SampleRun, stratified_sample
 from stratasift.session import checkpoint_dir, materialize
 from stratasift.sources.csv import parse_csv, to_csv_line
 from stratasift.sources.lines import read_lines
@@ -399,7 +399,7 @@ def idle_publish_events(spark, sf_dir):
     query = writer.trigger(processingTime="200 milliseconds").start()
     try:
         published = publish_when_idle(
-            spark, query, f"{folder}/stats", f"{folder}/published", quiet_ms=500
+            spark, query, f"{folder}/stats", f"{folder}/published", quiet_ms=500, limit_s=300
         )
     finally:
         query.stop()
@@ -429,7 +429,7 @@ def idle_emit_events(spark, sf_dir):
     )
     spark.conf.set("spark.sql.shuffle.partitions", usual)
     try:
-        if not await_idle(query, 3000):
+        if not await_idle(query, 3000, 300):
             raise TimeoutError("the stream did not go quiet")
     finally:
         query.stop()

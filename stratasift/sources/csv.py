@@ -35,10 +35,18 @@ def text_schema(columns: Iterable[str]) -> T.StructType:
 
 
 def read_csv(
-    spark: SparkSession, path: str | list[str], columns: Sequence[str], header: bool = True
+    spark: SparkSession,
+    path: str,
+    columns: Sequence[str],
+    header: bool = True,
+    stream: bool = False,
 ) -> DataFrame:
-    """CSV files as text columns; every file's header line is skipped."""
-    return spark.read.csv(path, schema=text_schema(columns), header=header, **OPTIONS)
+    """CSV files as text columns; every file's header line is skipped.
+
+    As a stream, ``path`` is a folder to which files are added.
+    """
+    reader = spark.readStream if stream else spark.read
+    return reader.csv(path, schema=text_schema(columns), header=header, **OPTIONS)
 
 
 def parse_csv(df: DataFrame, column: str | int, columns: Sequence[str]) -> DataFrame:

@@ -145,15 +145,16 @@ def _times(progress) -> tuple[float, float]:
     return started, started + progress["batchDuration"] / 1000
 
 
-def await_idle(query: StreamingQuery, quiet_ms: int, limit_s: float = 600.0) -> bool:
+def await_idle(query: StreamingQuery, quiet_ms: int, limit_s: float | None = None) -> bool:
     """Wait until a query had rows and then none for ``quiet_ms``.
 
     True once that holds and either no batch is running or a batch without rows,
-    started after the quiet time, has ended; False after ``limit_s`` seconds.
+    started after the quiet time, has ended; False after ``limit_s`` seconds, if
+    given. A stream that never has a row is not idle but not begun.
     """
-    deadline = time.time() + limit_s
+    started_at = time.time()
     last_rows = None
-    while time.time() < deadline:
+    while limit_s is None or time.time() < started_at + limit_s:
         if query.exception() is not None:
             raise query.exception()
         quiet_from = float("inf")
@@ -174,7 +175,12 @@ def await_idle(query: StreamingQuery, quiet_ms: int, limit_s: float = 600.0) ->
 
 
 def publish_when_idle(
-    spark: SparkSession, query: StreamingQuery, path: str, target: str, quiet_ms: int = 1000
+    spark: SparkSession,
+    query: StreamingQuery,
+    path: str,
+    target: str,
+    quiet_ms: int = 1000,
+    limit_s: float | None = None,
 ) -> DataFrame:
     """Store a query's statistics in ``target`` once the whole stream is quiet.
 
@@ -182,7 +188,7 @@ def publish_when_idle(
     ``path``. A stratum stays open while any stratum gets rows. The stored table is
     replaced as a whole; the sampling phase reads only that table.
     """
-    if not await_idle(query, quiet_ms):
+    if not await_idle(query, quiet_ms, limit_s):
         raise TimeoutError("the stream did not go quiet")
     # The slot of a finished batch is not written while the next batch runs.
     write_stats(read_slot(spark, path, query.lastProgress["batchId"]), target)

@@ -41,6 +41,17 @@ def test_stats_then_sample(spark, csv, tmp_path, capsys):
     assert "sample_mean" in capsys.readouterr().out
 
 
-def test_input_is_needed(tmp_path):
+def test_stream_of_files(spark, csv, tmp_path):
+    once, stream = str(tmp_path / "once"), str(tmp_path / "stream")
+    main(["stats", "--file", csv, "--out", once])
+    folder = csv.rpartition("/")[0]
+    main(["stats", "--file", folder, "--out", stream, "--stream", "--timeout", "500"])
+    tables = [spark.read.parquet(p).select("c3", "c6", "n") for p in (once, stream)]
+    assert tables[0].exceptAll(tables[1]).count() == 0 and tables[1].count() == 9
+
+
+def test_input_is_needed(spark, csv, tmp_path):
+    with pytest.raises(SystemExit):
+        main(["sample", "--file", csv])
     with pytest.raises(SystemExit):
         main(["stats", "--out", str(tmp_path / "x")])

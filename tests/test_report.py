@@ -56,3 +56,17 @@ def test_text_layout(spark, run, tmp_path):
     text = "".join(p.read_text() for p in sorted((tmp_path / "report").glob("part-*")))
     assert "CL,pm25,µg/m³, 9.37, 8.54, 3, 3, 3, 9.37, 8.54, \n" in text
     assert len(text.splitlines()) == 3 + 9 + 3
+
+
+def test_columns_named_like_ours(spark):
+    rows = [(f"s{i % 2}", i % 3, float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "stratum string, part int, line double")
+    run = stratified_sample(df, ["stratum", "part"], "line", 12)
+    lines = run.lines().collect()
+    assert len(lines) == 12 + 6 * 2
+    assert sum(r.part == 1 for r in lines) == 12
+    with pytest.raises(ValueError, match="rename the group columns"):
+        stratified_sample(df.withColumnRenamed("part", "n"), ["n"], "line", 12)
+    with pytest.raises(ValueError, match="rename the columns"):
+        named = df.withColumnRenamed("part", "_n")
+        stratified_sample(named, ["stratum"], "line", 12, ids=["line"], keep=["_n"])
