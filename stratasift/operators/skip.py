@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+# Send this module's code along with the tasks: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PRUNE_ROWS = 100_000
 FLUSH_ROWS = 400_000
 

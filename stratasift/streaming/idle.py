@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 import time
 from collections.abc import Iterable, Iterator
 from datetime import datetime
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -17,6 +19,9 @@ from stratasift.operators.clean import clean
 from stratasift.sources.stats_table import write_stats
 from stratasift.streaming.slots import read_slot
 
+# Send this module's code along with the tasks: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 

@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,12 +57,13 @@ def test_stats_over_restarts(spark, events, tmp_path):
         assert same(got, round_stats(stratum_stats(seen, BY, "value"), 6))
 
 
-def test_sample_over_restarts(spark, events, sizes, tmp_path):
+@pytest.mark.parametrize("direct", [1_000_000, 0])
+def test_sample_over_restarts(spark, events, sizes, tmp_path, direct):
     data, out, state = (str(tmp_path / x) for x in ("data", "out", "state"))
     for first, last in ((0, 2), (2, 5)):
         parts(events, data, first, last)
         stream = source(spark, events, data)
-        run(sample_writer(stream, sizes, BY, ["event_id"], out, state, seed=4))
+        run(sample_writer(stream, sizes, BY, ["event_id"], out, state, 4, direct_rows=direct))
         seen = events.where(F.pmod(F.hash("event_id"), F.lit(5)) < last)
         assert same(read_sample(spark, out), draw_sample(seen, sizes, BY, ["event_id"], seed=4))
 
@@ -133,5 +138,23 @@ def test_published_when_quiet(spark, events, tmp_path):
     assert same(round_stats(published, 6), round_stats(stratum_stats(events, BY, "value"), 6))
 
 
+def test_executors_need_no_package(tmp_path):
+    """Python workers start in another folder and cannot import this library."""
+    repo = str(Path(__file__).resolve().parents[1])
+    script = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from stratasift.operators.skip import prune_partitions
+from stratasift.session import local_session
+from stratasift.streaming.idle import partial_stats
+df = local_session(2).range(1000).selectExpr("id % 3 as s", "5L as k", "id as p", "1.0D as v")
+print("rows", prune_partitions(df, "s", "k", "p").count(), partial_stats(df, ["s"], "v").count())
+"""
+    run = subprocess.run(
+        [sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=300
+    )
+    assert "rows" in run.stdout, run.stderr[-2000:]
+
+
 def test_arrival_time(spark, events):
     assert with_arrival(events).schema["arrived"].dataType.typeName() == "timestamp"
