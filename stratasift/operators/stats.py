@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stratasift.functions.columns import group_columns, stratum
 from stratasift.operators.clean import clean
+from stratasift.session import materialize
 
 
 def stratum_stats(
@@ -49,7 +50,8 @@ def merge_stats(stats: DataFrame, by: Iterable[str]) -> DataFrame:
     E[x^2] - E[x]^2 would cancel. Empty parts (n = 0) take no part.
     """
     groups = group_columns(stats, by)
-    parts = stats.where(F.col("n") > 0)
+    # Read twice below; the means must be the same both times, and the source be read once.
+    parts = materialize(stats.where(F.col("n") > 0).select(*groups, "mean", "std", "n"))
     centre = parts.groupBy(*groups).agg(
         F.sum("n").alias("_n"),
         (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean"),
