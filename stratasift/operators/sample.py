@@ -114,8 +114,11 @@ def draw_sample(
     limit = F.least(F.ceil(near / F.col("_n") * SPAN), F.lit(SPAN)).cast("bigint")
     strata = strata.withColumn("_limit", limit)
     expected = F.col("_n") * (F.col("_limit") / SPAN)
-    size, wanted, reach = strata.agg(
-        table_bytes(strata, groups), F.sum("_si"), F.sum(F.greatest(expected, F.lit(0)))
+    size, wanted, largest, reach = strata.agg(
+        table_bytes(strata, groups),
+        F.sum("_si"),
+        F.max("_si"),
+        F.sum(F.greatest(expected, F.lit(0))),
     ).first()
 
     def below_limit(table: DataFrame) -> DataFrame:
@@ -129,7 +132,9 @@ def draw_sample(
         # Few rows below the limits in all: rank them by stratum, no buckets needed.
         inside = W.partitionBy(*groups).orderBy(P, *keys)
         ranked = below_limit(strata).withColumn("_rank", F.row_number().over(inside))
-        sample = materialize(ranked.where(F.col("_rank") <= F.col("_si")).select(*columns))
+        # The constant bound lets Spark limit the groups before the shuffle as well.
+        drawn = (F.col("_rank") <= F.col("_si")) & (F.col("_rank") <= F.lit(largest))
+        sample = materialize(ranked.where(drawn).select(*columns))
         if sample.count() == (wanted or 0):
             return sample
 
