@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from stratasift.llm.common import shared_folder, slices, text_input
 
 #: White space at which no pre-token of the tokenizer goes on (fixed values: Unicode White_Space).
-_BLANK = "\t-\r \x85\xa0  -     　"
+_BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _STRETCH = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
 MEMORY, MEMORABLE = 800_000, 48
 
