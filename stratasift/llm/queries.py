@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from stratasift.llm.common import read_table
+from stratasift.llm.secret_scan import secret_report
 from stratasift.llm.token_files import token_table
 from stratasift.llm.transducer import piece_encode
 
@@ -14,6 +15,10 @@ from stratasift.llm.transducer import piece_encode
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(read_table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -23,6 +28,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_secrets": op3_secrets,
     "op6_token_files": op6_token_files,
     "op10_pieces": op10_pieces,
 }
