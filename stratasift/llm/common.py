@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,25 @@ from stratasift.session import checkpoint_dir
 SLICE_BYTES = 8 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_stratasift_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="stratasift-code-")) / "stratasift_code.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(target))
+    sc._stratasift_shipped = True
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -70,7 +92,7 @@ def map_slices(
             for part in slices(batch, column):
                 yield work(part)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 # ---- words and their hashes, without a Python object per word ------------------------------

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from stratasift.llm.common import read_table
+from stratasift.llm.digest import digest_report
 from stratasift.llm.secret_scan import secret_report
 from stratasift.llm.token_files import token_table
 from stratasift.llm.transducer import piece_encode
@@ -19,6 +20,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(read_table(spark, sf_dir, "documents"))
 
 
+def op5_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_report(read_table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -29,6 +34,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_secrets": op3_secrets,
+    "op5_digests": op5_digests,
     "op6_token_files": op6_token_files,
     "op10_pieces": op10_pieces,
 }

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stratasift.llm.common import map_slices, text_input
+from stratasift.llm.common import map_arrow, map_slices, text_input
 
 #: How the model file writes a blank; blanks stay blanks in here.
 MARK = "\u2581"
@@ -365,4 +365,4 @@ def piece_decode(encoded: DataFrame, model_path: str, key: str = "doc_id", ids:
 
     kind = encoded.schema[key].dataType.simpleString()
     rows = encoded.selectExpr(f"`{key}` AS key", f"`{ids}` AS ids")
-    return rows.mapInArrow(run, f"`{key}` {kind}, text string")
+    return map_arrow(rows, run, f"`{key}` {kind}, text string")
