@@ -1,7 +1,7 @@
 """Token ids as flat binary files, memory-mapped.
 
-A part of the rows (a range of keys) becomes three files: ``.ids`` (unsigned 32-bit
-little-endian ids of all its documents), ``.offsets`` (unsigned 64-bit, one more than
+A part of the rows (a range of keys) becomes three files: ``.ids`` (little-endian unsigned
+ids of all its documents, 16 bits wide if the vocabulary fits, else 32), ``.offsets`` (unsigned 64-bit, one more than
 documents: where each document's ids start in the part) and ``.keys`` (signed 64-bit keys).
 A part's base, the ids in all parts before it, is the prefix sum of the parts' counts.
 """
@@ -25,10 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratasift.llm.common import shared_folder, slices, text_input
+from stratasift.llm.common import map_arrow, shared_folder, slices, text_input
 
 #: White space at which no pre-token of the tokenizer goes on (fixed values: Unicode White_Space).
 _BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANKS = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{_BLANK}]", c))
 _STRETCH = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
 MEMORY, MEMORABLE = 800_000, 48
 
@@ -49,14 +50,35 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        size = self.tokenizer.get_vocab_size()
+        #: The narrowest unsigned type that holds every id.
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+        # one character of a byte-level piece stands for one byte
+        self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)])
         self.known: dict[str, bytes] = {}
 
     def _learn(self, stretches: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)
-        return {s: np.array(e.ids, dtype="<u4").tobytes() for s, e in zip(stretches, found)}
+        """Ids of new stretches. Those that begin with a blank are encoded as one text, which
+        is cut again by the bytes that each id stands for."""
+        joined = [s for s in stretches if s[0] in _BLANKS and s[-1] not in _BLANKS]
+        lone = [s for s in stretches if not (s[0] in _BLANKS and s[-1] not in _BLANKS)]
+        found = self.tokenizer.encode_batch_fast(lone, add_special_tokens=False)
+        learnt = {s: np.array(e.ids, dtype=self.kind).tobytes() for s, e in zip(lone, found)}
+        for a in range(0, len(joined), 20_000):
+            some = joined[a : a + 20_000]
+            ids = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids
+            ids = np.array(ids, dtype=self.kind)
+            ends = np.cumsum(self.widths[ids])
+            stops = np.cumsum([len(s.encode()) for s in some])
+            cuts = (np.searchsorted(ends, stops) + 1) * ids.itemsize
+            raw, at = ids.tobytes(), 0
+            for s, cut in zip(some, cuts.tolist()):
+                learnt[s] = raw[at:cut]
+                at = cut
+        return learnt
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text as little-endian unsigned integers of ``kind``."""
         cut = [_STRETCH.findall(t) for t in texts]
         new = list(set().union(*cut) - self.known.keys()) if cut else []
         learnt = self._learn(new)
@@ -105,7 +127,7 @@ def write_token_files(
     text: str = "text",
     end_id: int = 0,
 ) -> DataFrame:
-    """Encode whole texts into ``folder``; one row per part: part, n_docs, n_tokens, base.
+    """Encode whole texts into ``folder``; one row per part: part, kind, n_docs, n_tokens, base.
 
     Rows are dealt to parts by ranges of the key and written in ascending key order (nulls
     first, as key -2^63; equal keys by text), so the order of all ids is that of the keys.
@@ -124,7 +146,8 @@ def write_token_files(
         part = f"part-{context.partitionId():06d}"
         fs, base = _open(folder)
         mine = f"{base}/_{part}-{context.taskAttemptId()}"
-        enc, end = encoder(definition.value), np.array([end_id], "<u4").tobytes()
+        enc = encoder(definition.value)
+        end, width = np.array([end_id], enc.kind).tobytes(), int(enc.kind[2])
         at = docs_done = 0
         with (
             fs.open_output_stream(f"{mine}.ids") as ids,
@@ -138,7 +161,7 @@ def write_token_files(
                     for one in encoded:
                         ids.write(one)
                         ids.write(end)
-                    lengths = np.array([len(x) // 4 + 1 for x in encoded], dtype=np.int64)
+                    lengths = np.array([len(x) // width + 1 for x in encoded], dtype=np.int64)
                     offsets.write((at + np.cumsum(lengths)).astype("<u8").tobytes())
                     keys.write(rows.column("key").to_numpy(zero_copy_only=False).astype("<i8").tobytes())
                     at += int(lengths.sum())
@@ -149,32 +172,37 @@ def write_token_files(
             else:
                 fs.delete_file(f"{mine}.{kind}")
         if docs_done:
-            yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [docs_done], "n_tokens": [at]})
+            yield pa.RecordBatch.from_pydict(
+                {"part": [part], "kind": [enc.kind], "n_docs": [docs_done], "n_tokens": [at]}
+            )
 
     ready = text_input(docs, key, text).withColumn("key", F.coalesce(F.col("key").cast("long"), F.lit(-(1 << 63))))
     ordered = ready.repartitionByRange("key").sortWithinPartitions("key", "text")
-    parts = sorted(ordered.mapInArrow(write, "part string, n_docs long, n_tokens long").collect())
+    parts = sorted(map_arrow(ordered, write, "part string, kind string, n_docs long, n_tokens long").collect())
     bases = [0, *accumulate(p.n_tokens for p in parts)]
-    rows = [(p.part, p.n_docs, p.n_tokens, b) for p, b in zip(parts, bases)]
-    return spark.createDataFrame(rows, "part string, n_docs long, n_tokens long, base long")
+    rows = [(p.part, p.kind, p.n_docs, p.n_tokens, b) for p, b in zip(parts, bases)]
+    return spark.createDataFrame(rows, "part string, kind string, n_docs long, n_tokens long, base long")
 
 
 def read_token_files(spark: SparkSession, parts: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
-    """Per document of the files: key, start, n_tokens, ids_crc32, read through memory maps."""
+    """Per document of the files: key, start, n_tokens, ids_crc32, read through memory maps.
+
+    The checksum is of the ids as little-endian unsigned 32-bit integers.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 part = row["part"]
                 with (
-                    mapped(folder, f"{part}.ids", "<u4") as ids,
+                    mapped(folder, f"{part}.ids", row["kind"]) as ids,
                     mapped(folder, f"{part}.offsets", "<u8") as offsets,
                     mapped(folder, f"{part}.keys", "<i8") as keys,
                 ):
                     at = offsets.astype(np.int64)
                     for a in range(0, len(keys), 10_000):
                         b = min(a + 10_000, len(keys))
-                        crc = [zlib.crc32(ids[at[i] : at[i + 1]]) for i in range(a, b)]
+                        crc = [zlib.crc32(ids[at[i] : at[i + 1]].astype("<u4")) for i in range(a, b)]
                         k = np.array(keys[a:b])
                         yield pa.RecordBatch.from_arrays(
                             [
@@ -188,7 +216,7 @@ def read_token_files(spark: SparkSession, parts: DataFrame, folder: str, key: st
 
     n = max(1, parts.count())
     spread = parts.repartition(min(n, 10_000), "part")
-    return spread.mapInArrow(read, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(spread, read, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_table(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
