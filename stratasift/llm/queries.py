@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratasift.llm.common import read_table
 from stratasift.llm.digest import digest_report
+from stratasift.llm.near_dups import near_duplicates
 from stratasift.llm.secret_scan import secret_report
 from stratasift.llm.token_files import token_table
 from stratasift.llm.transducer import piece_encode
@@ -28,6 +29,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("h")
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_encode(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
@@ -36,6 +41,7 @@ QUERIES = {
     "op3_secrets": op3_secrets,
     "op5_digests": op5_digests,
     "op6_token_files": op6_token_files,
+    "op9_near_dups": op9_near_dups,
     "op10_pieces": op10_pieces,
 }
 
