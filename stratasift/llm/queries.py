@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratasift.llm.common import read_table
 from stratasift.llm.digest import digest_report
+from stratasift.llm.language_model import score_language_model
 from stratasift.llm.near_dups import near_duplicates
 from stratasift.llm.secret_scan import secret_report
 from stratasift.llm.token_files import token_table
@@ -17,6 +18,10 @@ from stratasift.llm.transducer import piece_encode
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_language_model(read_table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(read_table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_model": op2_language_model,
     "op3_secrets": op3_secrets,
     "op5_digests": op5_digests,
     "op6_token_files": op6_token_files,
