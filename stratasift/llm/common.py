@@ -150,6 +150,21 @@ BLANKS = _byte_classes({0x20, *range(0x09, 0x0E)})
 ALNUM = _byte_classes({b for b in range(128) if not chr(b).isalnum()})
 
 
+def hash_spans(codes: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Hash of each span of bytes; ``first`` and ``after`` ascend."""
+    hashes = np.empty(len(first), dtype=np.uint64)
+    a = 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(after, first[a] + _SPAN, "right")))
+        low, high = first[a], after[b - 1]
+        up, down = _power_table(_ODD, high - low + 1), _power_table(_INVERSE, high - low + 1)
+        sums = np.zeros(high - low + 1, dtype=np.uint64)
+        np.cumsum(codes[low:high].astype(np.uint64) * up[: high - low], out=sums[1:])
+        hashes[a:b] = (sums[after[a:b] - low] - sums[first[a:b] - low]) * down[first[a:b] - low]
+        a = b
+    return mix(hashes)
+
+
 def words_of(array: pa.Array, classes: np.ndarray):
     """All words of all texts: (text's place, hash, first byte, byte after the last).
 
@@ -166,18 +181,8 @@ def words_of(array: pa.Array, classes: np.ndarray):
     stops[:-1] &= ~inside[1:] | edge[1:-1]
     first = np.flatnonzero(begins)
     after = np.flatnonzero(stops) + 1
-    hashes = np.empty(len(first), dtype=np.uint64)
-    a = 0
-    while a < len(first):
-        b = max(a + 1, int(np.searchsorted(after, first[a] + _SPAN, "right")))
-        low, high = first[a], after[b - 1]
-        up, down = _power_table(_ODD, high - low + 1), _power_table(_INVERSE, high - low + 1)
-        sums = np.zeros(high - low + 1, dtype=np.uint64)
-        np.cumsum(codes[low:high].astype(np.uint64) * up[: high - low], out=sums[1:])
-        hashes[a:b] = (sums[after[a:b] - low] - sums[first[a:b] - low]) * down[first[a:b] - low]
-        a = b
     place = np.searchsorted(offsets, first, "right") - 1
-    return place, mix(hashes), first, after
+    return place, hash_spans(codes, first, after), first, after
 
 
 def shingles_of(place: np.ndarray, hashes: np.ndarray, n_texts: int, width: int = 5):

@@ -10,7 +10,9 @@ from stratasift.llm.common import read_table
 from stratasift.llm.digest import digest_report
 from stratasift.llm.language_model import score_language_model
 from stratasift.llm.near_dups import near_duplicates
+from stratasift.llm.quality import held_out, learn_quality, score_quality
 from stratasift.llm.secret_scan import secret_report
+from stratasift.llm.severity import grade_severity, learn_severity
 from stratasift.llm.token_files import token_table
 from stratasift.llm.transducer import piece_encode
 
@@ -18,6 +20,11 @@ from stratasift.llm.transducer import piece_encode
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
+def op1_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return grade_severity(docs, learn_severity(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_language_model(read_table(spark, sf_dir, "documents"))
 
@@ -34,6 +41,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = learn_quality(docs, read_table(spark, sf_dir, "labels"), only=~held_out())
+    return score_quality(docs, model, held_out().alias("held_out"))
+
+
 def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents")).drop("h")
 
@@ -43,10 +56,12 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_severity": op1_severity,
     "op2_language_model": op2_language_model,
     "op3_secrets": op3_secrets,
     "op5_digests": op5_digests,
     "op6_token_files": op6_token_files,
+    "op8_quality": op8_quality,
     "op9_near_dups": op9_near_dups,
     "op10_pieces": op10_pieces,
 }
