@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from stratasift.llm.common import read_table
+from stratasift.llm.decontaminate import find_leaks
 from stratasift.llm.digest import digest_report
 from stratasift.llm.language_model import score_language_model
 from stratasift.llm.near_dups import near_duplicates
@@ -41,6 +42,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = learn_quality(docs, read_table(spark, sf_dir, "labels"), only=~held_out())
@@ -61,6 +66,7 @@ QUERIES = {
     "op3_secrets": op3_secrets,
     "op5_digests": op5_digests,
     "op6_token_files": op6_token_files,
+    "op7_leaks": op7_leaks,
     "op8_quality": op8_quality,
     "op9_near_dups": op9_near_dups,
     "op10_pieces": op10_pieces,

@@ -26,6 +26,10 @@ GRADES = 4
 #: Features the model may weigh, their least score (in standard deviations of the difference
 #: between the classes), and the score that makes one telling.
 FEATURES, LEAST, TELLING = 2_000, 6.0, 8.0
+#: Share of the toxic or of the other rows that must hold a feature.
+SHARE = 0.05
+#: How many times more frequent a feature must be in one class than in the other.
+APART = 4.0
 ROUNDS, RATE, PENALTY = 500, 0.1, 1e-5
 PREFIXES = (4, 5, 6)
 
@@ -86,6 +90,9 @@ def grade_rows(rows: np.ndarray, words: np.ndarray, times: np.ndarray, sizes: np
     d0 = np.bincount(code, minlength=len(vocabulary)) - d1
     share = (d1 + d0 + 1) / (n1 + n0 + 2)
     z = (d1 / n1 - d0 / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
+    # what few rows hold may come from copies of one text; what both classes hold is language
+    z[np.maximum(d1 / n1, d0 / n0) < SHARE] = 0
+    z[np.maximum(d1 / n1, d0 / n0) < APART * np.minimum(d1 / n1, d0 / n0)] = 0
     order = np.lexsort((vocabulary, -np.abs(z)))[:FEATURES]
     chosen = np.sort(vocabulary[order[np.abs(z[order]) >= LEAST]])
     telling = z[code] >= TELLING
