@@ -9,10 +9,12 @@ probability equal to their weighted Jaccard similarity (sum of least over sum of
 weights).
 
 Texts that agree on all registers of a band are candidates. Every bucket links its members
-to its least member; those pairs are verified on the multisets themselves. Members that
-ended in different components are then compared with one another, unless their distances
-to the common member rule a link out (the distance is a metric). No bucket is expanded into
-all its pairs, and no link between candidates is lost.
+to its least member; those pairs are verified on the multisets themselves. Buckets whose members
+ended in different components may hold more links. Their members are joined on rare
+shingles: with all shingles ordered from rare to frequent, two texts that are similar enough
+share one among the first of both, and what follows it is long enough in both. The few pairs
+that meet this bound are verified too. No bucket is expanded into all its pairs, and no link
+between members of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratasift.llm.common import ALNUM, map_slices, mix, raw_text, shingles_of, stored, text_input, words_of
@@ -191,7 +193,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     links = _verified(stars, texts)
     roots = components(links.where(F.col("similarity") >= similar).select("a", "b"))
 
-    rest = _unsettled(buckets, links, roots, 1 - similar)
+    rest = _unsettled(buckets, texts, roots, similar)
     if not rest.isEmpty():
         more = _verified(rest, texts)
         both = links.unionAll(more).where(F.col("similarity") >= similar)
@@ -209,18 +211,40 @@ def _texts(rows: DataFrame, sketched: DataFrame, nodes: DataFrame) -> DataFrame:
     return stored(rows.join(chosen, same).groupBy("node").agg(F.first("text").alias("text")), "texts")
 
 
-def _unsettled(buckets: DataFrame, links: DataFrame, roots: DataFrame, far: float) -> DataFrame:
-    """Pairs of a bucket in different components that no distance rules out."""
-    away = links.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("away"))
-    others = buckets.where("node != leader").join(away, ["leader", "node"])
+def _shingle_rows(part: pa.RecordBatch) -> pa.RecordBatch:
+    place, shingles, weights = weighted_shingles(part.column("text"))
+    sizes = np.bincount(place, weights=weights, minlength=len(part)).astype(np.int64)
+    at = pa.array(place)
+    return pa.RecordBatch.from_arrays(
+        [part.column("node").take(at), part.column("root").take(at), pa.array(sizes[place]), pa.array(shingles.view(np.int64)), pa.array(weights)],
+        names=["node", "root", "size", "shingle", "weight"],
+    )
+
+
+def _unsettled(buckets: DataFrame, texts: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
+    """Pairs of different components of a bucket that may still be similar enough."""
     root = F.coalesce("root", "node").alias("root")
-    placed = others.join(roots, "node", "left").select("band", "node", "away", root)
+    placed = buckets.join(roots, "node", "left").select("band", "node", root)
     mixed = placed.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2")
-    some = stored(placed.join(mixed.select("band"), "band"), "unsettled")
+    nodes = placed.join(mixed.select("band"), "band", "left_semi").select("node", "root").distinct()
+    kind = "node binary, root binary, size long, shingle long, weight long"
+    rows = stored(map_slices(nodes.join(texts, "node").select("node", "root", "text"), _shingle_rows, kind), "shingles")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+    before = Window.partitionBy("node").orderBy("often", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("size") - F.coalesce(F.sum("weight").over(before), F.lit(0))
+    first = (
+        rows.join(often, "shingle")
+        .withColumn("left", left)
+        .where((F.col("left") >= similar * F.col("size") - 1e-9) & (F.col("often") > 1))
+        .select("node", "root", "size", "shingle", "left")
+    )
+    # a shingle of one component only joins nothing
+    spread = first.groupBy("shingle").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2")
+    some = stored(first.join(spread.select("shingle"), "shingle", "left_semi"), "prefixes")
     x, y = some.alias("x"), some.alias("y")
-    near = F.abs(F.col("x.away") - F.col("y.away")) <= far + 1e-9
+    shared = F.least("x.left", "y.left") >= similar * (F.col("x.size") + F.col("y.size")) / (1 + similar) - 1e-9
     apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & apart & near)
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart & shared)
     return stored(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
 
 

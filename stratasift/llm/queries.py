@@ -10,6 +10,7 @@ from stratasift.llm.common import read_table
 from stratasift.llm.decontaminate import find_leaks
 from stratasift.llm.digest import digest_report
 from stratasift.llm.language_model import score_language_model
+from stratasift.llm.main_text import extract_main_text
 from stratasift.llm.near_dups import near_duplicates
 from stratasift.llm.quality import held_out, learn_quality, score_quality
 from stratasift.llm.secret_scan import secret_report
@@ -34,6 +35,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(read_table(spark, sf_dir, "documents"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op5_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_report(read_table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op1_severity": op1_severity,
     "op2_language_model": op2_language_model,
     "op3_secrets": op3_secrets,
+    "op4_main_text": op4_main_text,
     "op5_digests": op5_digests,
     "op6_token_files": op6_token_files,
     "op7_leaks": op7_leaks,
