@@ -127,8 +127,8 @@ def _send(part: pa.RecordBatch, shards: int, table: dict, n: int, v: int) -> pa.
     here = known & (context == NONE)
     sums = [
         np.bincount(place[known], minlength=many),
-        np.bincount(place, weights=base, minlength=many),
-        np.bincount(place[here], weights=base[here], minlength=many),
+        np.bincount(place, weights=base, minlength=many).astype(np.float64),
+        np.bincount(place[here], weights=base[here], minlength=many).astype(np.float64),
     ]
     rows = {
         "shard": pa.nulls(many, pa.int32()), "uid": pa.array(uid), "key": part.column("key"), "held": part.column("held"),
