@@ -10,6 +10,7 @@ from stratasift.functions.priority import SPAN
 BROADCAST_BYTES = 64 << 20
 ROW_OVERHEAD = 64
 HOT_STRATA = 1000
+SALT_ROWS = 1_000_000
 LIMIT_SLOTS = 1 << 20
 
 _SALT = "_salt"
@@ -63,7 +64,7 @@ def attach(
     table is broadcast and the rows do not move. Beyond, rows are cut by the limits of hash slots (where that drops most
     of them), then shuffled on stratum and salt. Only strata holding more than
     1/HOT_STRATA of all rows get several salts; as there are fewer than HOT_STRATA
-    of those, their salt counts are broadcast.
+    of those, their salt counts are broadcast. A salt stands for SALT_ROWS rows at most.
     """
     below = F.col(spread) < F.col(limit) if limit else F.lit(True)
     if size is None:
@@ -78,7 +79,7 @@ def attach(
     if limit and same_types and kept is not None and kept < total / 2:
         rows = _cut_by_slot(rows, table, by, spread, limit, slots)
     share = max(total // HOT_STRATA, 1)
-    salts = F.least(F.ceil(F.col("_n") / share), F.lit(HOT_STRATA)).cast("int")
+    salts = F.ceil(F.col("_n") / min(share, SALT_ROWS)).cast("int")
     is_hot = F.col("_n") > share
     hot = table.where(is_hot).select(*by, salts.alias("_salts"))
     salt = F.pmod(F.col(spread), F.coalesce("_salts", F.lit(1))).cast("int")

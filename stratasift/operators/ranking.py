@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stratasift.session import materialize
 
-SMALL_RANK = 1_000_000
+SMALL_RANK = 20_000
 
 
 def global_rank(

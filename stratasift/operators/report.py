@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratasift.functions.columns import FIGURES, group_columns, resolve, stratum
+from stratasift.operators.ranking import global_rank
+from stratasift.session import materialize
+
+CHUNK_ROWS = 10_000
 
-NESTED_ROWS = 100_000
 
 def sample_stats(sample: DataFrame, by: Iterable[str], value: str) -> DataFrame:
     """Size, mean and population standard deviation of each stratum's sample."""
@@ -38,23 +41,25 @@ def nested_report(
     allocation: DataFrame,
     by: Iterable[str],
     value: str,
-    most: int = NESTED_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """:func:`sample_report` with the sampled values as an array per stratum.
+    """:func:`sample_report` with the sampled values as arrays.
 
-    An array lives in one row, so a sample of more than ``most`` rows in one
-    stratum is refused; the sample itself holds the same rows flat.
+    A stratum's values in ascending order are cut into arrays of ``chunk_rows``, one
+    row per array: ``chunk`` counts 0, 1, ... and a row's values are at most as many.
     """
     groups = group_columns(sample, by)
-    largest = allocation.agg(F.max("si")).first()[0] or 0
-    if largest > most:
-        raise ValueError(f"a stratum has {largest} sampled rows, more than {most}; use the sample")
-    values = sample.groupBy(*groups).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(value).cast("double").alias("value")))).alias(
-            "sample"
-        )
+    values = sample.select(*groups, F.col(value).cast("double").alias("value"))
+    order = [*map(F.col, groups), F.col("value")]
+    ranked = materialize(global_rank(values, order, "_at", sample.count()))
+    starts = ranked.groupBy(*groups).agg(F.min("_at").alias("_from"))
+    place = (F.col("_at") - F.col("_from")) / chunk_rows
+    chunks = (
+        ranked.join(starts, groups)
+        .groupBy(*groups, F.floor(place).cast("bigint").alias("chunk"))
+        .agg(F.array_sort(F.collect_list(F.struct("value"))).alias("sample"))
     )
-    return sample_report(sample, allocation, groups, value).join(values, groups)
+    return sample_report(sample, allocation, groups, value).join(chunks, groups)
 
 
 def _text(number: Column, digits: int | None) -> Column:
@@ -96,7 +101,7 @@ def report_lines(
             F.lit(number).alias("part"), at.alias("_at"), line.alias("line"),
         )
 
-    order = F.struct(*[F.col(c) for c in keys]) if keys else F.struct(F.lit(0))
+    order = F.struct(*[F.col(c) for c in keys or [resolve(sample, value)]])
     records = part(sample, 1, record, order)
     nowhere = F.lit(None).cast(records.schema["_at"].dataType)
     headers = part(report, 0, header, nowhere)

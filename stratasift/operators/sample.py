@@ -8,11 +8,11 @@ keep hot strata out of single tasks and the shuffle near the size of the sample:
    a chance near 1e-9, so rows above that limit are dropped before any shuffle.
 2. Count per bucket. Candidates fall in priority buckets of a few thousand rows;
    running sums over the buckets tell how many rows to take from each.
-3. Rank inside (stratum, bucket), never across a whole stratum.
+3. Rank inside (stratum, bucket), never across a whole stratum. A bucket that came out
+   much larger, because the data grew since the statistics, is cut into buckets again.
 
 Strata that come out short of rows are drawn again without a limit, so the result
-is exact whatever the limit did. Where the limits let pass at most DIRECT_ROWS rows
-in all, step 2 is left out and whole strata are ranked.
+is exact whatever the limit did.
 """
 
 from __future__ import annotations
@@ -30,14 +30,14 @@ from stratasift.operators.skip import prune_partitions
 from stratasift.session import materialize
 
 BUCKET_ROWS = 4096
-MAX_BUCKETS = 1 << 16
-DIRECT_ROWS = 1_000_000
+LARGE_BUCKET = 4  # times bucket_rows
 SLACK = (7.0, 12.25)
 
 P = "_p"
 # Columns added to the rows on the way.
 INTERNAL = {
     P, "_si", "_n", "_sid", "_limit", "_bucket", "_rank", "_take", "_rows",
+    "_low", "_high", "_parts",
     "_salt", "_salts", "_slot", "_slot_limit",
 }
 
@@ -47,9 +47,25 @@ def bucketed(rows: DataFrame, expected: Column, bucket_rows: int = BUCKET_ROWS)
 
     ``expected`` is about how many rows the stratum has below ``_limit``.
     """
-    buckets = F.greatest(F.lit(1), F.least(F.ceil(expected / bucket_rows), F.lit(MAX_BUCKETS)))
+    buckets = F.greatest(F.lit(1), F.ceil(expected / bucket_rows))
     slot = F.floor(F.col(P).cast("double") / F.col("_limit") * buckets)
-    return rows.withColumn("_bucket", F.least(slot, buckets - 1).cast("int"))
+    return rows.withColumn("_bucket", F.least(slot, buckets - 1).cast("bigint"))
+
+
+def rebucketed(candidates: DataFrame, counts: DataFrame, by: list[str], bucket_rows: int) -> DataFrame:
+    """Candidates with buckets cut further by the rows that were counted in them.
+
+    A stratum's buckets are all cut into as many parts, enough for its largest one.
+    """
+    most = counts.groupBy(*by).agg(F.ceil(F.max("_rows") / bucket_rows).alias("_parts"))
+    widest = candidates.groupBy(*by, "_bucket").agg(F.min(P).alias("_low"), F.max(P).alias("_high"))
+    share = (F.col(P) - F.col("_low")).cast("double") / (F.col("_high") - F.col("_low") + 1)
+    part = F.least(F.floor(share * F.col("_parts")), F.col("_parts") - 1)
+    return (
+        candidates.join(widest.join(most, by), [*by, "_bucket"])
+        .withColumn("_bucket", (F.col("_bucket") * F.col("_parts") + part).cast("bigint"))
+        .drop("_low", "_high", "_parts")
+    )
 
 
 def bucket_counts(candidates: DataFrame, by: list[str]) -> DataFrame:
@@ -85,7 +101,6 @@ def draw_sample(
     slack: tuple[float, float] = SLACK,
     bucket_rows: int = BUCKET_ROWS,
     broadcast_bytes: int = BROADCAST_BYTES,
-    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Rows of ``data`` in the sample, with the columns of ``data``.
 
@@ -114,12 +129,7 @@ def draw_sample(
     limit = F.least(F.ceil(near / F.col("_n") * SPAN), F.lit(SPAN)).cast("bigint")
     strata = strata.withColumn("_limit", limit)
     expected = F.col("_n") * (F.col("_limit") / SPAN)
-    size, wanted, largest, reach = strata.agg(
-        table_bytes(strata, groups),
-        F.sum("_si"),
-        F.max("_si"),
-        F.sum(F.greatest(expected, F.lit(0))),
-    ).first()
+    size, wanted = strata.agg(table_bytes(strata, groups), F.sum("_si")).first()
 
     def below_limit(table: DataFrame) -> DataFrame:
         rows = attach(keyed, table, groups, P, "_limit", broadcast_bytes, size)
@@ -128,18 +138,15 @@ def draw_sample(
     def pick(found: DataFrame, counts: DataFrame) -> DataFrame:
         return take_smallest(found, counts, groups, keys).select(*columns)
 
-    if (reach or 0) <= direct_rows:
-        # Few rows below the limits in all: rank them by stratum, no buckets needed.
-        inside = W.partitionBy(*groups).orderBy(P, *keys)
-        ranked = below_limit(strata).withColumn("_rank", F.row_number().over(inside))
-        # The constant bound lets Spark limit the groups before the shuffle as well.
-        drawn = (F.col("_rank") <= F.col("_si")) & (F.col("_rank") <= F.lit(largest))
-        sample = materialize(ranked.where(drawn).select(*columns))
-        if sample.count() == (wanted or 0):
-            return sample
-
-    found = materialize(bucketed(below_limit(strata), expected, bucket_rows))
-    counts = materialize(bucket_counts(found, groups))
+    def counted(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows = materialize(bucketed(below_limit(table), expected, bucket_rows))
+        sizes = materialize(bucket_counts(rows, groups))
+        if (sizes.agg(F.max("_rows")).first()[0] or 0) > LARGE_BUCKET * bucket_rows:
+            rows = materialize(rebucketed(rows, sizes, groups, bucket_rows))
+            sizes = materialize(bucket_counts(rows, groups))
+        return rows, sizes
+
+    found, counts = counted(strata)
     # No stratum gives more than si, so equal sums mean that none came out short.
     if counts.agg(F.sum("_take")).first()[0] == wanted:
         return pick(found, counts)
@@ -152,6 +159,6 @@ def draw_sample(
     )
     if short.isEmpty():
         return pick(found, counts)
-    again = materialize(bucketed(below_limit(short), expected, bucket_rows))
+    again, again_counts = counted(short)
     enough = pick(found, counts.join(short.select(*groups), groups, "left_anti"))
-    return enough.unionByName(pick(again, bucket_counts(again, groups)))
+    return enough.unionByName(pick(again, again_counts))

@@ -74,12 +74,8 @@ def merge_stats(stats: DataFrame, by: Iterable[str]) -> DataFrame:
 def latest_stats(stats: DataFrame, by: Iterable[str], version: str) -> DataFrame:
     """The newest row of each stratum in an append-only statistics table.
 
-    A version may hold a stratum once. The numeric columns are picked one by one
-    under the same order, which keeps the aggregate hash-based.
+    If a version holds a stratum twice, one of the two rows is taken whole.
     """
     groups = group_columns(stats, by)
-    order = F.col(version)
-    return stats.groupBy(*groups).agg(
-        *[F.max_by(F.col(c), order).alias(c) for c in ("mean", "std", "n")],
-        F.max(order).alias(version),
-    )
+    newest = stats.groupBy(*groups).agg(F.max(F.struct(version, "n", "mean", "std")).alias("_row"))
+    return newest.select(*groups, *[F.col("_row")[c].alias(c) for c in ("mean", "std", "n", version)])

@@ -27,7 +27,7 @@ from stratasift.operators.report import nested_report, report_lines, sample_repo
 from stratasift.operators.sample import draw_sample
 from stratasift.plans.whole_run import SampleRun, stratified_sample
 from stratasift.session import checkpoint_dir, materialize
-from stratasift.sources.csv import parse_csv, to_csv_line
+from stratasift.sources.csv import parse_csv, read_csv, to_csv_line
 from stratasift.sources.lines import read_lines
 from stratasift.sources.stats_table import read_stats, write_stats
 from stratasift.sources.topic import (
@@ -37,7 +37,7 @@ from stratasift.sources.topic import (
     stats_to_records,
     to_records,
 )
-from stratasift.streaming.idle import await_idle, idle_stats, publish_when_idle
+from stratasift.streaming.idle import PROVIDER, ROCKSDB, await_idle, idle_stats, publish_when_idle
 from stratasift.streaming.sample import read_sample, sample_writer
 from stratasift.streaming.slots import read_latest
 from stratasift.streaming.stats import stats_writer
@@ -144,11 +144,20 @@ def clean_documents_csv(spark, sf_dir):
     )
 
 
+def csv_file_stats_events(spark, sf_dir):
+    """CSV files with a header line, written and read as files."""
+    folder = f"{run_folder(spark)}/csv"
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value", "props")
+    events.write.options(header=True, escape='"').csv(folder)
+    back = read_csv(spark, folder, events.columns)
+    return round_stats(stratum_stats(back, ["event_type"], "value"), DIGITS)
+
+
 def latest_stats_events(spark, sf_dir):
     """Statistics appended twice; a kind missing from the second keeps its first row."""
     events = table(spark, sf_dir, "events")
     folder = f"{run_folder(spark)}/stats"
-    early = events.where(F.col("value") < 100)
+    early = events.withColumn("value", F.col("value") / 2)
     write_stats(stratum_stats(early, ["event_type"], "value"), folder, version=1)
     later = events.where(F.col("event_type") != "signup")
     write_stats(stratum_stats(later, ["event_type"], "value"), folder, version=2)
@@ -212,6 +221,14 @@ def allocate_degenerate(spark, sf_dir):
     return allocate(stats, DOCS, held(stats) * 3 // 5)
 
 
+def allocate_zero_strata(spark, sf_dir):
+    """Some strata have mean and deviation 0."""
+    docs = table(spark, sf_dir, "documents")
+    zeroed = docs.withColumn("v", F.when(F.col("lang") == "de", 0.0).otherwise(F.col("n_chars").cast("double")))
+    stats = stored_stats(zeroed, DOCS, "v")
+    return allocate(stats, DOCS, held(stats) * 3 // 5)
+
+
 def allocate_infinite_share(spark, sf_dir):
     """Some strata centred on 0: infinite coefficients of variation."""
     orders = table(spark, sf_dir, "orders")
@@ -294,7 +311,22 @@ def stratified_sample_lineitem(spark, sf_dir):
 
 
 def stratified_sample_orders_fast(spark, sf_dir):
-    return orders_run(spark, sf_dir, hasher="xxhash64").sample
+    """The fast hash: rows per stratum, without repeats, all of them rows of the table."""
+    run = orders_run(spark, sf_dir, hasher="xxhash64")
+    orders = table(spark, sf_dir, "orders").select(*ORDERS, "o_orderkey", "o_totalprice")
+    inside = run.sample.join(orders, [*ORDERS, "o_orderkey", "o_totalprice"], "left_semi")
+    return inside.groupBy(*ORDERS).agg(
+        F.count("*").alias("rows"), F.countDistinct("o_orderkey").alias("orders")
+    )
+
+
+def stratified_sample_lineitem_keep(spark, sf_dir):
+    """No unique id, with a column kept: equal tuples with it are numbered."""
+    lines = table(spark, sf_dir, "lineitem")
+    return stratified_sample(
+        lines, LINES, "l_quantity", lines.count() // 60, keep=["l_linenumber"], seed=SEED,
+        hasher="md5", digits=DIGITS,
+    ).sample
 
 
 def skip_sample_events(spark, sf_dir):
@@ -329,6 +361,17 @@ def nested_report_documents(spark, sf_dir):
     )
 
 
+def nested_report_orders(spark, sf_dir):
+    """Arrays of ten values: strata that span several chunks."""
+    run = orders_run(spark, sf_dir)
+    nested = nested_report(run.sample, run.allocation, run.by, run.value, chunk_rows=10)
+    return nested.select(
+        *ORDERS, "sample_n", "chunk", F.size("sample").alias("n_values"),
+        F.element_at("sample", 1)["value"].alias("lowest"),
+        F.element_at("sample", -1)["value"].alias("highest"),
+    )
+
+
 def report_lines_orders(spark, sf_dir):
     return orders_run(spark, sf_dir).lines(digits=DIGITS)
 
@@ -413,21 +456,25 @@ def idle_emit_events(spark, sf_dir):
     partitions = min(
         int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
     )
-    usual = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
-    emitted = idle_stats(stream(spark, sf_dir, "events"), ["event_type"], "value", 1000)
+    usual = {key: spark.conf.get(key, None) for key in ("spark.sql.shuffle.partitions", PROVIDER)}
 
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/emitted/batch={number}")
 
-    query = (
-        emitted.writeStream.outputMode("update")
-        .option("checkpointLocation", f"{folder}/state")
-        .foreachBatch(store)
-        .trigger(processingTime="200 milliseconds")
-        .start()
-    )
-    spark.conf.set("spark.sql.shuffle.partitions", usual)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        spark.conf.set(PROVIDER, ROCKSDB)
+        emitted = idle_stats(stream(spark, sf_dir, "events"), ["event_type"], "value", 1000)
+        query = (
+            emitted.writeStream.outputMode("update")
+            .option("checkpointLocation", f"{folder}/state")
+            .foreachBatch(store)
+            .trigger(processingTime="200 milliseconds")
+            .start()
+        )
+    finally:
+        for key, value in usual.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     try:
         if not await_idle(query, 3000, 300):
             raise TimeoutError("the stream did not go quiet")
@@ -445,6 +492,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stratum_stats_clean_csv": stratum_stats_clean_csv,
     "rejected_csv": rejected_csv,
     "clean_documents_csv": clean_documents_csv,
+    "csv_file_stats_events": csv_file_stats_events,
     "latest_stats_events": latest_stats_events,
     "merge_stats_lineitem": merge_stats_lineitem,
     "stats_records_orders": stats_records_orders,
@@ -454,6 +502,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "allocate_documents_take": allocate_documents_take,
     "allocate_weight_list": allocate_weight_list,
     "allocate_degenerate": allocate_degenerate,
+    "allocate_zero_strata": allocate_zero_strata,
     "allocate_infinite_share": allocate_infinite_share,
     "allocate_signed": allocate_customer("signed"),
     "allocate_abs": allocate_customer("abs"),
@@ -464,12 +513,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stratified_sample_events": stratified_sample_events,
     "stratified_sample_documents": stratified_sample_documents,
     "stratified_sample_lineitem": stratified_sample_lineitem,
+    "stratified_sample_lineitem_keep": stratified_sample_lineitem_keep,
     "skip_sample_events": skip_sample_events,
     "skip_sample_documents": skip_sample_documents,
     "number_copies_lineitem": number_copies_lineitem,
     "sample_report_orders": sample_report_orders,
     "sample_report_documents": sample_report_documents,
     "nested_report_documents": nested_report_documents,
+    "nested_report_orders": nested_report_orders,
     "report_lines_orders": report_lines_orders,
     "topic_records_events": topic_records_events,
     "topic_stats_events": topic_stats_events,

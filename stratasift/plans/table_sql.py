@@ -85,13 +85,11 @@ def allocate(source: str, by: list[str], value: str, budget: str, **options: str
 SELECT {joined(by)}, mean, std, n, si FROM allocated"""
 
 
-def sampling(
-    source: str, by: list[str], value: str, budget: str, ids: list[str], priority: str = ""
-) -> str:
+def sampling(source: str, by: list[str], value: str, budget: str, ids: list[str]) -> str:
     """WITH-clause body ending in ``allocated`` and ``sampled``."""
     text = f"concat_ws(':', '{SEED}', " + joined([f"CAST(d.{c} AS VARCHAR)" for c in ids]) + ")"
     groups = joined([f"d.{c}" for c in by])
-    order = joined([priority or f"substr(md5({text}), 1, 13)", *[f"d.{c}" for c in ids]])
+    order = joined([f"substr(md5({text}), 1, 13)", *[f"d.{c}" for c in ids]])
     return f"""{allocation(source, by, value, budget)},
 sampled AS (
   SELECT * FROM (
@@ -102,60 +100,12 @@ sampled AS (
 
 
 def sample(
-    source: str, by: list[str], value: str, budget: str, ids: list[str], columns: list[str],
-    priority: str = "",
+    source: str, by: list[str], value: str, budget: str, ids: list[str], columns: list[str]
 ) -> str:
-    return f"""WITH {sampling(source, by, value, budget, ids, priority)}
+    return f"""WITH {sampling(source, by, value, budget, ids)}
 SELECT {joined(columns)} FROM sampled"""
 
 
-# The five primes of XXH64 and the seed's own hash, xxhash64(7).
-XXH_PRIMES = (
-    11400714785074694791,
-    14029467366897019727,
-    1609587929392839161,
-    9650029242287828579,
-    2870177450012600261,
-)
-XXH_SEED_HASH = 2786828215451145335
-WORD = 1 << 64
-
-
-def xxhash_rows(source: str, key: str) -> str:
-    """``source`` with ``p``, the upper 52 bits of XXH64 of a bigint key."""
-    p1, p2, p3, p4, p5 = XXH_PRIMES
-
-    def times(x: str, prime: int) -> str:
-        return f"(({x}) * CAST({prime} AS UHUGEINT)) % CAST({WORD} AS UHUGEINT)"
-
-    def rotated(x: str, bits: int) -> str:
-        low, high = 1 << bits, 1 << (64 - bits)
-        return (
-            f"((({x}) % CAST({high} AS UHUGEINT)) * CAST({low} AS UHUGEINT)"
-            f" + ({x}) // CAST({high} AS UHUGEINT))"
-        )
-
-    def folded(x: str, bits: int) -> str:
-        return f"xor({x}, ({x}) // CAST({1 << bits} AS UHUGEINT))"
-
-    start = (XXH_SEED_HASH % WORD + p5 + 8) % WORD
-    steps = [
-        times(f"CAST({key} AS UHUGEINT)", p2),
-        times(rotated("x", 31), p1),
-        f"xor(CAST({start} AS UHUGEINT), x)",
-        f"({times(rotated('x', 27), p1)} + CAST({p4} AS UHUGEINT)) % CAST({WORD} AS UHUGEINT)",
-        folded("x", 33),
-        times("x", p2),
-        folded("x", 29),
-        times("x", p3),
-        folded("x", 32),
-    ]
-    query = f"SELECT *, {steps[0]} AS x FROM {source}"
-    for step in steps[1:]:
-        query = f"SELECT * REPLACE ({step} AS x) FROM ({query})"
-    return f"(SELECT * EXCLUDE (x), CAST(x // 4096 AS BIGINT) AS p FROM ({query}))"
-
-
 def report(source: str, by: list[str], value: str, budget: str, ids: list[str]) -> str:
     return f"""WITH {sampling(source, by, value, budget, ids)}
 SELECT {joined(by)}, any_value(mean) AS mean, any_value(std) AS std, any_value(n) AS n,
@@ -177,6 +127,8 @@ COPIES = f"""(
          row_number() OVER (PARTITION BY {joined(LINES)}, l_quantity) AS copy_no
   FROM lineitem)"""
 
+KEPT_COPIES = COPIES.replace("l_quantity", "l_quantity, l_linenumber")
+
 CLEAN_EVENTS = "(SELECT * FROM events WHERE event_type <> 'error' AND value <= 400)"
 
 
@@ -218,12 +170,13 @@ FROM ({stats(CLEAN_EVENTS, ["event_type"], "value")})""",
 FROM events WHERE event_type <> 'error' AND value > 400""",
     "clean_documents_csv": """SELECT doc_id, lang, CAST(n_chars AS DOUBLE) AS n_chars,
        md5(text) AS text_md5 FROM documents""",
+    "csv_file_stats_events": stats("events", ["event_type"], "value"),
     "latest_stats_events": f"""
 SELECT *, CAST(2 AS BIGINT) AS version
 FROM ({stats("events", ["event_type"], "value")}) WHERE event_type <> 'signup'
 UNION ALL
 SELECT *, CAST(1 AS BIGINT)
-FROM ({stats("(SELECT * FROM events WHERE value < 100)", ["event_type"], "value")})
+FROM ({stats("(SELECT * REPLACE (value / 2 AS value) FROM events)", ["event_type"], "value")})
 WHERE event_type = 'signup'""",
     "merge_stats_lineitem": stats("lineitem", LINES, "l_extendedprice"),
     "stats_records_orders": f"""SELECT {stratum(ORDERS)} AS stratum, mean, std, n
@@ -248,6 +201,10 @@ FROM ({stats("documents", DOCS, "n_chars")})""",
     "allocate_degenerate": allocate(
         "(SELECT *, 1.0 AS one FROM documents)", DOCS, "one", "rows * 3 // 5"
     ),
+    "allocate_zero_strata": allocate(
+        "(SELECT *, CASE WHEN lang = 'de' THEN 0.0 ELSE CAST(n_chars AS DOUBLE) END AS v"
+        " FROM documents)", DOCS, "v", "rows * 3 // 5",
+    ),
     "allocate_infinite_share": allocate(
         f"""(SELECT *, o_totalprice - CASE WHEN o_orderstatus = 'P'
              THEN avg(o_totalprice) OVER (PARTITION BY {joined(ORDERS)}) ELSE 0.0 END AS v
@@ -268,9 +225,12 @@ FROM ({stats("documents", DOCS, "n_chars")})""",
     "stratified_sample_orders": sample(
         *ORDERS_SAMPLE, [*ORDERS, "o_orderkey", "o_totalprice"]
     ),
-    "stratified_sample_orders_fast": sample(
-        xxhash_rows("orders", "o_orderkey"), *ORDERS_SAMPLE[1:],
-        [*ORDERS, "o_orderkey", "o_totalprice"], "d.p",
+    "stratified_sample_orders_fast": f"""WITH {allocation(*ORDERS_SAMPLE[:4])}
+SELECT {joined(ORDERS)}, si AS rows, si AS orders FROM allocated""",
+    "stratified_sample_lineitem_keep": sample(
+        KEPT_COPIES, LINES, "l_quantity", "rows // 60",
+        [*LINES, "l_quantity", "l_linenumber", "copy_no"],
+        [*LINES, "l_quantity", "l_linenumber", "copy_no"],
     ),
     "stratified_sample_events": sample(*EVENTS_SAMPLE, EVENTS_OUT),
     "stratified_sample_documents": sample(*DOCS_SAMPLE, DOCS_OUT),
@@ -287,6 +247,13 @@ FROM ({stats("documents", DOCS, "n_chars")})""",
 SELECT lang, source, any_value(n) AS n, any_value(si) AS si, count(*) AS sample_n,
        string_agg(CAST(n_chars AS VARCHAR), ',' ORDER BY n_chars) AS sample_values
 FROM sampled GROUP BY lang, source""",
+    "nested_report_orders": f"""WITH {sampling(*ORDERS_SAMPLE)},
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY {joined(ORDERS)} ORDER BY o_totalprice) - 1 AS pos,
+         count(*) OVER (PARTITION BY {joined(ORDERS)}) AS sample_n FROM sampled)
+SELECT {joined(ORDERS)}, sample_n, CAST(pos // 10 AS BIGINT) AS chunk,
+       CAST(count(*) AS INTEGER) AS n_values, min(o_totalprice) AS lowest, max(o_totalprice) AS highest
+FROM placed GROUP BY {joined(ORDERS)}, sample_n, pos // 10""",
     "report_lines_orders": report_lines(),
     "topic_records_events": """
 SELECT lpad(printf('%x', place), 16, '0') AS key_hex, place AS key,

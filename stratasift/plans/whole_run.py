@@ -57,15 +57,17 @@ def stratified_sample(
 ) -> SampleRun:
     """Sample ``budget`` rows of ``df``, more from strata that vary more.
 
-    Without ``ids`` the rows are (group columns, value) tuples and equal tuples are
-    numbered. ``stats`` are statistics stored earlier; otherwise they are computed.
+    Without ``ids`` the rows are tuples of group columns, value and ``keep`` columns, and
+    equal tuples are numbered. ``stats`` are statistics stored earlier; otherwise they are computed.
     ``digits`` rounds them before the allocation.
     """
     groups = resolve_all(df, by)
     number = resolve(df, value)
     if ids is None:
-        rows = number_copies(clean(df, groups, number, on_bad=on_bad), [*groups, number])
-        keys = [*groups, number, "copy_no"]
+        kept = [c for c in (resolve(df, k) for k in keep) if c not in (*groups, number)]
+        tuples = [*groups, number, *kept]
+        rows = number_copies(clean(df, groups, number, keep=kept, on_bad=on_bad), tuples)
+        keys = [*tuples, "copy_no"]
     else:
         keys = resolve_all(df, ids)
         rows = clean(df, groups, number, keep=[*keys, *keep], on_bad=on_bad)

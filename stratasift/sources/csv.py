@@ -21,6 +21,8 @@ OPTIONS = {
     "columnNameOfCorruptRecord": CORRUPT,
 }
 
+FIRST_RECORD = r'^(?:[^"\r\n]++|"(?:[^"]++|"")*+"|")*+'
+
 WRITE_OPTIONS = {
     "escape": '"',
     "emptyValue": "",
@@ -50,7 +52,7 @@ def read_csv(
 
 
 def parse_csv(df: DataFrame, column: str | int, columns: Sequence[str]) -> DataFrame:
-    """Replace a column of CSV lines by its fields.
+    """Replace a column of CSV lines by its fields; of several records, the first counts.
 
     A line with too few or too many fields keeps what it has and is copied to
     ``_corrupt_record``, so bad lines can be told from empty fields.
@@ -58,7 +60,10 @@ def parse_csv(df: DataFrame, column: str | int, columns: Sequence[str]) -> DataF
     name = resolve(df, column)
     ddl = ", ".join(f"`{c}` string" for c in [*columns, CORRUPT])
     others = [c for c in df.columns if c != name]
-    record = F.from_csv(F.col(name), ddl, OPTIONS).alias("_record")
+    # up to the first line end outside quotes; possessive, so long texts need no stack
+    first = F.regexp_extract(F.col(name), FIRST_RECORD, 0)
+    line = F.when(F.col(name).isNotNull(), first)
+    record = F.from_csv(line, ddl, OPTIONS).alias("_record")
     return df.select(*others, record).select(*others, "_record.*")
 
 

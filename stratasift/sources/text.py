@@ -10,9 +10,14 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.select("line").write.mode("overwrite").text(path)
 
 
-def show_stats(stats: DataFrame, rows: int = 1000) -> None:
-    """Print statistics or reports to standard output."""
-    stats.show(rows, truncate=False)
+def show_stats(stats: DataFrame) -> None:
+    """Print every row of statistics or reports to standard output, tab-separated.
+
+    Rows come partition by partition, so the driver holds one partition at a time.
+    """
+    print(*stats.columns, sep="\t")
+    for row in stats.toLocalIterator():
+        print(*row, sep="\t")
 
 
 def console(stream: DataFrame, mode: str = "complete"):

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from stratasift.functions.columns import resolve, resolve_all
 from stratasift.operators.clean import clean
 from stratasift.sources.stats_table import write_stats
-from stratasift.streaming.slots import read_slot
+from stratasift.streaming.slots import read_latest
 
 # Send this module's code along with the tasks: executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -131,7 +131,7 @@ def idle_stats(
     number = resolve(stream, value)
     spark = stream.sparkSession
     if spark.conf.get(PROVIDER, "") != ROCKSDB:
-        spark.conf.set(PROVIDER, ROCKSDB)  # timers need it
+        raise ValueError(f"timers need {PROVIDER} = {ROCKSDB}")
     parts = partial_stats(clean(stream, groups, number), groups, number)
     fields = [parts.schema[c] for c in groups]
     fields += [T.StructField("mean", T.DoubleType()), T.StructField("std", T.DoubleType())]
@@ -195,6 +195,8 @@ def publish_when_idle(
     """
     if not await_idle(query, quiet_ms, limit_s):
         raise TimeoutError("the stream did not go quiet")
-    # The slot of a finished batch is not written while the next batch runs.
-    write_stats(read_slot(spark, path, query.lastProgress["batchId"]), target)
+    result = read_latest(spark, path)
+    if result.isEmpty():
+        raise RuntimeError(f"the stream has no statistics; {target} stays as it is")
+    write_stats(result, target)
     return spark.read.parquet(target)

@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from stratasift.functions.columns import resolve_all
 from stratasift.functions.priority import SPAN, priority
 from stratasift.operators.joins import attach, table_bytes
-from stratasift.operators.sample import DIRECT_ROWS, P, bucket_counts, bucketed, take_smallest
+from stratasift.operators.sample import P, bucket_counts, bucketed, take_smallest
 from stratasift.operators.skip import prune_partitions
 from stratasift.session import materialize
 from stratasift.streaming.slots import read_latest, read_slot, write_slot
@@ -27,7 +26,6 @@ def sample_writer(
     checkpoint: str,
     seed: int = 0,
     hasher: str = "xxhash64",
-    direct_rows: int = DIRECT_ROWS,
 ) -> DataStreamWriter:
     """A writer that keeps, after every batch, the sample of all rows so far.
 
@@ -49,8 +47,7 @@ def sample_writer(
         )
     )
     unlimited = strata.withColumn("_limit", F.lit(SPAN).cast("bigint"))
-    size, wanted = unlimited.agg(table_bytes(unlimited, groups), F.sum("_si")).first()
-    inside = W.partitionBy(*groups).orderBy(P, *keys)
+    size = unlimited.agg(table_bytes(unlimited, groups)).first()[0]
 
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -72,14 +69,9 @@ def sample_writer(
         entering = prune_partitions(near, "_sid", "_si", P)
         if kept is not None:
             entering = entering.unionByName(attach(kept, table, groups, P, size=size))
-        # Reservoirs let pass about the whole sample per input partition at most.
-        if (wanted or 0) * (batch.rdd.getNumPartitions() + 1) <= direct_rows:
-            ranked = entering.withColumn("_rank", F.row_number().over(inside))
-            picked = ranked.where(F.col("_rank") <= F.col("_si"))
-        else:
-            expected = F.greatest("_si", F.col("_n") * (F.col("_limit") / SPAN))
-            found = materialize(bucketed(entering, expected))
-            picked = take_smallest(found, bucket_counts(found, groups), groups, keys)
+        expected = F.greatest("_si", F.col("_n") * (F.col("_limit") / SPAN))
+        found = materialize(bucketed(entering, expected))
+        picked = take_smallest(found, bucket_counts(found, groups), groups, keys)
         write_slot(picked.select(*columns, P), path, number)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(fold)

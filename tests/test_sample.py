@@ -44,14 +44,13 @@ def test_smallest_priorities(docs, sizes, method, hasher):
 
 
 OPTIONS = {
-    "buckets": {"direct_rows": 0},
-    "several buckets": {"bucket_rows": 2, "direct_rows": 0},
+    "buckets": {},
+    "several buckets": {"bucket_rows": 2},
     "limit too low": {"slack": (-1.0, 0.0)},
-    "limit too low, buckets": {"slack": (-1.0, 0.0), "direct_rows": -1},
     "limit at zero": {"slack": (-50.0, 0.0)},
     "no broadcast": {"broadcast_bytes": 0},
     "low limit, no broadcast, buckets": {
-        "slack": (0.0, 0.0), "broadcast_bytes": 0, "bucket_rows": 2, "direct_rows": 0
+        "slack": (0.0, 0.0), "broadcast_bytes": 0, "bucket_rows": 2
     },
     "skip, no broadcast": {"method": "skip", "broadcast_bytes": 0},
     "skip, limit too low": {"method": "skip", "slack": (-1.0, 0.0)},
@@ -75,7 +74,7 @@ def test_hot_stratum_is_salted(spark, monkeypatch):
     )
     sizes = allocate(stratum_stats(df, ["g"], "v"), ["g"], 3000)
     whole = draw_sample(df, sizes, ["g"], ["id"], 1)
-    salted = draw_sample(df, sizes, ["g"], ["id"], 1, broadcast_bytes=0, bucket_rows=50, direct_rows=0)
+    salted = draw_sample(df, sizes, ["g"], ["id"], 1, broadcast_bytes=0, bucket_rows=50)
     assert whole.count() == 3000
     assert whole.exceptAll(salted).count() == 0 and salted.count() == 3000
 
@@ -226,3 +225,27 @@ def test_sample_of_copies(spark):
     assert run.sample.count() == 90
     copies = run.sample.where("v = -1").count()
     assert 15 < copies < 45
+
+
+def test_data_grown_since_the_statistics(spark, monkeypatch):
+    """A hundred times the rows that were counted: no group of one task holds a stratum."""
+    from stratasift.operators import sample
+
+    seen = []
+    ranked = sample.take_smallest
+
+    def watched(candidates, counts, by, ids):
+        seen.append(candidates.groupBy(*by, "_bucket").count().agg(F.max("count")).first()[0])
+        return ranked(candidates, counts, by, ids)
+
+    monkeypatch.setattr(sample, "take_smallest", watched)
+    df = spark.range(100_000).select("id", (F.col("id") % 2).alias("g"))
+    old = spark.createDataFrame([(0, 200, 500), (1, 100, 500)], "g long, si long, n long")
+    got = draw_sample(df, old, ["g"], ["id"], 3, bucket_rows=100)
+    assert max(seen) <= 8 * 100
+    assert ids_of(got, "id") == ids_of(draw_sample(df, old, ["g"], ["id"], 3), "id")
+    assert got.groupBy("g").count().orderBy("g").collect() == [(0, 200), (1, 100)]
+
+
+def ids_of(df, name):
+    return sorted(r[name] for r in df.select(name).collect())

@@ -147,3 +147,38 @@ def test_stats_table(spark, tmp_path):
     stats_table.write_stats(stats.withColumn("n", F.col("n") * 2), versions, version=2)
     newest = latest_stats(stats_table.read_stats(spark, versions), ["stratum"], "version")
     assert newest.agg(F.sum("n")).first()[0] == 872
+
+
+def test_lines_are_numbered_when_the_splits_change(spark, tmp_path):
+    from stratasift.sources.lines import read_lines
+
+    path = str(tmp_path / "lines")
+    spark.range(20_000).select(F.col("id").cast("string")).repartition(3).write.text(path)
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        lines = read_lines(spark, path, header=False)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+        got = lines.agg(F.count("*"), F.countDistinct("key"), F.min("key"), F.max("key")).first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+    assert tuple(got) == (20_000, 20_000, 1, 20_000)
+
+
+def test_files_go_by_the_numbers_in_their_names(spark, tmp_path):
+    from stratasift.sources.lines import read_lines
+
+    for n in (9, 10, 100):
+        (tmp_path / f"part-{n}.txt").write_text(f"h\n{n}\n")
+    got = read_lines(spark, str(tmp_path)).orderBy("key").collect()
+    assert [r["value"] for r in got] == ["9", "10", "100"]
+
+
+def test_of_several_records_the_first_counts(spark):
+    from stratasift.sources.csv import parse_csv
+
+    rows = [("a,b\nc,d",), ('"x\ny",z\r\nq',), ("one",), (None,), ('a"b,c',), ("w," + "v" * 200_000,)]
+    got = parse_csv(spark.createDataFrame(rows, "value string"), "value", ["x", "y"]).collect()
+    assert [(r["x"], r["y"] and r["y"][:3]) for r in got] == [
+        ("a", "b"), ("x\ny", "z"), ("one", None), (None, None), ('a"b', "c"), ("w", "vvv")
+    ]

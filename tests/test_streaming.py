@@ -57,13 +57,12 @@ def test_stats_over_restarts(spark, events, tmp_path):
         assert same(got, round_stats(stratum_stats(seen, BY, "value"), 6))
 
 
-@pytest.mark.parametrize("direct", [1_000_000, 0])
-def test_sample_over_restarts(spark, events, sizes, tmp_path, direct):
+def test_sample_over_restarts(spark, events, sizes, tmp_path):
     data, out, state = (str(tmp_path / x) for x in ("data", "out", "state"))
     for first, last in ((0, 2), (2, 5)):
         parts(events, data, first, last)
         stream = source(spark, events, data)
-        run(sample_writer(stream, sizes, BY, ["event_id"], out, state, 4, direct_rows=direct))
+        run(sample_writer(stream, sizes, BY, ["event_id"], out, state, 4))
         seen = events.where(F.pmod(F.hash("event_id"), F.lit(5)) < last)
         assert same(read_sample(spark, out), draw_sample(seen, sizes, BY, ["event_id"], seed=4))
 
@@ -158,3 +157,22 @@ print("rows", prune_partitions(df, "s", "k", "p").count(), partial_stats(df, ["s
 
 def test_arrival_time(spark, events):
     assert with_arrival(events).schema["arrived"].dataType.typeName() == "timestamp"
+
+
+def test_a_version_half_written_is_not_read(spark, events, tmp_path):
+    path = str(tmp_path / "slots")
+    write_slot(events.limit(3), path, 4)
+    events.limit(9).write.parquet(f"{path}/batch-000000000005")  # no marker yet
+    assert read_latest(spark, path).count() == 3
+
+
+def test_a_long_quiet_time_publishes_all(spark, events, tmp_path):
+    """Spark reports batches without rows after ten quiet seconds."""
+    data, out, state, target = (str(tmp_path / x) for x in ("data", "out", "state", "target"))
+    parts(events, data, 0, 5)
+    query = stats_writer(source(spark, events, data), BY, "value", out, state).start()
+    try:
+        got = publish_when_idle(spark, query, out, target, quiet_ms=13_000, limit_s=90)
+    finally:
+        query.stop()
+    assert same(round_stats(got, 6), round_stats(stratum_stats(events, BY, "value"), 6))
