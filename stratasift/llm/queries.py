@@ -77,5 +77,3 @@ QUERIES = {
     "op9_near_dups": op9_near_dups,
     "op10_pieces": op10_pieces,
 }
-
-SQL: dict[str, str] = {}
