@@ -16,9 +16,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratasift.operators.allocate import allocate
+from stratasift.operators.clean import clean
+from stratasift.operators.report import report_lines, sample_report
 from stratasift.operators.stats import latest_stats, sort_stats, stratum_stats
 from stratasift.plans.whole_run import stratified_sample
-from stratasift.session import checkpoint_dir
+from stratasift.session import checkpoint_dir, materialize
 from stratasift.sources.csv import parse_csv, read_csv
 from stratasift.sources.lines import read_lines
 from stratasift.sources.stats_table import read_stats, write_stats
@@ -30,7 +33,8 @@ from stratasift.sources.topic import (
     to_records,
     write_records,
 )
-from stratasift.streaming.idle import publish_when_idle
+from stratasift.streaming.idle import publish_when_idle, sample_when_idle
+from stratasift.streaming.sample import sample_writer
 from stratasift.streaming.stats import stats_writer
 
 
@@ -61,12 +65,13 @@ def parser() -> argparse.ArgumentParser:
         sub = job(name, text)
         sub.add_argument("--groups", type=positions, default=[3, 6, 8])
         sub.add_argument("--value", type=int, default=7)
+        sub.add_argument("--stream", action="store_true", help="read on until input is quiet")
+        sub.add_argument("--timeout", type=int, default=1000, help="quiet time in ms")
+        sub.add_argument("--checkpoint", help="folder of the stream's state; a restart goes on there")
         sub.add_argument("--on-bad", choices=["drop", "fail"], default="drop")
         if name == "stats":
             sub.add_argument("--out", required=True, help="folder for the statistics")
             sub.add_argument("--out-topic", help="topic to send the statistics to as well")
-            sub.add_argument("--stream", action="store_true", help="store when input is quiet")
-            sub.add_argument("--timeout", type=int, default=1000, help="quiet time in ms")
         else:
             sub.add_argument("--stats", help="folder the statistics are in")
             sub.add_argument("--stats-topic", help="topic the statistics are in")
@@ -100,11 +105,15 @@ def feed(spark: SparkSession, args: argparse.Namespace) -> None:
         write_records(records, args.brokers, args.topic)
 
 
+def state_folder(spark: SparkSession, args: argparse.Namespace) -> str:
+    return args.checkpoint or f"{checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"
+
+
 def stats(spark: SparkSession, args: argparse.Namespace) -> None:
     names = [f"c{i}" for i in args.groups]
     value = f"c{args.value}"
     if args.stream:
-        folder = f"{checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"
+        folder = state_folder(spark, args)
         query = stats_writer(
             rows(spark, args, True), names, value, f"{folder}/stats", f"{folder}/state", args.on_bad
         ).start()
@@ -132,7 +141,36 @@ def stored(spark: SparkSession, args: argparse.Namespace, names: list[str]) -> D
     return latest_stats(stats_from_records(records, ", ".join(fields)), names, "version")
 
 
+def sample_stream(spark: SparkSession, args: argparse.Namespace) -> None:
+    """The sample of a stream and its report, stored once the whole stream is quiet.
+
+    Files have no row ids, so their rows are told apart by all columns that are read; equal
+    rows have equal priorities.
+    """
+    names, value = [f"c{i}" for i in args.groups], f"c{args.value}"
+    table = stored(spark, args, names)
+    sizes = materialize(allocate(table, names, args.budget, args.weights, args.cv, args.on_mismatch))
+    stream = rows(spark, args, True)
+    ids = ["partition", "offset"] if args.topic else stream.columns
+    keep = [c for c in ids if c not in (*names, value)]
+    cleaned = clean(stream, names, value, keep=keep, on_bad=args.on_bad)
+    folder = state_folder(spark, args)
+    query = sample_writer(
+        cleaned, sizes, names, ids, f"{folder}/sample", f"{folder}/state", args.seed
+    ).start()
+    try:
+        drawn = sample_when_idle(spark, query, f"{folder}/sample", args.timeout)
+        report = sample_report(drawn, sizes, names, value)
+        if args.out:
+            write_lines(report_lines(drawn, report, names, value, ids), args.out)
+        show_stats(sort_stats(report, names))
+    finally:
+        query.stop()
+
+
 def sample(spark: SparkSession, args: argparse.Namespace) -> None:
+    if args.stream:
+        return sample_stream(spark, args)
     names = [f"c{i}" for i in args.groups]
     run = stratified_sample(
         rows(spark, args),

@@ -37,7 +37,7 @@ from stratasift.sources.topic import (
     stats_to_records,
     to_records,
 )
-from stratasift.streaming.idle import PROVIDER, ROCKSDB, await_idle, idle_stats, publish_when_idle
+from stratasift.streaming.idle import PROVIDER, ROCKSDB, await_idle, idle_stats, publish_when_idle, sample_when_idle
 from stratasift.streaming.sample import read_sample, sample_writer
 from stratasift.streaming.slots import read_latest
 from stratasift.streaming.stats import stats_writer
@@ -432,6 +432,29 @@ def stream_sample_events(spark, sf_dir):
     return read_sample(spark, f"{folder}/sample")
 
 
+def stream_report_events(spark, sf_dir):
+    """Statistics of a stream, sizes, then the sample of a stream and its report when quiet."""
+    folder, by = run_folder(spark), ["event_type"]
+    events = stream(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    counted = stats_writer(events, by, "value", f"{folder}/stats", f"{folder}/stats-state").start()
+    try:
+        stats = publish_when_idle(
+            spark, counted, f"{folder}/stats", f"{folder}/published", quiet_ms=500, limit_s=300
+        )
+    finally:
+        counted.stop()
+    stats = round_stats(stats, DIGITS)
+    sizes = materialize(allocate(stats, by, held(stats) // 20))
+    drawn = sample_writer(
+        events, sizes, by, ["event_id"], f"{folder}/sample", f"{folder}/state", SEED, "md5"
+    ).start()
+    try:
+        sample = sample_when_idle(spark, drawn, f"{folder}/sample", quiet_ms=500, limit_s=300)
+    finally:
+        drawn.stop()
+    return rounded(sample_report(sample, sizes, by, "value"), "sample_mean", "sample_std")
+
+
 def idle_publish_events(spark, sf_dir):
     """A stream that does not end; published once it is quiet."""
     folder = run_folder(spark)
@@ -526,6 +549,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topic_stats_events": topic_stats_events,
     "stream_stats_events": stream_stats_events,
     "stream_sample_events": stream_sample_events,
+    "stream_report_events": stream_report_events,
     "idle_publish_events": idle_publish_events,
     "idle_emit_events": idle_emit_events,
 }

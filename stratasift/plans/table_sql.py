@@ -267,6 +267,7 @@ FROM (SELECT row_number() OVER (ORDER BY event_id) AS place,
             FROM events)''', ["partition", "kind"], "value")})""",
     "stream_stats_events": stats("events", ["event_type"], "value"),
     "stream_sample_events": sample(*EVENTS_SAMPLE, EVENTS_OUT),
+    "stream_report_events": report(*EVENTS_SAMPLE),
     "idle_publish_events": stats("events", ["event_type"], "value"),
     "idle_emit_events": stats("events", ["event_type"], "value"),
 }

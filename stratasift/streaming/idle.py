@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from stratasift.functions.columns import resolve, resolve_all
 from stratasift.operators.clean import clean
 from stratasift.sources.stats_table import write_stats
+from stratasift.streaming.sample import read_sample
 from stratasift.streaming.slots import read_latest
 
 # Send this module's code along with the tasks: executors need no copy of the package.
@@ -179,6 +180,22 @@ def await_idle(query: StreamingQuery, quiet_ms: int, limit_s: float | None = Non
     return False
 
 
+def sample_when_idle(
+    spark: SparkSession,
+    query: StreamingQuery,
+    path: str,
+    quiet_ms: int = 1000,
+    limit_s: float | None = None,
+) -> DataFrame:
+    """The sample of a stream once the whole stream is quiet.
+
+    ``query`` was started from :func:`stratasift.streaming.sample.sample_writer` on ``path``.
+    """
+    if not await_idle(query, quiet_ms, limit_s):
+        raise TimeoutError("the stream did not go quiet")
+    return read_sample(spark, path)
+
+
 def publish_when_idle(
     spark: SparkSession,
     query: StreamingQuery,

@@ -50,6 +50,20 @@ def test_stream_of_files(spark, csv, tmp_path):
     assert tables[0].exceptAll(tables[1]).count() == 0 and tables[1].count() == 9
 
 
+def test_sample_of_a_stream_goes_on_after_a_restart(spark, csv, tmp_path):
+    stats, data = str(tmp_path / "stats"), tmp_path / "data"
+    main(["stats", "--file", csv, "--out", stats])
+    lines = open(csv, encoding="utf-8").read().splitlines()
+    data.mkdir()
+    common = ["--file", str(data), "--stats", stats, "--stream", "--checkpoint", str(tmp_path / "state")]
+    for i, part in enumerate((lines[1:200], lines[200:])):
+        (data / f"{i}.csv").write_text("\n".join([lines[0], *part]) + "\n", encoding="utf-8")
+        main(["sample", *common, "--timeout", "500", "--budget", "90", "--out", str(tmp_path / f"out{i}")])
+    whole = spark.read.text(str(tmp_path / "out1")).where("value != ''").count()
+    assert whole == 90 + 9
+    assert spark.read.text(str(tmp_path / "out0")).where("value != ''").count() <= whole
+
+
 def test_input_is_needed(spark, csv, tmp_path):
     with pytest.raises(SystemExit):
         main(["sample", "--file", csv])
