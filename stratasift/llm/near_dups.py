@@ -9,9 +9,9 @@ probability equal to their weighted Jaccard similarity (sum of least over sum of
 weights).
 
 Texts that agree on all registers of a band are candidates. Every bucket links its members
-to its least member; those pairs are verified on the multisets themselves. Buckets whose members
-ended in different components may hold more links. Their members are joined on rare
-shingles: with all shingles ordered from rare to frequent, two texts that are similar enough
+to its least member, then, where that left several components, to its member with the most links;
+those pairs are verified on the multisets themselves. Buckets whose members are still in
+different components may hold more links. Their members are joined on rare shingles: with all shingles ordered from rare to frequent, two texts that are similar enough
 share one among the first of both, and what follows it is long enough in both. The few pairs
 that meet this bound are verified too. No bucket is expanded into all its pairs, and no link
 between members of a bucket is lost.
@@ -192,6 +192,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     texts = _texts(rows, sketched, stars.select(F.col("a").alias("node")).unionAll(stars.select(F.col("b").alias("node"))))
     links = _verified(stars, texts)
     roots = components(links.where(F.col("similarity") >= similar).select("a", "b"))
+    again = _hub_pairs(buckets, links, roots, similar)
+    if not again.isEmpty():
+        links = links.unionAll(_verified(again, texts))
+        roots = components(links.where(F.col("similarity") >= similar).select("a", "b"))
 
     rest = _unsettled(buckets, texts, roots, similar)
     if not rest.isEmpty():
@@ -211,6 +215,25 @@ def _texts(rows: DataFrame, sketched: DataFrame, nodes: DataFrame) -> DataFrame:
     return stored(rows.join(chosen, same).groupBy("node").agg(F.first("text").alias("text")), "texts")
 
 
+def _hub_pairs(buckets: DataFrame, links: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
+    """Each bucket's member with the most links so far, with the members not yet joined to it."""
+    good = links.where(F.col("similarity") >= similar)
+    ends = good.select(F.col("a").alias("node")).unionAll(good.select(F.col("b").alias("node")))
+    degrees = ends.groupBy("node").agg(F.count("*").alias("degree"))
+    placed = (
+        buckets.join(roots, "node", "left")
+        .join(degrees, "node", "left")
+        .select("band", "node", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    )
+    hubs = placed.groupBy("band").agg(
+        F.max(F.struct("degree", "node", "root")).alias("hub"), F.min("root").alias("r1"), F.max("root").alias("r2")
+    )
+    hubs = hubs.where("r1 != r2").select("band", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"))
+    pairs = placed.join(hubs, "band").where("root != hub_root")
+    pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    return stored(pairs.join(links, ["a", "b"], "left_anti"), "pairs")
+
+
 def _shingle_rows(part: pa.RecordBatch) -> pa.RecordBatch:
     place, shingles, weights = weighted_shingles(part.column("text"))
     sizes = np.bincount(place, weights=weights, minlength=len(part)).astype(np.int64)
