@@ -252,18 +252,19 @@ def _unsettled(buckets: DataFrame, texts: DataFrame, roots: DataFrame, similar:
     nodes = placed.join(mixed.select("band"), "band", "left_semi").select("node", "root").distinct()
     kind = "node binary, root binary, size long, shingle long, weight long"
     rows = stored(map_slices(nodes.join(texts, "node").select("node", "root", "text"), _shingle_rows, kind), "shingles")
-    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
-    before = Window.partitionBy("node").orderBy("often", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    # shingles of one component only cannot be shared by two: they come first
+    often = rows.groupBy("shingle").agg(
+        F.count("*").alias("often"), (F.min("root") != F.max("root")).alias("across")
+    )
+    before = Window.partitionBy("node").orderBy("across", "often", "shingle").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("size") - F.coalesce(F.sum("weight").over(before), F.lit(0))
     first = (
         rows.join(often, "shingle")
         .withColumn("left", left)
-        .where((F.col("left") >= similar * F.col("size") - 1e-9) & (F.col("often") > 1))
+        .where((F.col("left") >= similar * F.col("size") - 1e-9) & F.col("across"))
         .select("node", "root", "size", "shingle", "left")
     )
-    # a shingle of one component only joins nothing
-    spread = first.groupBy("shingle").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2")
-    some = stored(first.join(spread.select("shingle"), "shingle", "left_semi"), "prefixes")
+    some = stored(first, "prefixes")
     x, y = some.alias("x"), some.alias("y")
     shared = F.least("x.left", "y.left") >= similar * (F.col("x.size") + F.col("y.size")) / (1 + similar) - 1e-9
     apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
