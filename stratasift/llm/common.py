@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from stratasift.session import checkpoint_dir
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -84,12 +84,13 @@ def map_slices(
     work: Callable[[pa.RecordBatch], pa.RecordBatch],
     schema: str,
     column: str = "text",
+    limit: int = SLICE_BYTES,
 ) -> DataFrame:
     """``work`` over every slice of the rows, inside ``mapInArrow``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, limit):
                 yield work(part)
 
     return map_arrow(df, run, schema)

@@ -275,15 +275,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id") -> DataFrame:
     """The rows of ``docs`` whose text holds no test item; all columns as they were."""
-    columns = docs.columns
-    kept = docs.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    kept = docs
     for index in item_blocks(items, item_key):
         share = docs.sparkSession.sparkContext.broadcast(index)
 
         def work(part: pa.RecordBatch, share=share) -> pa.RecordBatch:
             clean = np.ones(len(part), dtype=bool)
-            clean[[h[0] for h in share.value.hits(part.column("_text"))]] = False
+            clean[[h[0] for h in share.value.hits(part.column(text))]] = False
             return part.filter(pa.array(clean))
 
-        kept = map_slices(kept, work, kept.schema, "_text")
-    return kept.select(*columns)
+        kept = map_slices(kept, work, kept.schema, text)
+    return kept

@@ -35,7 +35,7 @@ from stratasift.llm.token_files import _open, mapped
 
 MU = 20.0
 COMMON = 1e-5
-SHARD_BYTES = 24 << 20
+SHARD_BYTES, SEND_BYTES = 24 << 20, 8 << 20
 U64 = np.uint64
 END, START, NONE = U64(0x1DF0C3A1E2B94D57), U64(0x7A646E19B3C1F2E5), U64(0)
 _CONTEXT = U64((1 << CONTEXT_BITS) - 1)
@@ -92,7 +92,7 @@ def _counts(rows: DataFrame, shards: int) -> tuple[int, int, dict]:
             }
         )
 
-    sent = map_slices(rows, count, "shard int, words binary, n binary")
+    sent = map_slices(rows, count, "shard int, words binary, n binary", limit=SEND_BYTES)
     dealt = sent.repartitionById(shards, F.col("shard"))
     found = stored(map_arrow(dealt, add, "word long, c long, v long"), "words")
     total = found.where("word IS NULL").agg(F.sum("c"), F.sum("v")).first()
@@ -296,7 +296,7 @@ def score_language_model(docs: DataFrame, held_out=None, key: str = "doc_id", te
             )
 
     numbered = rows.withColumn("uid", F.monotonically_increasing_id())
-    sent = map_slices(numbered, send, f"shard int, {fields}, packed binary")
+    sent = map_slices(numbered, send, f"shard int, {fields}, packed binary", limit=SEND_BYTES)
     # rows of texts stay with any shard; the sums meet by text at the end
     to = F.coalesce("shard", F.pmod("uid", F.lit(shards)).cast("int"))
     parts = map_arrow(sent.repartitionById(shards, to), answer, fields)

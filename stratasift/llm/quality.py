@@ -19,6 +19,8 @@ from stratasift.llm.labelled import label_sample
 
 #: Labelled rows of each class the model learns from, at most.
 PER_CLASS = 10_000
+#: Text that is made into features at once; the arrays on the way are many times as large.
+FEATURE_BYTES = 1 << 20
 BINS, PAIR_BINS, PAIRS = 64, 12, 6
 ROUNDS, PAIR_ROUNDS, RATE, LEAVES, LEAST_ROWS = 250, 80, 0.1, 4, 20
 
@@ -50,7 +52,8 @@ _LINES = np.where(_member({10}), 0, np.arange(1, 257).astype(np.uint8)).astype(n
 
 
 def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+    sums = np.zeros(len(flags) + 1, dtype=np.int64)
+    np.cumsum(flags, out=sums[1:])
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
@@ -237,7 +240,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, only: Column | None = None
         return pa.RecordBatch.from_arrays([part.column("key"), part.column("label"), lists], names=["key", "label", "x"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    made = map_slices(rows, work, f"key {kind}, label int, x array<double>")
+    made = map_slices(rows, work, f"key {kind}, label int, x array<double>", limit=FEATURE_BYTES)
     # one row per key, however often it is repeated
     one = made.groupBy("key").agg(F.min(F.struct("label", "x")).alias("r")).select("key", "r.*").orderBy("key")
     got = one.collect()
@@ -259,7 +262,7 @@ def score_quality(docs: DataFrame, model: Additive, *more: Column, key: str = "d
 
     extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in names)
     kind = rows.schema["key"].dataType.simpleString()
-    return map_slices(rows, work, f"`{key}` {kind}{extra}, score double, predicted int")
+    return map_slices(rows, work, f"`{key}` {kind}{extra}, score double, predicted int", limit=FEATURE_BYTES)
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -272,12 +275,8 @@ def drop_low_quality(docs: DataFrame, model: Additive, key: str = "doc_id", text
 
     The texts pass through the task with their row, so no join is needed.
     """
-    columns = docs.columns
-    kinds = docs.schema
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        good = model.score(features(part.column("_text"))) >= 0.5
-        return part.filter(pa.array(good)).select(columns)
+        return part.filter(pa.array(model.score(features(part.column(text))) >= 0.5))
 
-    rows = docs.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    return map_slices(rows, work, kinds, "_text")
+    return map_slices(docs, work, docs.schema, text, FEATURE_BYTES)
