@@ -21,7 +21,7 @@ from stratasift.llm.common import ALNUM, hash_spans, map_slices, mix, raw_text,
 from stratasift.llm.labelled import label_sample
 
 #: Labelled rows of each class the model learns from, at most.
-PER_CLASS = 6_000
+PER_CLASS = 3_000
 GRADES = 4
 #: Features the model may weigh, their least score (in standard deviations of the difference
 #: between the classes), and the score that makes one telling.
