@@ -26,8 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from stratasift.llm.common import BLANKS, crc_remainder, map_arrow, map_slices, mix, shared_folder, stored, text_input, words_of
 from stratasift.llm.elias_fano import CONTEXT_BITS, Trie
@@ -112,7 +114,10 @@ def _lookup(table: dict, words: np.ndarray) -> np.ndarray:
 
 
 def _send(part: pa.RecordBatch, shards: int, table: dict, n: int, v: int) -> pa.RecordBatch:
-    """One row per text with what is known here, and one per shard with what is not."""
+    """One row with what is known here of every text, and one per shard with what is not.
+
+    All rows carry the part's first uid as their block.
+    """
     place, words = tokens_of(part.column("text"))
     many = len(part)
     held = np.asarray(part.column("held"))
@@ -130,12 +135,12 @@ def _send(part: pa.RecordBatch, shards: int, table: dict, n: int, v: int) -> pa.
         np.bincount(place, weights=base, minlength=many).astype(np.float64),
         np.bincount(place[here], weights=base[here], minlength=many).astype(np.float64),
     ]
-    rows = {
-        "shard": pa.nulls(many, pa.int32()), "uid": pa.array(uid), "key": part.column("key"), "held": part.column("held"),
-        "n_tokens": pa.array(np.bincount(place, minlength=many)), "n_known": pa.array(sums[0]),
-        "base": pa.array(sums[1]), "score": pa.array(sums[2]), "packed": pa.nulls(many, pa.binary()),
-    }
-    first = pa.RecordBatch.from_pydict(rows)
+    block = int(uid[0])
+    first = _listed(
+        block, pa.array(uid), part.column("key"), part.column("held"), pa.array(np.bincount(place, minlength=many)),
+        pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2]),
+    )
+    first = first.append_column("shard", pa.nulls(1, pa.int32())).append_column("packed", pa.nulls(1, pa.binary()))
 
     away = np.flatnonzero(~here)
     w, p, d = words[away], context[away], place[away]
@@ -146,11 +151,21 @@ def _send(part: pa.RecordBatch, shards: int, table: dict, n: int, v: int) -> pa.
         blobs.append(_pack(w[order], p[order], d[order], uid, held))
         to.append(s)
     k = len(to)
+    nothing = [pa.nulls(k, first.schema.field(name).type) for name in LISTS]
     rest = pa.RecordBatch.from_arrays(
-        [pa.array(to, pa.int32()), *[pa.nulls(k, first.schema.field(i).type) for i in range(1, 8)], pa.array(blobs, pa.binary())],
+        [pa.array([block] * k, pa.int64()), *nothing, pa.array(to, pa.int32()), pa.array(blobs, pa.binary())],
         names=first.schema.names,
     )
-    return pa.Table.from_batches([first, rest]).combine_chunks().to_batches()[0] if many + k else first
+    return pa.Table.from_batches([first, rest]).combine_chunks().to_batches()[0]
+
+
+LISTS = ("uid", "key", "held", "n_tokens", "n_known", "base", "score")
+
+
+def _listed(block: int, *columns: pa.Array) -> pa.RecordBatch:
+    """One row: the block and each column as a list."""
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *lists], names=["block", *LISTS])
 
 
 def _pack(w, p, d, uid, held) -> bytes:
@@ -188,7 +203,7 @@ def _unpack(blob: bytes):
 
 
 def _shard(blobs: list[bytes], name: str, folder: str, table: dict, n: int, v: int):
-    """Counts, trie and look-ups of one shard; (uid, n_known, base, score) sums."""
+    """Counts, trie and look-ups of one shard; per blob (uids, n_known, base, score) sums."""
     parts = [_unpack(b) for b in blobs]
     shift = np.concatenate([[0], np.cumsum([len(x[4]) for x in parts])])
     words, contexts = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
@@ -244,12 +259,13 @@ def _shard(blobs: list[bytes], name: str, folder: str, table: dict, n: int, v: i
     base_value = np.where(common, 0.0, log_word)[word_of]
     each = np.repeat(pair_of, times)
     many = len(uids)
-    return (
+    sums = (
         uids,
         np.bincount(texts, weights=known[each], minlength=many).astype(np.int64),
         np.bincount(texts, weights=base_value[each], minlength=many),
         np.bincount(texts, weights=value[each], minlength=many),
     )
+    return [[x[a:b] for x in sums] for a, b in zip(shift, shift[1:])]
 
 
 def score_language_model(docs: DataFrame, held_out=None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -270,44 +286,69 @@ def score_language_model(docs: DataFrame, held_out=None, key: str = "doc_id", te
     folder = shared_folder(docs.sparkSession, "tries")
     _open(folder)[0].create_dir(_open(folder)[1], recursive=True)
     kind = rows.schema["key"].dataType.simpleString()
-    fields = f"uid long, key {kind}, held boolean, n_tokens long, n_known long, base double, score double"
+    key_type = to_arrow_type(rows.schema["key"].dataType)
+    kinds = dict(zip(LISTS, ("long", kind, "boolean", "long", "long", "double", "double")))
+    fields = "block long, " + ", ".join(f"{c} array<{k}>" for c, k in kinds.items())
 
     def send(part: pa.RecordBatch) -> pa.RecordBatch:
         return _send(part, shards, share.value, n, v)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        blobs: dict[int, list[bytes]] = {}
+        blobs: dict[int, list[tuple[int, bytes]]] = {}
         for batch in batches:
-            shard, packed = batch.column("shard"), batch.column("packed")
-            away = pc.is_valid(shard)
-            there = batch.filter(pc.invert(away))
-            yield there.select(["uid", "key", "held", "n_tokens", "n_known", "base", "score"])
-            for s, b in zip(shard.filter(away).to_pylist(), packed.filter(away).to_pylist()):
-                blobs.setdefault(s, []).append(b)
+            away = pc.is_valid(batch.column("shard"))
+            yield batch.filter(pc.invert(away)).select(["block", *LISTS])
+            sent = batch.filter(away)
+            for block, s, b in zip(*(sent.column(c).to_pylist() for c in ("block", "shard", "packed"))):
+                blobs.setdefault(s, []).append((block, b))
         for s in sorted(blobs):
             name = f"shard-{s:06d}@{TaskContext.get().taskAttemptId()}"
-            uid, known, base, score = _shard(blobs.pop(s), name, folder, share.value, n, v)
-            k = len(uid)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(uid), pa.nulls(k, there.schema.field("key").type), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.int64()), pa.array(known), pa.array(base), pa.array(score)],
-                names=["uid", "key", "held", "n_tokens", "n_known", "base", "score"],
-            )
+            blocks, packed = zip(*sorted(blobs.pop(s)))
+            for block, (uid, known, base, score) in zip(blocks, _shard(packed, name, folder, share.value, n, v)):
+                k = len(uid)
+                yield _listed(
+                    block, pa.array(uid), pa.nulls(k, key_type), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.int64()),
+                    pa.array(known), pa.array(base), pa.array(score),
+                )
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sum the lists of each block, whose rows come one after the other."""
+        held_block, lists = None, []
+
+        def total() -> pa.RecordBatch:
+            whole = pa.Table.from_arrays([pa.concat_arrays([x[c] for x in lists]) for c in LISTS], names=list(LISTS))
+            uid, at = np.unique(whole.column("uid").to_numpy(), return_inverse=True)
+            known = {c: np.asarray(whole.column(c).combine_chunks()) for c in ("n_known", "base", "score")}
+            first = whole.filter(pc.is_valid(whole.column("n_tokens"))).sort_by("uid").combine_chunks()
+            sums = {c: np.bincount(at, weights=x, minlength=len(uid)) for c, x in known.items()}
+            columns = [first.column(c).combine_chunks() for c in ("key", "held", "n_tokens")]
+            columns += [pa.array(sums["n_known"].astype(np.int64)), pa.array(sums["base"]), pa.array(sums["score"])]
+            return pa.RecordBatch.from_arrays(columns, names=["key", "held", "n_tokens", "n_known", "base", "score"])
+
+        for batch in batches:
+            for i, block in enumerate(batch.column("block").to_pylist()):
+                if block != held_block and lists:
+                    yield total()
+                    lists = []
+                held_block = block
+                lists.append({c: batch.column(c).slice(i, 1).flatten() for c in LISTS})
+        if lists:
+            yield total()
 
     numbered = rows.withColumn("uid", F.monotonically_increasing_id())
-    sent = map_slices(numbered, send, f"shard int, {fields}, packed binary", limit=SEND_BYTES)
-    # rows of texts stay with any shard; the sums meet by text at the end
-    to = F.coalesce("shard", F.pmod("uid", F.lit(shards)).cast("int"))
+    sent = map_slices(numbered, send, f"{fields}, shard int, packed binary", limit=SEND_BYTES)
+    # rows of blocks go through any shard; the sums of a block meet at the end
+    to = F.coalesce("shard", F.pmod("block", F.lit(shards)).cast("int"))
     parts = map_arrow(sent.repartitionById(shards, to), answer, fields)
-    whole = parts.groupBy("uid").agg(
-        F.max("key").alias(key),
-        F.bool_or("held").alias("held_out"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum("n_known").alias("n_known"),
-        F.sum("base").alias("base_score"),
-        F.sum("score").alias("score"),
-    )
+    met = parts.repartition(shards, "block").sortWithinPartitions("block")
+    out = f"key {kind}, held boolean, n_tokens long, n_known long, base double, score double"
+    whole = map_arrow(met, add_up, out)
     return whole.select(
-        key, "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
+        F.col("key").alias(key),
+        F.col("held").alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(n).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"),
+        "score",
     )
