@@ -1,18 +1,19 @@
 """A bigram model in Elias-Fano tries, learnt from and applied to whole texts.
 
 P(w | p) = (c(p, w) + MU * P(w)) / (c(p) + MU), with P(w) = (c(w) + 1) / (N + V + 1) and
-c(unknown) = 0. Contexts with a share of COMMON of all tokens or more tell little about the
-next word: after them P(w | p) = P(w).
+c(unknown) = 0. Every predecessor is a context; only a text's first token has P(w) alone.
+(COMMON, infinite unless set, is a share of all tokens from which on contexts are ignored.)
 
 In logarithms a text's score is a sum with one term for each (w, p) and one for each p, so
 it can be put together from parts: everything that depends on w, with its contexts, is
 computed where all of w's occurrences meet.
 
 1. Tasks count the words of their texts; the counts meet by shards of the word. N, V and the
-   common words (at most 1 / COMMON of them) go to every task.
-2. Tasks send, to the shard of each word, its contexts and in which texts they occur. Terms
-   of common words after common words are added up on the spot; pairs of a common word are
-   dealt by word and context, so no shard gets a hot word whole.
+   common words (at most 1 / LISTED of them) go to every task.
+2. Tasks send, to the shard of each word, its contexts and how often which texts hold them.
+   Terms of a common word alone, as word or as context, are added up on the spot; pairs of a
+   common word are dealt by word and context, so no shard gets a hot word whole, and a hot
+   pair is one entry for each text.
 3. A shard counts pairs over the training texts, writes its trie to the shared folder, maps
    it and looks every pair up. Sums go back by text.
 
@@ -36,7 +37,10 @@ from stratasift.llm.elias_fano import CONTEXT_BITS, Trie
 from stratasift.llm.token_files import _open, mapped
 
 MU = 20.0
-COMMON = 1e-5
+#: Words with this share of all tokens or more have their counts in every task.
+LISTED = 1e-5
+#: Contexts with this share of all tokens or more are ignored: none are.
+COMMON = float("inf")
 SHARD_BYTES, SEND_BYTES = 24 << 20, 8 << 20
 U64 = np.uint64
 END, START, NONE = U64(0x1DF0C3A1E2B94D57), U64(0x7A646E19B3C1F2E5), U64(0)
@@ -66,7 +70,8 @@ def _by_shard(shard: np.ndarray, n: int):
 
 
 def _counts(rows: DataFrame, shards: int) -> tuple[int, int, dict]:
-    """N, V and the common words' counts."""
+    """N, V and the common words' counts (and 1 for those that are ignored as contexts)."""
+    listed = min(LISTED, COMMON)
 
     def count(part: pa.RecordBatch) -> pa.RecordBatch:
         place, words = tokens_of(part.column("text"))
@@ -85,7 +90,7 @@ def _counts(rows: DataFrame, shards: int) -> tuple[int, int, dict]:
                 n = np.concatenate([n, np.frombuffer(c, "<u4")])
             words, back = np.unique(words, return_inverse=True)
             n = np.bincount(back, weights=n, minlength=len(words)).astype(np.int64)
-        often = n >= COMMON * n.sum()
+        often = n >= listed * n.sum()
         yield pa.RecordBatch.from_pydict(
             {
                 "word": pa.array([None, *words[often].view(np.int64)], pa.int64()),
@@ -99,18 +104,19 @@ def _counts(rows: DataFrame, shards: int) -> tuple[int, int, dict]:
     found = stored(map_arrow(dealt, add, "word long, c long, v long"), "words")
     total = found.where("word IS NULL").agg(F.sum("c"), F.sum("v")).first()
     n, v = total[0] or 0, total[1] or 0
-    common = found.where(F.col("word").isNotNull() & (F.col("c") >= COMMON * n)).collect()
+    common = found.where(F.col("word").isNotNull() & (F.col("c") >= listed * n)).collect()
     words = np.array([r["word"] for r in common], dtype=np.int64).view(U64)
     order = np.argsort(words)
-    return n, v, {"words": words[order], "c": np.array([r["c"] for r in common], dtype=np.int64)[order]}
+    c = np.array([r["c"] for r in common], dtype=np.int64)[order]
+    return n, v, {"words": words[order], "c": c, "plain": (c >= COMMON * max(n, 1)).astype(np.int64)}
 
 
-def _lookup(table: dict, words: np.ndarray) -> np.ndarray:
-    """Counts of common words, 0 for others."""
+def _lookup(table: dict, words: np.ndarray, column: str = "c") -> np.ndarray:
+    """Counts (or another column) of common words, 0 for others."""
     if not len(table["words"]):
         return np.zeros(len(words), np.int64)
     at = np.minimum(np.searchsorted(table["words"], words), len(table["words"]) - 1)
-    return np.where(table["words"][at] == words, table["c"][at], 0)
+    return np.where(table["words"][at] == words, table[column][at], 0)
 
 
 def _send(part: pa.RecordBatch, shards: int, table: dict, n: int, v: int) -> pa.RecordBatch:
@@ -126,14 +132,18 @@ def _send(part: pa.RecordBatch, shards: int, table: dict, n: int, v: int) -> pa.
     if len(words):
         before[np.concatenate([[True], place[1:] != place[:-1]])] = START
     c = _lookup(table, words)
-    context = np.where((before == START) | (_lookup(table, before) > 0), NONE, (before & _CONTEXT) | U64(1))
+    plain = _lookup(table, before, "plain") > 0
+    context = np.where((before == START) | plain, NONE, (before & _CONTEXT) | U64(1))
     known = c > 0
     base = np.where(known, np.log10((c + 1) / (n + v + 1)), 0.0)
     here = known & (context == NONE)
+    # a common word is also the context of the token after it
+    after = known & (words != END) & (_lookup(table, words, "plain") == 0)
+    score = np.where(here, base, 0.0) - np.where(after, np.log10(c + MU), 0.0)
     sums = [
         np.bincount(place[known], minlength=many),
         np.bincount(place, weights=base, minlength=many).astype(np.float64),
-        np.bincount(place[here], weights=base[here], minlength=many).astype(np.float64),
+        np.bincount(place, weights=score, minlength=many).astype(np.float64),
     ]
     block = int(uid[0])
     first = _listed(
@@ -169,9 +179,13 @@ def _listed(block: int, *columns: pa.Array) -> pa.RecordBatch:
 
 
 def _pack(w, p, d, uid, held) -> bytes:
-    """Sorted occurrences: distinct words, contexts of each, texts of each."""
+    """Sorted occurrences: distinct words, contexts of each, texts of each and how often."""
     new_w = np.concatenate([[True], w[1:] != w[:-1]])
     new_p = new_w | np.concatenate([[True], p[1:] != p[:-1]])
+    new_d = np.flatnonzero(new_p | np.concatenate([[True], d[1:] != d[:-1]]))
+    times = np.diff(np.append(new_d, len(w)))
+    again = np.flatnonzero(times > 1)
+    w, p, d, new_w, new_p = (x[new_d] for x in (w, p, d, new_w, new_p))
     texts, d = np.unique(d, return_inverse=True)
     pairs, ws = np.flatnonzero(new_p), np.flatnonzero(new_w)
     contexts = p[pairs]
@@ -184,42 +198,48 @@ def _pack(w, p, d, uid, held) -> bytes:
         d.astype("<u2" if len(texts) <= 1 << 16 else "<u4"),
         uid[texts].astype("<i8"),
         held[texts].astype("u1"),
+        again.astype("<u4"),
+        times[again].astype("<u4"),
     ]
     head = np.array([len(a) for a in arrays], dtype="<u4")
     return b"".join([head.tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]])
 
 
 def _unpack(blob: bytes):
-    """(words, contexts, occurrences of each pair, texts of the occurrences, uids, held)."""
-    sizes = np.frombuffer(blob, "<u4", 8)
-    kinds = ["<u8", "<u4", "<u4", "u1", "<u4", "<u2" if sizes[6] <= 1 << 16 else "<u4", "<i8", "u1"]
-    at, out = 32, []
+    """(words, contexts, texts of each pair, the texts, uids, held, how often in each text)."""
+    sizes = np.frombuffer(blob, "<u4", 10)
+    kinds = ["<u8", "<u4", "<u4", "u1", "<u4", "<u2" if sizes[6] <= 1 << 16 else "<u4", "<i8", "u1", "<u4", "<u4"]
+    at, out = 40, []
     for n, kind in zip(sizes.tolist(), kinds):
         out.append(np.frombuffer(blob, kind, n, at))
         at += n * np.dtype(kind).itemsize
     words = np.repeat(out[0], out[1])
     contexts = out[2].astype(U64) | (out[3].astype(U64) << U64(32))
-    return words, contexts, out[4].astype(np.int64), out[5].astype(np.int64), out[6], out[7].astype(bool)
+    times = np.ones(len(out[5]), dtype=np.int64)
+    times[out[8]] = out[9]
+    return words, contexts, out[4].astype(np.int64), out[5].astype(np.int64), out[6], out[7].astype(bool), times
 
 
 def _shard(blobs: list[bytes], name: str, folder: str, table: dict, n: int, v: int):
     """Counts, trie and look-ups of one shard; per blob (uids, n_known, base, score) sums."""
-    parts = [_unpack(b) for b in blobs]
-    shift = np.concatenate([[0], np.cumsum([len(x[4]) for x in parts])])
-    words, contexts = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
-    times = np.concatenate([x[2] for x in parts])
-    texts = np.concatenate([x[3] + s for x, s in zip(parts, shift)])
-    uids, held = np.concatenate([x[4] for x in parts]), np.concatenate([x[5] for x in parts])
+    # texts of the pairs are unpacked one blob at a time, here and at the end
+    parts = []
+    for blob in blobs:
+        words, contexts, spread, texts, _, held, times = _unpack(blob)
+        trained = np.add.reduceat(np.where(held[texts], 0, times), np.cumsum(spread) - spread)
+        parts.append((words, contexts, trained.astype(np.int32)))
+    shift = np.concatenate([[0], np.cumsum([len(x[0]) for x in parts])])
+    words, contexts, trained = (np.concatenate(x) for x in zip(*parts))
     del parts
-    starts = np.cumsum(times) - times
-    trained = np.add.reduceat((~held[texts]).astype(np.int64), starts)
-    order = np.lexsort((contexts, words))
+    order = np.lexsort((contexts, words)).astype(np.int32)
     w, p = words[order], contexts[order]
+    del words, contexts
     new = np.concatenate([[True], (w[1:] != w[:-1]) | (p[1:] != p[:-1])])
-    pair_of = np.empty(len(order), dtype=np.int64)
-    pair_of[order] = np.cumsum(new) - 1
+    pair_of = np.empty(len(order), dtype=np.int32)
+    pair_of[order] = np.cumsum(new, dtype=np.int32) - 1
     w, p = w[new], p[new]
     c2 = np.bincount(pair_of, weights=trained, minlength=len(w)).astype(np.int64)
+    del order, new, trained
 
     # words: counts here, or the known total of a common word
     first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
@@ -257,15 +277,13 @@ def _shard(blobs: list[bytes], name: str, folder: str, table: dict, n: int, v: i
     value -= np.where(common | (distinct == END), 0.0, np.log10(c1 + MU))[word_of]
     known = ((c1 > 0) & ~common)[word_of]
     base_value = np.where(common, 0.0, log_word)[word_of]
-    each = np.repeat(pair_of, times)
-    many = len(uids)
-    sums = (
-        uids,
-        np.bincount(texts, weights=known[each], minlength=many).astype(np.int64),
-        np.bincount(texts, weights=base_value[each], minlength=many),
-        np.bincount(texts, weights=value[each], minlength=many),
-    )
-    return [[x[a:b] for x in sums] for a, b in zip(shift, shift[1:])]
+    out = []
+    for blob, first_pair in zip(blobs, shift):
+        _, _, spread, texts, uids, _, times = _unpack(blob)
+        each, many = np.repeat(pair_of[first_pair : first_pair + len(spread)], spread), len(uids)
+        sums = [np.bincount(texts, weights=x[each] * times, minlength=many) for x in (known, base_value, value)]
+        out.append((uids, sums[0].astype(np.int64), sums[1], sums[2]))
+    return out
 
 
 def score_language_model(docs: DataFrame, held_out=None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -297,10 +315,13 @@ def score_language_model(docs: DataFrame, held_out=None, key: str = "doc_id", te
         blobs: dict[int, list[tuple[int, bytes]]] = {}
         for batch in batches:
             away = pc.is_valid(batch.column("shard"))
-            yield batch.filter(pc.invert(away)).select(["block", *LISTS])
-            sent = batch.filter(away)
-            for block, s, b in zip(*(sent.column(c).to_pylist() for c in ("block", "shard", "packed"))):
+            yield batch.select(["block", *LISTS]).filter(pc.invert(away))
+            for i in np.flatnonzero(np.asarray(away)):
+                block, s, b = (batch.column(c)[int(i)].as_py() for c in ("block", "shard", "packed"))
                 blobs.setdefault(s, []).append((block, b))
+            # what the tasks hold from here on are the blobs alone
+            del batch, away
+            pa.default_memory_pool().release_unused()
         for s in sorted(blobs):
             name = f"shard-{s:06d}@{TaskContext.get().taskAttemptId()}"
             blocks, packed = zip(*sorted(blobs.pop(s)))

@@ -85,3 +85,23 @@ def test_odd_rows(odd, empty):
     for r, w in zip(got, want, strict=True):
         compare(r, w)
     assert lm.score_language_model(empty).collect() == []
+
+
+def test_every_predecessor_is_a_context(spark, monkeypatch):
+    """Brute force without any notion of common words, on texts of few words and one hot pair."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(["hot pair"] * int(rng.integers(0, 300)) + [f"w{k}" for k in rng.zipf(1.3, 80) if k < 5000])) for i in range(60)]
+    token = {i: [*t.split(), None] for i, t in rows}
+    c, c2 = Counter(), Counter()
+    for i, x in token.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            c.update(x)
+            c2.update(zip(x, x[1:]))
+    p = lambda w: (c[w] + 1) / (sum(c.values()) + len(c) + 1)
+    for listed in (lm.LISTED, 1e-2, 2.0):
+        monkeypatch.setattr(lm, "LISTED", listed)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = {r["doc_id"]: r["score"] for r in lm.score_language_model(docs).collect()}
+        for i, x in token.items():
+            want = math.log10(p(x[0])) + sum(math.log10((c2[a, b] + lm.MU * p(b)) / (c[a] + lm.MU)) for a, b in zip(x, x[1:]))
+            assert got[i] == pytest.approx(want, abs=0.02 * len(x))
