@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratasift.llm.common import ALNUM, BLANKS, crc_remainder, map_slices, raw_text, shingles_of, text_input, words_of
-from stratasift.llm.labelled import label_sample
+from stratasift.llm.labelled import class_totals, label_sample
 
 #: Labelled rows of each class the model learns from, at most.
 PER_CLASS = 10_000
@@ -187,10 +187,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> Additive:
-    """Learn from rows of FEATURES and labels 0/1; one class alone gives a constant near it."""
+def fit(x: np.ndarray, y: np.ndarray, times: np.ndarray | None = None) -> Additive:
+    """Learn from rows of FEATURES and labels 0/1; one class alone gives a constant near it.
+
+    ``times``: how many labelled rows each row stands for, as far as rows differ in it.
+    """
     k = x.shape[1]
-    share = (y.sum() + 1) / (len(y) + 1) if len(y) else 0.5
+    # as many rows as there are, so that steps are shrunk alike at any size
+    times = np.ones(len(y)) if times is None or not len(y) else times / times.mean()
+    share = ((times * y).sum() + 1) / (len(y) + 1) if len(y) else 0.5
     base = float(np.log(share / max(1 - share, 1e-3)))
     edges = [np.unique(np.quantile(x[:, j], np.arange(1, BINS) / BINS)) if len(x) else np.zeros(0) for j in range(k)]
     model = Additive(edges, [np.zeros(BINS) for _ in range(k)], [], base)
@@ -201,8 +206,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
     for _ in range(ROUNDS):
         for j in range(k):
             p = _sigmoid(total)
-            g = np.bincount(bins[:, j], weights=y - p, minlength=BINS)
-            w = np.bincount(bins[:, j], weights=p * (1 - p), minlength=BINS)
+            g = np.bincount(bins[:, j], weights=times * (y - p), minlength=BINS)
+            w = np.bincount(bins[:, j], weights=times * p * (1 - p), minlength=BINS)
             step = RATE * _tree(g, w)
             model.tables[j] += step
             total += step[bins[:, j]]
@@ -214,8 +219,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
         size = PAIR_BINS * PAIR_BINS
         shape = (PAIR_BINS, PAIR_BINS)
         return (
-            np.bincount(at, weights=y - p, minlength=size).reshape(shape),
-            np.bincount(at, weights=p * (1 - p), minlength=size).reshape(shape),
+            np.bincount(at, weights=times * (y - p), minlength=size).reshape(shape),
+            np.bincount(at, weights=times * p * (1 - p), minlength=size).reshape(shape),
         )
 
     gains = sorted(((-_tree_2d(*sums(i, j))[1], i, j) for i in range(k) for j in range(i)))
@@ -229,7 +234,12 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, only: Column | None = None, per_class: int = PER_CLASS, key: str = "doc_id", text: str = "text") -> Additive:
-    """Fit on at most ``per_class`` labelled rows of each class; features are made in tasks."""
+    """Fit on at most ``per_class`` labelled rows of each class; features are made in tasks.
+
+    Rows are weighted by their class's share of all labels, so scores keep the real ratio of
+    the classes however many are sampled.
+    """
+    totals = class_totals(labels, "quality", only, key)
     sample = label_sample(labels, "quality", per_class, only, key)
     rows = text_input(docs, key, text).join(F.broadcast(sample), "key")
 
@@ -245,7 +255,8 @@ def learn_quality(docs: DataFrame, labels: DataFrame, only: Column | None = None
     one = made.groupBy("key").agg(F.min(F.struct("label", "x")).alias("r")).select("key", "r.*").orderBy("key")
     got = one.collect()
     x = np.array([r["x"] for r in got], dtype=np.float64).reshape(-1, len(FEATURES))
-    return fit(x, np.array([r["label"] for r in got], dtype=np.float64))
+    y = np.array([r["label"] for r in got], dtype=np.float64)
+    return fit(x, y, np.array([max(totals[r["label"]] / per_class, 1.0) for r in got]))
 
 
 def score_quality(docs: DataFrame, model: Additive, *more: Column, key: str = "doc_id", text: str = "text") -> DataFrame:

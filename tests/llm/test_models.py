@@ -89,3 +89,12 @@ def test_odd_rows(spark, odd, empty):
     grades = sv.grade_severity(odd, sv.learn_severity(odd, labels)).collect()
     assert len(grades) == 7 and all(0 <= r["severity"] <= sv.GRADES - 1 for r in grades)
     assert sv.grade_severity(empty, sv.learn_severity(empty, labels)).collect() == []
+
+
+def test_quality_keeps_the_ratio_of_the_classes(spark):
+    """Seven in ten labels are 1 whatever the text; the sample holds as many of each."""
+    docs = spark.createDataFrame([(i, f"a b c {i % 7}") for i in range(1000)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 10 < 7 as int) AS quality")
+    for per_class in (100, 500, 10_000):
+        model = ql.learn_quality(docs, labels, per_class=per_class)
+        assert ql.score_quality(docs, model).agg(F.avg("score")).first()[0] == pytest.approx(0.7, abs=0.02)
