@@ -7,6 +7,10 @@ expected severity is the sum of those probabilities.
 ``labels`` only says toxic or not. Toxic rows are graded 1 to GRADES - 1 by the sum of
 log(1 + occurrences) of telling features (far more frequent in toxic than in other labelled
 rows), cut at equal shares of the toxic rows; rows that are not toxic have grade 0.
+
+All features that FEW distinct texts hold are weighed. A ridge penalty shrinks the weak ones:
+values are scaled by how far the feature's frequencies in the two classes lie apart (the
+correlation of feature and class), whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -23,14 +27,13 @@ from stratasift.llm.labelled import label_sample
 #: Labelled rows of each class the model learns from, at most.
 PER_CLASS = 3_000
 GRADES = 4
-#: Features the model may weigh, their least score (in standard deviations of the difference
-#: between the classes), and the score that makes one telling.
-FEATURES, LEAST, TELLING = 2_000, 6.0, 8.0
-#: Share of the toxic or of the other rows that must hold a feature.
-SHARE = 0.05
-#: How many times more frequent a feature must be in one class than in the other.
-APART = 4.0
-ROUNDS, RATE, PENALTY = 500, 0.1, 1e-5
+#: Distinct labelled texts that must hold a feature; the model weighs all such features.
+FEW = 3
+#: What makes a feature telling for the grades: its score (in standard deviations of the
+#: difference between the classes), and how many times more frequent it is in toxic rows.
+TELLING, APART = 8.0, 4.0
+#: The ridge penalty is that of so many rows.
+ROUNDS, RATE, RIDGE = 500, 0.1, 1.0
 PREFIXES = (4, 5, 6)
 
 
@@ -83,7 +86,7 @@ class Severity:
 
 
 def grade_rows(rows: np.ndarray, words: np.ndarray, times: np.ndarray, sizes: np.ndarray, toxic: np.ndarray):
-    """(grade of each row, chosen words): see the module's text."""
+    """(grade of each row, words to weigh, strength of each): see the module's text."""
     n1, n0 = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
     vocabulary, code = np.unique(words, return_inverse=True)
     d1 = np.bincount(code, weights=toxic[rows], minlength=len(vocabulary))
@@ -91,17 +94,28 @@ def grade_rows(rows: np.ndarray, words: np.ndarray, times: np.ndarray, sizes: np
     share = (d1 + d0 + 1) / (n1 + n0 + 2)
     z = (d1 / n1 - d0 / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
     # what few rows hold may come from copies of one text; what both classes hold is language
-    z[np.maximum(d1 / n1, d0 / n0) < SHARE] = 0
-    z[np.maximum(d1 / n1, d0 / n0) < APART * np.minimum(d1 / n1, d0 / n0)] = 0
-    order = np.lexsort((vocabulary, -np.abs(z)))[:FEATURES]
-    chosen = np.sort(vocabulary[order[np.abs(z[order]) >= LEAST]])
+    first = _first_copies(rows, words, times, len(sizes))
+    held = np.bincount(code, weights=first[rows], minlength=len(vocabulary)) >= FEW
+    strength = np.abs(z[held]) / np.sqrt(len(sizes))
+    z[(d1 / n1 < APART * d0 / n0) | ~held] = 0
     telling = z[code] >= TELLING
     amount = np.bincount(rows[telling], weights=np.log1p(times[telling]), minlength=len(sizes))
     grades = np.zeros(len(sizes), dtype=np.int64)
     if toxic.any():
         cuts = np.quantile(amount[toxic], [i / (GRADES - 1) for i in range(1, GRADES - 1)])
         grades[toxic] = 1 + np.searchsorted(cuts, amount[toxic], "left")
-    return grades, chosen
+    return grades, vocabulary[held], strength
+
+
+def _first_copies(rows: np.ndarray, words: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+    """Which rows are the first of those with the same features; ``rows`` ascend."""
+    prints = np.zeros(n, dtype=np.uint64)
+    if len(rows):
+        starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        prints[rows[starts]] = np.add.reduceat(mix(words ^ mix(times.astype(np.uint64))), starts)
+    first = np.zeros(n, dtype=bool)
+    first[np.unique(prints, return_index=True)[1]] = True
+    return first
 
 
 def fit(rows, words, times, sizes, toxic) -> Severity:
@@ -109,7 +123,7 @@ def fit(rows, words, times, sizes, toxic) -> Severity:
 
     Without rows of both classes every text gets a severity near that class's.
     """
-    grades, chosen = grade_rows(rows, words, times, sizes, toxic)
+    grades, chosen, strength = grade_rows(rows, words, times, sizes, toxic)
     n, k = len(sizes), GRADES - 1
     thresholds = np.log((1 - (p := np.array([(grades > j).mean() if n else 0.0 for j in range(k)]).clip(0.001, 0.999))) / p)
     thresholds = np.maximum.accumulate(thresholds + np.arange(k) * 1e-3)
@@ -117,11 +131,13 @@ def fit(rows, words, times, sizes, toxic) -> Severity:
         return Severity(chosen, np.zeros(0), thresholds)
     at = np.minimum(np.searchsorted(chosen, words), len(chosen) - 1)
     hit = chosen[at] == words
-    r, c, x = rows[hit], at[hit], np.log1p(times[hit])
+    r, c = rows[hit], at[hit]
+    x = np.log1p(times[hit]) * strength[c]
     weights = np.zeros(len(chosen))
     first, gaps = thresholds[0], np.log(np.maximum(np.diff(thresholds), 1e-3))
     beyond = (grades[:, None] > np.arange(k)[None, :]).astype(float)
     balance = np.where(toxic, 0.5 / max(toxic.sum(), 1), 0.5 / max((~toxic).sum(), 1))
+    penalty = RIDGE / n
     state = [np.zeros(len(chosen) + k), np.zeros(len(chosen) + k)]
     for step in range(1, ROUNDS + 1):
         t = first + np.concatenate([[0], np.cumsum(np.exp(gaps))])
@@ -130,14 +146,14 @@ def fit(rows, words, times, sizes, toxic) -> Severity:
         error = (_sigmoid(signal[:, None] - t[None, :]) - beyond) * balance[:, None]
         by_row, by_t = error.sum(1), -error.sum(0)
         g_gaps = np.array([by_t[j + 1 :].sum() for j in range(k - 1)]) * np.exp(gaps)
-        g_weights = np.bincount(c, weights=x * by_row[r], minlength=len(chosen)) + PENALTY * weights
+        g_weights = np.bincount(c, weights=x * by_row[r], minlength=len(chosen)) + penalty * weights
         g = np.concatenate([g_weights, [by_t.sum()], g_gaps])
         state[0] = 0.9 * state[0] + 0.1 * g
         state[1] = 0.999 * state[1] + 0.001 * g * g
         move = RATE * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-8)
         weights = weights - move[: len(chosen)]
         first, gaps = first - move[len(chosen)], gaps - move[len(chosen) + 1 :]
-    return Severity(chosen, weights, first + np.concatenate([[0], np.cumsum(np.exp(gaps))]))
+    return Severity(chosen, weights * strength, first + np.concatenate([[0], np.cumsum(np.exp(gaps))]))
 
 
 def learn_severity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: str = "doc_id", text: str = "text") -> Severity:

@@ -98,3 +98,23 @@ def test_quality_keeps_the_ratio_of_the_classes(spark):
     for per_class in (100, 500, 10_000):
         model = ql.learn_quality(docs, labels, per_class=per_class)
         assert ql.score_quality(docs, model).agg(F.avg("score")).first()[0] == pytest.approx(0.7, abs=0.02)
+
+
+@pytest.mark.parametrize("sf_dir,least", [("/root/testdata/sf0.001", 1.0), (LARGER, 0.85)])
+def test_severity_finds_toxic_rows_of_every_language(spark, sf_dir, least):
+    labels = read_table(spark, sf_dir, "labels").withColumnRenamed("toxic", "label")
+    langs = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
+    rows = QUERIES["op1_severity"](spark, sf_dir).join(labels, "doc_id").join(langs, "doc_id").collect()
+    found = {}
+    for r in rows:
+        if r["label"]:
+            found.setdefault(r["lang"], []).append(r["toxic"])
+    assert np.mean(sum(found.values(), [])) >= least and all(any(x) for x in found.values())
+    assert np.mean([r["toxic"] for r in rows if not r["label"]]) < 0.03
+
+
+def test_copies_of_one_text_count_once():
+    texts = ["same bad text"] * 5 + [f"other bad{i} word" for i in range(5)]
+    model = sv.fit(*sv.word_counts(pa.array(texts)), np.arange(10) < 5)
+    asked = lambda w: sv.word_counts(pa.array([w]))[1]
+    assert not np.isin(asked("same"), model.words).any() and np.isin(asked("other"), model.words).any()
