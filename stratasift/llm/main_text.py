@@ -9,7 +9,9 @@
    its text. A page without such a container falls back to its own best one.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are left out wherever they stand, by their tag, role, class or id.
+comments are left out wherever they stand, by their tag, role, class or id. Headings,
+paragraphs, articles and the body are not judged by their names, and an element around the
+page's text is kept whatever its name.
 """
 
 from __future__ import annotations
@@ -49,22 +51,42 @@ NOISE = {
     "share", "sharing", "social", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager", "toolbar", "widget", "copyright",
     "skip", "search", "searchbox", "complementary", "contentinfo", "hidden",
 }
+#: Noise of any size: readers' texts may be longer than the article.
+READERS = {"comment", "comments", "reply", "replies", "respond", "disqus", "hidden"}
+#: Parts of names that say what an element has or lacks, not what it is.
+MODIFIERS = {"has", "with", "without", "no", "non", "not", "is"}
+#: Tags that are never judged by their names.
+OWN_TEXT = {"body", "main", "article", "html", "p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "figure", "figcaption"}
 DEPTH, VOTES, SALTS = 8, 3, 32
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """Tag and class, generalised, and whether the element is noise."""
-    names, noise = "", tag in LEFT_OUT
+def _is_noise(value: str) -> int:
+    """Whether one of the names is noise (1) of any size (2); what follows a modifier is none."""
+    noise = 0
+    for name in value.split():
+        for word in (w.lower() for w in _SPLIT.split(name)):
+            if word in MODIFIERS:
+                break
+            if word in NOISE:
+                noise = max(noise, 1 + (word in READERS))
+    return noise
+
+
+def _label(tag: str, attributes: str) -> tuple[str, int]:
+    """Tag and class, generalised, and whether the element is noise: by its names (1) or surely (2)."""
+    names, noise = "", 2 * (tag in LEFT_OUT)
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            noise = True
+            noise = 2
         elif name in ("class", "id", "role"):
             if name == "class" and value.split():
                 names = "." + re.sub(r"\d+", "#", value.split()[0])
-            if not noise and any(w.lower() in NOISE for w in _SPLIT.split(value)):
-                noise = True
+            if tag not in OWN_TEXT:
+                # ids of sections are often made from their headings
+                whole = tag != "section" or name != "id" or all(w.lower() in NOISE for w in _SPLIT.split(value))
+                noise = max(noise, n if (n := _is_noise(value)) == 2 or whole else 0)
     return tag + names, noise
 
 
@@ -76,8 +98,11 @@ class Page:
         self.containers: list[tuple[str, int]] = [("", -1)]
         #: Per block: (container, text, characters in links).
         self.blocks: list[tuple[int, str, int]] = []
-        # open elements: (tag, path, container, noise)
-        stack: list[tuple[str, str, int, bool]] = [("", "", 0, False)]
+        # blocks with the element that makes them noise by its names, or 0; its parent of that kind
+        found: list[tuple[int, str, int, int]] = []
+        outer, wraps = [0], [False]
+        # open elements: (tag, path, container, noise by names, surely noise)
+        stack: list[tuple[str, str, int, int, bool]] = [("", "", 0, 0, False)]
         parts: list[str] = []
         linked, in_link, at, size = 0, 0, 0, len(source)
 
@@ -85,8 +110,8 @@ class Page:
             nonlocal linked
             if parts:
                 text = " ".join(html.unescape("".join(parts)).split())
-                if text and not stack[-1][3]:
-                    self.blocks.append((stack[-1][2], text, linked))
+                if text and not stack[-1][4]:
+                    found.append((stack[-1][2], text, linked, stack[-1][3]))
                 parts.clear()
             linked = 0
 
@@ -128,13 +153,37 @@ class Page:
                         elif stack[i][0] in CONTAINERS or stack[i][0] in ("ul", "ol", "table", "blockquote"):
                             break
                     label, noise = _label(tag, m[3] or m[6] or "")
-                    _, path, inside, noisy = stack[-1]
+                    _, path, inside, named, sure = stack[-1]
+                    if noise == 1:
+                        outer.append(named)
+                        wraps.append(False)
+                        named = len(outer) - 1
                     path = "/".join([*path.split("/")[-(DEPTH - 1) :], label]) if path else label
                     if tag in CONTAINERS:
                         self.containers.append((path, inside))
                         inside = len(self.containers) - 1
-                    stack.append((tag, path, inside, noisy or noise))
+                    if tag in ("article", "main", "h1"):
+                        wraps[named] = True
+                    stack.append((tag, path, inside, named, sure or noise == 2))
         flush()
+        self._drop_noise(found, outer, wraps)
+
+    def _drop_noise(self, found: list[tuple[int, str, int, int]], outer: list[int], wraps: list[bool]) -> None:
+        """Keep the blocks outside of noise.
+
+        What holds most of the page's own text is none if it holds all of it, or an article,
+        main or h1.
+        """
+        held = [0] * len(outer)
+        for _, text, linked, named in found:
+            held[named] += max(0, len(text) - 2 * linked)
+        for i in range(len(outer) - 1, 0, -1):
+            held[outer[i]] += held[i]
+            wraps[outer[i]] |= wraps[i]
+        noisy = [False] * len(outer)
+        for i in range(1, len(outer)):
+            noisy[i] = noisy[outer[i]] or 2 * held[i] <= held[0] or not (wraps[i] or held[i] == held[0])
+        self.blocks = [(c, text, linked) for c, text, linked, named in found if not noisy[named]]
 
     def scores(self) -> list[float]:
         own = [0.0] * len(self.containers)

@@ -58,3 +58,19 @@ def test_odd_rows(spark):
     assert mt.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     assert mt.Page(deep).text(None) == "deep"
+
+
+def test_names_of_themes_and_headings_are_no_noise():
+    body = "<h2 id='related-work'>Related work</h2><p class=social-policy>text of a policy</p><p>more text</p>"
+    whole = "Related work\ntext of a policy\nmore text"
+    for page in (
+        f"<body class='home has-sidebar'><article>{body}</article></body>",
+        f"<body><div id=content class=with-sidebar><div class=x>{body}</div></div><div class=sidebar><p>no</div></body>",
+        f"<body><div class='widget page'><article class=search>{body}</article></div><div class='cookie-notice'>no</div></body>",
+        f"<body><div class=banner>{body}</div></body>",
+    ):
+        assert mt.Page(page).text(None) == whole
+    notice = "<body><div class=post><h1>T</h1><p>short</p></div><div class=cookie-notice><p>" + "we use cookies " * 20 + "</div></body>"
+    assert mt.Page(notice).text(None) == "T\nshort"
+    section = "<body><article><p>before " + "text " * 9 + "</p><section id=search-algorithms><p>inside</p></section><section id=comments>no</section></article></body>"
+    assert len(mt.Page(section).blocks) == 2
