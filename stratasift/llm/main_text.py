@@ -5,8 +5,10 @@
    container around it. A page votes for its best containers by their paths: the chain of
    tags and classes, digits in classes generalised.
 2. The votes are added up by host and path. The path with the most votes wins.
-3. Every page is read again: the blocks inside the containers on its host's winning path are
-   its text. A page without such a container falls back to its own best one.
+3. Every page is read again: the blocks inside the containers on its host's winning path, and
+   in the article or main around them (or the lowest container that is mostly theirs), are its
+   text: title and lead often stand outside of the inner container. A page without such a
+   container falls back to its own best one.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are left out wherever they stand, by their tag, role, class or id. Headings,
@@ -212,9 +214,40 @@ class Page:
         if not any(self._inside(c, chosen) for c in {b[0] for b in self.blocks}):
             best = self.votes()
             chosen = {c for c, (p, _) in enumerate(self.containers) if best and p == best[0][0]}
+        chosen |= self._around(chosen)
         known = {c: self._inside(c, chosen) for c in {b[0] for b in self.blocks}}
         return "\n".join(text for c, text, _ in self.blocks if known[c])
 
+    def _around(self, chosen: set[int]) -> set[int]:
+        """For each outermost chosen container, the article or main around it; else the lowest
+        container around it, inside the body, with more than half of its text in ``chosen``."""
+        inside, held, won = [False] * len(self.containers), [0] * len(self.containers), [0] * len(self.containers)
+        for c, (_, parent) in enumerate(self.containers):
+            inside[c] = c in chosen or (parent >= 0 and inside[parent])
+        for c, text, _ in self.blocks:
+            held[c] += len(text)
+            won[c] += len(text) * inside[c]
+        for c in range(len(held) - 1, 0, -1):
+            parent = self.containers[c][1]
+            held[parent] += held[c]
+            won[parent] += won[c]
+        out = set()
+        for c in chosen:
+            if c and inside[self.containers[c][1]]:
+                continue
+            lowest, at = None, c
+            while at > 0:
+                tag = self.containers[at][0].rpartition("/")[2].partition(".")[0]
+                if tag in ("article", "main"):
+                    out.add(at)
+                    break
+                if lowest is None and at != c and tag != "body" and 2 * won[at] > held[at]:
+                    lowest = at
+                at = self.containers[at][1]
+            else:
+                out.add(c if lowest is None else lowest)
+        return out
+
     def _inside(self, c: int, chosen: set[int]) -> bool:
         while c >= 0:
             if c in chosen:

@@ -74,3 +74,18 @@ def test_names_of_themes_and_headings_are_no_noise():
     assert mt.Page(notice).text(None) == "T\nshort"
     section = "<body><article><p>before " + "text " * 9 + "</p><section id=search-algorithms><p>inside</p></section><section id=comments>no</section></article></body>"
     assert len(mt.Page(section).blocks) == 2
+
+
+def test_title_and_lead_outside_the_inner_container(spark):
+    body = "<p>" + "long text of the page " * 20 + "</p>"
+    pages = [
+        f"<body><article><h1>T</h1><p>lead</p><div class=content>{body}</div></article><div class=x>no</div></body>",
+        f"<body><main><div class=lead>lead</div><div class=body>{body}</div></main><div class=x>no</div></body>",
+        f"<body><div class=post><h1>T</h1><p>lead</p><div class=content>{body}</div></div><div class=x>no</div></body>",
+        f"<body><article><section><p>one</p></section><p>between</p><section>{body}</section></article></body>",
+    ]
+    long = ("long text of the page " * 20).strip()
+    want = [f"T\nlead\n{long}", f"lead\n{long}", f"T\nlead\n{long}", f"one\nbetween\n{long}"]
+    rows = [(10 * i + j, f"http://h{i}/x", p) for i, p in enumerate(pages) for j in range(3)]
+    got = mt.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) and all(r["text"] == want[r["page_id"] // 10] for r in got)
