@@ -6,10 +6,9 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stratasift.llm.queries import TOKENIZERS
+from stratasift.llm.queries import PIECE_BPE as MODEL
 from stratasift.llm.transducer import Transducer, piece_decode, piece_encode
 
-MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 RAW = Path(MODEL).read_bytes()
 BPE = Transducer(RAW)
 
