@@ -13,7 +13,7 @@ from stratasift.llm.common import read_table, stored
 from stratasift.llm.decontaminate import drop_leaks
 from stratasift.llm.near_dups import drop_near_duplicates
 from stratasift.llm.quality import drop_low_quality, held_out, learn_quality
-from stratasift.llm.queries import TOKENIZERS
+from stratasift.llm.queries import PIECE_BPE
 from stratasift.llm.secret_scan import redact_secrets
 from stratasift.llm.transducer import piece_encode
 
@@ -41,7 +41,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens and round_trip of every row."""
-    return piece_encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+    return piece_encode(docs, PIECE_BPE)
 
 
 STAGES = [
