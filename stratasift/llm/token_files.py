@@ -25,21 +25,54 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratasift.llm.common import map_arrow, shared_folder, slices, text_input
+from stratasift.llm.common import map_arrow, mix, raw_text, shared_folder, slices, text_input
 
 #: White space at which no pre-token of the tokenizer goes on (fixed values: Unicode White_Space).
 _BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BLANKS = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{_BLANK}]", c))
-_STRETCH = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
-MEMORY, MEMORABLE = 800_000, 48
+#: Bytes that are white space by themselves, and those that begin a longer one.
+_BLANK_BYTE = np.array([chr(b) in _BLANKS and b < 128 for b in range(256)])
+_WIDE = [c.encode() for c in sorted(_BLANKS) if ord(c) > 127]
+_WIDE_LEAD = np.isin(np.arange(256), [w[0] for w in _WIDE])
+#: 1 for an ASCII letter, 2 for a digit, 3 for other ASCII but white space, else 0.
+_SORT = np.array([(1 if c.isalpha() else 2 if c.isdigit() else 0 if c in _BLANKS else 3) * (b < 128) for b, c in ((b, chr(b)) for b in range(256))], np.uint8)
+MEMORY, POOL = 800_000, 16_000_000
+#: Stretches of up to this many bytes are compared as three 64-bit numbers.
+SHORT = 24
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def stretches(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where stretches begin: at each text's first byte, where white space follows other bytes,
+    and behind an ASCII letter or digit that ASCII of another kind follows."""
+    blank = _BLANK_BYTE[data]
+    lead = np.flatnonzero(_WIDE_LEAD[data])
+    if len(lead):
+        padded = np.concatenate([data, np.zeros(3, np.uint8)])
+        for wide in _WIDE:
+            at = lead[padded[lead] == wide[0]]
+            for j, byte in enumerate(wide[1:], 1):
+                at = at[padded[at + j] == byte]
+            for j in range(len(wide)):
+                blank[at + j] = True
+    begins = blank
+    begins[1:] &= ~blank[:-1]
+    kinds = _SORT[data]
+    before, here = kinds[:-1], kinds[1:]
+    begins[1:] |= (before != here) & (here > 0) & ((before == 1) | (before == 2))
+    filled = offsets[:-1][offsets[1:] > offsets[:-1]]
+    begins[filled] = True
+    return np.flatnonzero(begins)
 
 
 class Encoder:
     """A byte-level tokenizer file; remembers the ids of stretches between blanks.
 
     A byte-level pre-token never goes on into white space that follows another character,
-    so a text's ids are those of its stretches one after the other. Names of special
-    tokens inside a text are ordinary text.
+    so a text's ids are those of its stretches one after the other. Letters and digits never
+    share a pre-token with what follows them. Names of special tokens inside a text are
+    ordinary text. Known stretches are found by their bytes in an
+    open hash table, all of a batch at once; only new ones become Python strings.
     """
 
     def __init__(self, definition: str):
@@ -55,13 +88,23 @@ class Encoder:
         self.kind = "<u2" if size <= 1 << 16 else "<u4"
         # one character of a byte-level piece stands for one byte
         self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)])
-        self.known: dict[str, bytes] = {}
+        self._forget()
 
-    def _learn(self, stretches: list[str]) -> dict[str, bytes]:
+    def _forget(self) -> None:
+        self.pool = np.zeros(0, self.kind)
+        self.begin = np.zeros(0, np.int64)
+        self.count = np.zeros(0, np.int64)
+        #: Bytes of each entry as three numbers, its length; entry of each slot, -1 if free.
+        self.words = np.zeros((0, 3), np.uint64)
+        self.lengths = np.zeros(0, np.int64)
+        self.slots = np.full(1 << 16, -1, np.int32)
+        self.long: dict[bytes, int] = {}
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
         """Ids of new stretches. Those that begin with a blank are encoded as one text, which
         is cut again by the bytes that each id stands for."""
-        joined = [s for s in stretches if s[0] in _BLANKS and s[-1] not in _BLANKS]
-        lone = [s for s in stretches if not (s[0] in _BLANKS and s[-1] not in _BLANKS)]
+        joined = [s for s in new if s[0] in _BLANKS and s[-1] not in _BLANKS]
+        lone = [s for s in new if not (s[0] in _BLANKS and s[-1] not in _BLANKS)]
         found = self.tokenizer.encode_batch_fast(lone, add_special_tokens=False)
         learnt = {s: np.array(e.ids, dtype=self.kind).tobytes() for s, e in zip(lone, found)}
         for a in range(0, len(joined), 20_000):
@@ -77,20 +120,102 @@ class Encoder:
                 at = cut
         return learnt
 
+    @staticmethod
+    def _hash(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        h = words[:, 0] ^ (words[:, 1] * np.uint64(0x9E3779B97F4A7C15)) ^ (words[:, 2] * np.uint64(0xC2B2AE3D27D4EB4F))
+        return mix(h + lengths.astype(np.uint64))
+
+    def _find(self, words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Entry of each short stretch, -1 where it is new."""
+        mask = len(self.slots) - 1
+        slot = (self._hash(words, lengths) & np.uint64(mask)).astype(np.int64)
+        entry = self.slots[slot]
+        if not len(self.words):
+            return entry
+        waiting = np.flatnonzero(entry >= 0)
+        while len(waiting):
+            e = entry[waiting]
+            same = self.lengths[e] == lengths[waiting]
+            same &= (self.words[e] == words[waiting]).all(axis=1)
+            waiting = waiting[~same]
+            slot[waiting] = (slot[waiting] + 1) & mask
+            entry[waiting] = self.slots[slot[waiting]]
+            waiting = waiting[entry[waiting] >= 0]
+        return entry
+
+    def _place(self, entries: np.ndarray) -> None:
+        """Give each entry the first free slot from its hash on."""
+        mask = len(self.slots) - 1
+        slot = (self._hash(self.words[entries], self.lengths[entries]) & np.uint64(mask)).astype(np.int64)
+        while len(entries):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = entries[free]  # one of several that want a slot gets it
+            left = self.slots[slot] != entries
+            entries, slot = entries[left], (slot[left] + 1) & mask
+
+    def _add(self, raw: list[bytes]) -> None:
+        """Take up new stretches."""
+        texts = [r.decode() for r in raw]
+        learnt = self._learn(texts)
+        ids = [learnt[t] for t in texts]
+        count = np.array([len(i) for i in ids], np.int64) // np.dtype(self.kind).itemsize
+        old = len(self.count)
+        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), self.kind)])
+        lengths = np.array([len(r) for r in raw], np.int64)
+        self.lengths = np.concatenate([self.lengths, lengths])
+        padded = np.frombuffer(b"".join(r[:SHORT].ljust(SHORT, b"\0") for r in raw), "<u8").reshape(-1, 3)
+        self.words = np.concatenate([self.words, padded.astype(np.uint64)])
+        for r, entry in zip(raw, range(old, old + len(raw))):
+            if len(r) > SHORT:
+                self.long[r] = entry
+        if 2 * len(self.count) > len(self.slots):
+            self.slots = np.full(4 * len(self.slots) * max(1, len(raw) * 2 // len(self.slots)), -1, np.int32)
+            self.slots = self.slots[: 1 << (len(self.slots).bit_length() - 1)]
+            old, lengths = 0, self.lengths
+        fresh = np.arange(old, len(self.count), dtype=np.int32)
+        self._place(fresh[lengths <= SHORT])
+
+    def flat(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each text has."""
+        if len(self.count) > MEMORY or len(self.pool) > POOL:
+            self._forget()
+        data, offsets = raw_text(array)
+        if not len(data):
+            return np.zeros(0, self.kind), np.zeros(len(array), np.int64)
+        first = stretches(data, offsets)
+        after = np.append(first[1:], len(data))
+        lengths = after - first
+        padded = np.concatenate([data, np.zeros(SHORT, np.uint8)])
+        view = np.ndarray((len(data) + SHORT - 7,), "<u8", padded, strides=(1,))
+        words = np.empty((len(first), 3), np.uint64)
+        for j in range(3):
+            held = np.clip(lengths - 8 * j, 0, 8)
+            words[:, j] = view[np.minimum(first + 8 * j, len(data))] & _MASKS[held]
+        short = lengths <= SHORT
+        entry = self._find(words, lengths)
+        entry[~short] = -1
+        raw = data.tobytes()
+        for i in np.flatnonzero(~short).tolist():
+            entry[i] = self.long.get(raw[first[i] : after[i]], -1)
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            names = [raw[a:b] for a, b in zip(first[missing].tolist(), after[missing].tolist())]
+            new = list(dict.fromkeys(names))
+            where = dict(zip(new, range(len(self.count), len(self.count) + len(new))))
+            self._add(new)
+            entry[missing] = [where[n] for n in names]
+        counts = self.count[entry]
+        ends = np.cumsum(counts)
+        ids = self.pool[np.repeat(self.begin[entry] - (ends - counts), counts) + np.arange(ends[-1])]
+        upto = np.concatenate([[0], ends])[np.searchsorted(first, offsets)]
+        return ids, np.diff(upto)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned integers of ``kind``."""
-        cut = [_STRETCH.findall(t) for t in texts]
-        new = list(set().union(*cut) - self.known.keys()) if cut else []
-        learnt = self._learn(new)
-        if len(self.known) + len(learnt) > MEMORY:
-            needed = set().union(*cut) - learnt.keys()
-            self.known = {s: self.known[s] for s in needed}
-        self.known |= learnt
-        out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
-        for s in learnt:
-            if len(s) > MEMORABLE:
-                del self.known[s]
-        return out
+        ids, counts = self.flat(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
 
 
 @lru_cache(maxsize=2)
@@ -129,8 +254,9 @@ def write_token_files(
 ) -> DataFrame:
     """Encode whole texts into ``folder``; one row per part: part, kind, n_docs, n_tokens, base.
 
-    Rows are dealt to parts by ranges of the key and written in ascending key order (nulls
-    first, as key -2^63; equal keys by text), so the order of all ids is that of the keys.
+    Rows are dealt to parts by ranges of key and text hash and written in that order (nulls
+    first, as key -2^63), so the order of all ids is that of the keys, and a key of very many
+    rows fills several parts. The key must be an integer, or text of one.
     Every document ends with ``end_id``; a null or empty text has only that. A task writes
     under a name of its own and renames at the end, so a repeated task replaces a part by the
     same part. Only the list of parts (one row each) comes to the driver. ``folder`` must be
@@ -147,7 +273,6 @@ def write_token_files(
         fs, base = _open(folder)
         mine = f"{base}/_{part}-{context.taskAttemptId()}"
         enc = encoder(definition.value)
-        end, width = np.array([end_id], enc.kind).tobytes(), int(enc.kind[2])
         at = docs_done = 0
         with (
             fs.open_output_stream(f"{mine}.ids") as ids,
@@ -157,15 +282,13 @@ def write_token_files(
             offsets.write(np.zeros(1, "<u8").tobytes())
             for batch in batches:
                 for rows in slices(batch, limit=2 << 20):
-                    encoded = enc.encode(rows.column("text").to_pylist())
-                    for one in encoded:
-                        ids.write(one)
-                        ids.write(end)
-                    lengths = np.array([len(x) // width + 1 for x in encoded], dtype=np.int64)
-                    offsets.write((at + np.cumsum(lengths)).astype("<u8").tobytes())
+                    found, counts = enc.flat(rows.column("text"))
+                    ends = np.cumsum(counts)
+                    ids.write(np.insert(found, ends, end_id).tobytes())
+                    offsets.write((at + ends + np.arange(1, len(ends) + 1)).astype("<u8").tobytes())
                     keys.write(rows.column("key").to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                    at += int(lengths.sum())
-                    docs_done += len(encoded)
+                    at += int(counts.sum()) + len(counts)
+                    docs_done += len(counts)
         for kind in ("ids", "offsets", "keys"):
             if docs_done:
                 fs.move(f"{mine}.{kind}", f"{base}/{part}.{kind}")
@@ -177,7 +300,8 @@ def write_token_files(
             )
 
     ready = text_input(docs, key, text).withColumn("key", F.coalesce(F.col("key").cast("long"), F.lit(-(1 << 63))))
-    ordered = ready.repartitionByRange("key").sortWithinPartitions("key", "text")
+    ready = ready.withColumn("h", F.xxhash64("text"))
+    ordered = ready.repartitionByRange("key", "h").sortWithinPartitions("key", "h", "text")
     parts = sorted(map_arrow(ordered, write, "part string, kind string, n_docs long, n_tokens long").collect())
     bases = [0, *accumulate(p.n_tokens for p in parts)]
     rows = [(p.part, p.kind, p.n_docs, p.n_tokens, b) for p, b in zip(parts, bases)]
