@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stratasift.llm.common import read_table
 from stratasift.llm.decontaminate import find_leaks
 from stratasift.llm.digest import digest_report
+from stratasift.llm.fill_in_middle import fill_in_middle, restored
 from stratasift.llm.language_model import score_language_model
 from stratasift.llm.main_text import extract_main_text
 from stratasift.llm.near_dups import near_duplicates
@@ -65,6 +67,13 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_encode(read_table(spark, sf_dir, "documents"), PIECE_BPE)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(read_table(spark, sf_dir, "documents"))
+    back = restored(F.col("output"), F.col("form"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES = {
     "op1_severity": op1_severity,
     "op2_language_model": op2_language_model,
@@ -76,4 +85,5 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_near_dups": op9_near_dups,
     "op10_pieces": op10_pieces,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }

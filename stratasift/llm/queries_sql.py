@@ -53,4 +53,22 @@ SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE_KINDS)},
 FROM d LEFT JOIN r USING (rid)"""
 
 
-SQL: dict[str, str] = {"op3_secrets": secrets()}
+def fill_in_middle() -> str:
+    draw = "CAST('0x' || substr(h, {}, 8) AS BIGINT)"
+    form = "text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS u FROM d),
+c AS (SELECT *, len(u) AS n, {draw.format(1)} % (len(u) + 1) AS x, {draw.format(9)} % (len(u) + 1) AS y,
+  CASE WHEN {form} OR {draw.format(17)} % 100 >= 90 THEN 'plain' WHEN {draw.format(25)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, n, form, text, array_to_string(u[1:least(x, y)], '') AS a,
+  array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS b, array_to_string(u[greatest(x, y) + 1:], '') AS c FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b
+         ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256,
+  sha256(a || b || c) AS restored_sha256
+FROM p"""
+
+
+SQL: dict[str, str] = {"op3_secrets": secrets(), "op11_fill_in_middle": fill_in_middle()}
