@@ -10,6 +10,7 @@ from stratasift.llm.common import read_table
 from stratasift.llm.decontaminate import find_leaks
 from stratasift.llm.digest import digest_report
 from stratasift.llm.fill_in_middle import fill_in_middle, restored
+from stratasift.llm.importance import resample
 from stratasift.llm.language_model import score_language_model
 from stratasift.llm.main_text import extract_main_text
 from stratasift.llm.near_dups import near_duplicates
@@ -74,6 +75,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_severity": op1_severity,
     "op2_language_model": op2_language_model,
@@ -86,4 +91,5 @@ QUERIES = {
     "op9_near_dups": op9_near_dups,
     "op10_pieces": op10_pieces,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_importance": op12_importance,
 }

@@ -71,4 +71,48 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form,
 FROM p"""
 
 
-SQL: dict[str, str] = {"op3_secrets": secrets(), "op11_fill_in_middle": fill_in_middle()}
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def importance() -> str:
+    upper = "".join(map(chr, range(65, 91)))
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    lowered = f"translate(coalesce(text, ''), '{upper}', '{upper.lower()}')"
+    words = f"regexp_extract_all({lowered}, '{WORD}')"
+    runs = "list_transform(range(1, len(w) + 1 - {n}), lambda i: array_to_string(w[i:i + {n}], ' '))"
+    runs = f"list_concat(w, {runs.format(n=1)}, {runs.format(n=2)})"
+    return f"""
+WITH RECURSIVE t AS (
+  SELECT x, list_reduce([CAST(x AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: {step}) AS v
+  FROM (SELECT unnest(range(256)) AS x)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
+df AS MATERIALIZED (SELECT rid, f, count(*) AS n FROM (SELECT rid, unnest({runs}) AS f FROM d) GROUP BY ALL),
+bf AS MATERIALIZED (SELECT f, count(*) AS n FROM (SELECT unnest({runs}) AS f FROM (SELECT {words} AS w FROM benchmark)) GROUP BY f),
+u AS MATERIALIZED (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+r AS (
+  SELECT f, h, 1 AS i, CAST(4294967295 AS BIGINT) AS c FROM u
+  UNION ALL
+  SELECT f, h, i + 2, xor(c >> 8, t.v)
+  FROM r JOIN t ON t.x = xor(c & 255, CAST('0x' || substr(h, i, 2) AS BIGINT)) WHERE i < length(h)),
+b AS MATERIALIZED (SELECT f, xor(c, 4294967295) % 10000 AS b FROM r WHERE i > length(h)),
+s AS (SELECT b, sum(n) AS s FROM df JOIN b USING (f) GROUP BY b),
+g AS (SELECT b, sum(n) AS t FROM bf JOIN b USING (f) GROUP BY b),
+z AS (SELECT CAST(coalesce((SELECT sum(s) FROM s), 0) + 10000 AS DOUBLE) AS s, CAST(coalesce((SELECT sum(t) FROM g), 0) + 10000 AS DOUBLE) AS t),
+gain AS (
+  SELECT b, CAST(floor(1000 * ln((coalesce(g.t, 0) + 1) * z.s / ((s.s + 1) * z.t))) AS BIGINT) AS gain
+  FROM s LEFT JOIN g USING (b), z),
+w AS (SELECT rid, sum(n) AS n, sum(n * gain) AS weight FROM df JOIN b USING (f) JOIN gain USING (b) GROUP BY rid),
+x AS (
+  SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) AS BIGINT) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score,
+         len(w) >= 20 AS able
+  FROM d LEFT JOIN w USING (rid)),
+k AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS k, count(*) OVER (PARTITION BY able) AS m FROM x)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND k <= m * 5 // 100 THEN k END AS rank FROM k"""
+
+
+SQL: dict[str, str] = {
+    "op3_secrets": secrets(),
+    "op11_fill_in_middle": fill_in_middle(),
+    "op12_importance": importance(),
+}

@@ -2,8 +2,8 @@
 
 Boundary number i of a text lies at offset o(i). Offsets grow almost evenly, so a few lines
 give each of them within ``BOUND``; the difference is stored as one signed byte per boundary,
-and an offset is its line's value, rounded down, plus that byte: exact, from a twelfth of the
-memory of plain 64-bit offsets and a search among few segments.
+and an offset is its line's value, rounded down, plus that byte: exact, from about an
+eighth of the memory of plain 64-bit offsets and a search among few segments.
 
 A run of boundaries gets one line if some line through its first boundary passes all others
 within the bound: the slopes that do so are an interval, the intersection of one interval
