@@ -14,6 +14,7 @@ from stratasift.llm.importance import resample
 from stratasift.llm.language_model import score_language_model
 from stratasift.llm.main_text import extract_main_text
 from stratasift.llm.near_dups import near_duplicates
+from stratasift.llm.packing import pack_documents
 from stratasift.llm.quality import held_out, learn_quality, score_quality
 from stratasift.llm.secret_scan import secret_report
 from stratasift.llm.severity import grade_severity, learn_severity
@@ -79,6 +80,10 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 QUERIES = {
     "op1_severity": op1_severity,
     "op2_language_model": op2_language_model,
@@ -92,4 +97,5 @@ QUERIES = {
     "op10_pieces": op10_pieces,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_importance": op12_importance,
+    "op13_packing": op13_packing,
 }
