@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratasift.__main__ import main
+from stratasift.sources.stats_table import read_stats
 
 HEADER = "location,city,country,utc,local,parameter,value,unit,latitude,longitude,attribution"
 
@@ -31,7 +32,7 @@ def test_feed(spark, csv, tmp_path):
 def test_stats_then_sample(spark, csv, tmp_path, capsys):
     stats, report = str(tmp_path / "stats"), str(tmp_path / "report")
     main(["stats", "--file", csv, "--out", stats])
-    table = spark.read.parquet(stats)
+    table = read_stats(spark, stats)
     assert table.columns == ["c3", "c6", "c8", "mean", "std", "n"]
     assert table.agg(F.count("*"), F.sum("n")).first()[:] == (9, 436)
     nine = "1,1,1,1,2,1,1,-1,0"
@@ -46,7 +47,7 @@ def test_stream_of_files(spark, csv, tmp_path):
     main(["stats", "--file", csv, "--out", once])
     folder = csv.rpartition("/")[0]
     main(["stats", "--file", folder, "--out", stream, "--stream", "--timeout", "500"])
-    tables = [spark.read.parquet(p).select("c3", "c6", "n") for p in (once, stream)]
+    tables = [read_stats(spark, p).select("c3", "c6", "n") for p in (once, stream)]
     assert tables[0].exceptAll(tables[1]).count() == 0 and tables[1].count() == 9
 
 
