@@ -37,7 +37,7 @@ from stratasift.sources.topic import (
     stats_to_records,
     to_records,
 )
-from stratasift.streaming.idle import PROVIDER, ROCKSDB, await_idle, idle_stats, publish_when_idle, sample_when_idle
+from stratasift.streaming.idle import emit_when_idle, publish_when_idle, sample_when_idle
 from stratasift.streaming.sample import read_sample, sample_writer
 from stratasift.streaming.slots import read_latest
 from stratasift.streaming.stats import stats_writer
@@ -473,37 +473,19 @@ def idle_publish_events(spark, sf_dir):
 
 
 def idle_emit_events(spark, sf_dir):
-    """Each kind emitted once by its own timer."""
-    folder = run_folder(spark)
-    # The state has a row per kind: as many state partitions as cores are plenty.
-    partitions = min(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    """Every kind emitted once, when the stream as a whole was quiet."""
+    folder, by = run_folder(spark), ["event_type"]
+    writer = stats_writer(
+        stream(spark, sf_dir, "events"), by, "value", f"{folder}/stats", f"{folder}/state"
     )
-    usual = {key: spark.conf.get(key, None) for key in ("spark.sql.shuffle.partitions", PROVIDER)}
-
-    def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/emitted/batch={number}")
-
+    query = writer.trigger(processingTime="200 milliseconds").start()
     try:
-        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
-        spark.conf.set(PROVIDER, ROCKSDB)
-        emitted = idle_stats(stream(spark, sf_dir, "events"), ["event_type"], "value", 1000)
-        query = (
-            emitted.writeStream.outputMode("update")
-            .option("checkpointLocation", f"{folder}/state")
-            .foreachBatch(store)
-            .trigger(processingTime="200 milliseconds")
-            .start()
+        emitted = emit_when_idle(
+            spark, query, f"{folder}/stats", f"{folder}/emitted", by, quiet_ms=1000, limit_s=300
         )
-    finally:
-        for key, value in usual.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-    try:
-        if not await_idle(query, 3000, 300):
-            raise TimeoutError("the stream did not go quiet")
     finally:
         query.stop()
-    return round_stats(spark.read.parquet(f"{folder}/emitted").drop("batch"), DIGITS)
+    return round_stats(emitted, DIGITS)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import sys
-import time
 from collections.abc import Iterable, Iterator
-from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -16,7 +14,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from stratasift.functions.columns import resolve, resolve_all
 from stratasift.operators.clean import clean
-from stratasift.sources.stats_table import write_stats
+from stratasift.sources.stats_table import read_stats, versions, write_stats
+from stratasift.sources.versions import exists
+from stratasift.streaming.quiet import await_idle
 from stratasift.streaming.sample import read_sample
 from stratasift.streaming.slots import read_latest
 
@@ -79,7 +79,7 @@ def partial_stats(
 
 
 class IdleStats(StatefulProcessor):
-    """Adds up a stratum and emits it once, when no row came for ``timeout_ms``."""
+    """Adds up a stratum and emits it once, when it got no row for ``timeout_ms``."""
 
     def __init__(self, by: list[str], timeout_ms: int):
         self.by = by
@@ -125,8 +125,8 @@ def idle_stats(
     Rows are added up per input partition first, so a hot stratum reaches its state
     as one row per partition and batch. Rows that come after a stratum was emitted
     count in its state but are not emitted. Write the result in ``update`` mode under
-    a processing-time trigger. The gap is per stratum; for results that wait until
-    the whole stream is quiet, see :func:`publish_when_idle`.
+    a processing-time trigger. The gap is per stratum; for a gap of the whole stream, with
+    built-in aggregates, see :func:`emit_when_idle`.
     """
     groups = resolve_all(stream, by)
     number = resolve(stream, value)
@@ -145,41 +145,6 @@ def idle_stats(
     )
 
 
-def _times(progress) -> tuple[float, float]:
-    """When a batch started and ended, in seconds."""
-    started = datetime.fromisoformat(progress["timestamp"].replace("Z", "+00:00")).timestamp()
-    return started, started + progress["batchDuration"] / 1000
-
-
-def await_idle(query: StreamingQuery, quiet_ms: int, limit_s: float | None = None) -> bool:
-    """Wait until a query had rows and then none for ``quiet_ms``.
-
-    True once that holds and either no batch is running or a batch without rows,
-    started after the quiet time, has ended; False after ``limit_s`` seconds, if
-    given. A stream that never has a row is not idle but not begun.
-    """
-    started_at = time.time()
-    last_rows = None
-    while limit_s is None or time.time() < started_at + limit_s:
-        if query.exception() is not None:
-            raise query.exception()
-        quiet_from = float("inf")
-        for progress in query.recentProgress:
-            started, ended = _times(progress)
-            if progress["numInputRows"] > 0:
-                last_rows = max(last_rows or 0.0, ended)
-            elif last_rows is not None and started > last_rows + quiet_ms / 1000:
-                return True
-        if last_rows is not None:
-            quiet_from = last_rows + quiet_ms / 1000
-        status = query.status
-        waiting = not status["isTriggerActive"] and not status["isDataAvailable"]
-        if waiting and time.time() > quiet_from:
-            return True
-        time.sleep(0.05)
-    return False
-
-
 def sample_when_idle(
     spark: SparkSession,
     query: StreamingQuery,
@@ -207,8 +172,9 @@ def publish_when_idle(
     """Store a query's statistics in ``target`` once the whole stream is quiet.
 
     ``query`` was started from :func:`stratasift.streaming.stats.stats_writer` on
-    ``path``. A stratum stays open while any stratum gets rows. The stored table is
-    replaced as a whole; the sampling phase reads only that table.
+    ``path``. A stratum stays open while any stratum gets rows. Readers of the stored table
+    go over from the old snapshot to the new one, whole; the sampling phase reads only that
+    table.
     """
     if not await_idle(query, quiet_ms, limit_s):
         raise TimeoutError("the stream did not go quiet")
@@ -216,4 +182,35 @@ def publish_when_idle(
     if result.isEmpty():
         raise RuntimeError(f"the stream has no statistics; {target} stays as it is")
     write_stats(result, target)
-    return spark.read.parquet(target)
+    return read_stats(spark, target)
+
+
+def emit_when_idle(
+    spark: SparkSession,
+    query: StreamingQuery,
+    path: str,
+    target: str,
+    by: Iterable[str],
+    quiet_ms: int = 1000,
+    limit_s: float | None = None,
+    after: float = 0.0,
+) -> DataFrame:
+    """Emit every stratum once, after the whole stream was quiet for ``quiet_ms``.
+
+    ``query`` was started from :func:`stratasift.streaming.stats.stats_writer` on ``path``.
+    The strata that ``target`` does not have yet are added to it as its next version; those
+    it has are left as they were emitted, though rows that came since count in the log of the
+    stream. Call again, with the time of the last call as ``after``, to emit the strata of
+    later rows. Returns all that was emitted so far.
+    """
+    groups = list(by)
+    if not await_idle(query, quiet_ms, limit_s, after):
+        raise TimeoutError("the stream did not go quiet")
+    found = read_latest(spark, path)
+    number = 0
+    if exists(spark, target) and (done := versions(spark, target)):
+        number = done[-1] + 1
+        found = found.join(read_stats(spark, target).select(*groups), groups, "left_anti")
+    if number == 0 or not found.isEmpty():
+        write_stats(found, target, number)
+    return read_stats(spark, target).drop("version")

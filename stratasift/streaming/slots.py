@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stratasift.sources.versions import files as _files
+from stratasift.streaming.changelog import description, read_newest
+
 MARKER = "_DONE"
 
 
@@ -17,11 +20,6 @@ def _folder(path: str, batch: int) -> str:
     return f"{path.rstrip('/')}/batch-{batch:012d}"
 
 
-def _files(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
-
-
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Batches whose version is complete, in ascending order."""
     fs, place = _files(spark, path)
@@ -62,7 +60,9 @@ def read_slot(spark: SparkSession, path: str, batch: int) -> DataFrame:
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest complete result."""
+    """The newest complete result, of whole versions or of a log of changes."""
+    if description(spark, path) is not None:
+        return read_newest(spark, path)
     found = versions(spark, path)
     if not found:
         raise FileNotFoundError(f"no batch result under {path}")

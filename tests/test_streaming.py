@@ -1,5 +1,6 @@
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import pytest
@@ -7,7 +8,9 @@ from pyspark.sql import functions as F
 
 from stratasift import allocate, draw_sample, round_stats, stratum_stats
 from stratasift.session import materialize
-from stratasift.streaming.idle import _summed, await_idle, idle_stats, partial_stats, publish_when_idle
+from stratasift.streaming.changelog import append, newest, read_log
+from stratasift.streaming.idle import _summed, emit_when_idle, idle_stats, partial_stats, publish_when_idle
+from stratasift.streaming.quiet import await_idle
 from stratasift.streaming.sample import read_sample, sample_writer
 from stratasift.streaming.slots import read_latest, write_slot
 from stratasift.streaming.stats import stats_writer, with_arrival
@@ -176,3 +179,83 @@ def test_a_long_quiet_time_publishes_all(spark, events, tmp_path):
     finally:
         query.stop()
     assert same(round_stats(got, 6), round_stats(stratum_stats(events, BY, "value"), 6))
+
+
+def gone(spark):
+    """Listeners that are still registered."""
+    return len(spark.streams._jsqm.listListeners())
+
+
+def test_no_listener_is_left(spark, events, tmp_path):
+    data, out, state = (str(tmp_path / x) for x in ("data", "out", "state"))
+    parts(events, data, 0, 1)
+    before = gone(spark)
+    query = stats_writer(source(spark, events, data), BY, "value", out, state).start()
+    try:
+        assert await_idle(query, 300, 60)
+        assert not await_idle(query, 300, 1, after=time.time())  # no rows since
+    finally:
+        query.stop()
+    assert gone(spark) == before
+
+
+def test_a_rare_stratum_stays_open(spark, tmp_path):
+    """Rows of any stratum keep all of them open, through batches slower than the quiet time."""
+    data, out, state, target = (str(tmp_path / x) for x in ("data", "out", "state", "target"))
+
+    def feed(rows):
+        spark.createDataFrame(rows, "k string, v double").coalesce(1).write.mode("append").parquet(data)
+
+    feed([("rare", 1.0), ("often", 1.0)])
+    stream = spark.readStream.schema("k string, v double").option("maxFilesPerTrigger", 1).parquet(data)
+
+    @F.udf("double")
+    def slowly(v):
+        time.sleep(0.8)
+        return v
+
+    writer = stats_writer(stream.withColumn("v", slowly("v")), ["k"], "v", out, state)
+    query = writer.trigger(processingTime="100 milliseconds").start()
+    try:
+        for i in range(3):
+            feed([("often", float(i))])
+        first = emit_when_idle(spark, query, out, target, ["k"], quiet_ms=700, limit_s=120)
+        assert {r.k: r.n for r in first.collect()} == {"rare": 1, "often": 4}
+        stop = time.time()
+        feed([("often", 9.0), ("late", 2.0), ("late", 4.0)])
+        second = emit_when_idle(spark, query, out, target, ["k"], quiet_ms=700, limit_s=120, after=stop)
+        # later rows count in the log, but what was emitted stays
+        assert {r.k: r.n for r in second.collect()} == {"rare": 1, "often": 4, "late": 2}
+        assert {r.k: r.n for r in read_latest(spark, out).collect()} == {"rare": 1, "often": 5, "late": 2}
+        plan = query._jsq.explainInternal(False)
+        assert "Python" not in plan.replace("BatchEvalPython", "") and "EventTimeWatermark" in plan
+    finally:
+        query.stop()
+
+
+def test_the_log_follows_the_changed_strata(spark, tmp_path):
+    """Twenty batches, each of one new row: every batch commits one row; folds keep folders few."""
+    data, out, state = (str(tmp_path / x) for x in ("data", "out", "state"))
+    for i in range(20):
+        rows = [(f"s{i % 4}", float(i))] if i else [(f"s{j}", 0.0) for j in range(500)]
+        spark.createDataFrame(rows, "k string, v double").coalesce(1).write.mode("append").parquet(data)
+        stream = spark.readStream.schema("k string, v double").parquet(data)
+        run(stats_writer(stream, ["k"], "v", out, state))
+    batches = [p for p in Path(out).iterdir() if p.name.startswith("batch=")]
+    sizes = {int(p.name.removeprefix("batch=")): spark.read.parquet(str(p)).count() for p in batches}
+    assert all(n <= 1 for b, n in sizes.items() if b > 1) and len(sizes) <= 2 * 16
+    want = stratum_stats(spark.read.parquet(data), ["k"], "v")
+    assert same(round_stats(read_latest(spark, out), 6), round_stats(want, 6))
+    assert len([p for p in Path(out).iterdir() if p.name.startswith("base=")]) <= 2
+
+
+def test_reading_a_log_between_folds(spark, tmp_path):
+    path, fold = str(tmp_path / "log"), lambda log: newest(log, ["k"])
+    for batch in range(9):
+        rows = spark.createDataFrame([(batch % 3, batch)], "k int, v int")
+        append(rows, path, batch, fold, every=3)
+        append(rows, path, batch, fold, every=3)  # run again after a failure
+        got = {r.k: r.v for r in newest(read_log(spark, path), ["k"]).collect()}
+        assert got == {b % 3: b for b in range(batch + 1)}
+    append(rows.limit(0), path, 0, fold)  # a new stream
+    assert read_log(spark, path).count() == 0
