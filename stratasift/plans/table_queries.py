@@ -6,8 +6,10 @@ grows with the data. :mod:`stratasift.plans.table_sql` has the same queries as S
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +39,14 @@ from stratasift.sources.topic import (
     stats_to_records,
     to_records,
 )
-from stratasift.streaming.idle import emit_when_idle, publish_when_idle, sample_when_idle
+from stratasift.streaming.allocation import (
+    allocate_when_idle,
+    allocation_stream,
+    latest_stats_writer,
+    read_allocation,
+)
+from stratasift.streaming.idle import PROVIDER, ROCKSDB, emit_when_idle, publish_when_idle, sample_when_idle
+from stratasift.streaming.reservoir import read_reservoir, reservoir_writer
 from stratasift.streaming.sample import read_sample, sample_writer
 from stratasift.streaming.slots import read_latest
 from stratasift.streaming.stats import stats_writer
@@ -488,6 +497,122 @@ def idle_emit_events(spark, sf_dir):
     return round_stats(emitted, DIGITS)
 
 
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Settings for queries started inside: state in RocksDB, as many partitions as cores at most."""
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    wanted = {"spark.sql.shuffle.partitions": str(partitions), PROVIDER: ROCKSDB}
+    usual = {key: spark.conf.get(key, None) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in usual.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def waves(events: DataFrame, folder: str, *thirds: int) -> None:
+    """Append thirds of the rows to a folder that a stream reads."""
+    for i in thirds:
+        events.where(F.pmod(F.col("event_id"), F.lit(3)) == i).write.mode("append").parquet(folder)
+
+
+def stream_reservoir_events(spark, sf_dir):
+    """The sample of a stream in keyed state, sizes at hand from the start."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    folder, by = run_folder(spark), ["event_type"]
+    stats = stored_stats(events, by, "value")
+    budget = held(stats) // 20
+    sizes = materialize(allocate(stats, by, budget))
+    write_stats(sizes, f"{folder}/sizes", 0)
+    rows = stream(spark, sf_dir, "events").select(*events.columns)
+    with keyed_state(spark):
+        query = reservoir_writer(
+            rows, allocation_stream(spark, f"{folder}/sizes", sizes), by, ["event_id"], budget,
+            f"{folder}/log", f"{folder}/state", SEED, "md5",
+        ).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return read_reservoir(spark, f"{folder}/log", sizes)
+
+
+def stream_two_phase_events(spark, sf_dir):
+    """Both phases as streams: rows wait for sizes that come from a stream of statistics.
+
+    A third of the rows reaches the sampling query before its sizes, the others after.
+    """
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    folder, by = run_folder(spark), ["event_type"]
+    replay, topic, sizes = f"{folder}/replay", f"{folder}/topic", f"{folder}/sizes"
+    budget = events.where("event_type <> '' AND value IS NOT NULL").count() // 20
+    waves(events, replay, 0)
+    like = spark.createDataFrame([], "event_type string, mean double, std double, n bigint, si bigint")
+    with keyed_state(spark):
+        drawn = reservoir_writer(
+            spark.readStream.schema(events.schema).parquet(replay), allocation_stream(spark, sizes, like),
+            by, ["event_id"], budget, f"{folder}/log", f"{folder}/state", SEED, "md5",
+        ).start()
+        counted = stats_writer(
+            stream(spark, sf_dir, "events"), by, "value", f"{folder}/stats", f"{folder}/stats-state"
+        ).start()
+    running = [drawn, counted]
+    try:
+        drawn.processAllAvailable()
+        stats = publish_when_idle(
+            spark, counted, f"{folder}/stats", f"{folder}/published", quiet_ms=500, limit_s=300
+        )
+        round_stats(stats, DIGITS).write.parquet(topic)
+        latest = latest_stats_writer(
+            spark.readStream.schema(stats.schema).parquet(topic), by, f"{folder}/latest", f"{folder}/latest-state"
+        ).start()
+        running.append(latest)
+        version = allocate_when_idle(spark, latest, f"{folder}/latest", sizes, by, budget, limit_s=300)
+        waves(events, replay, 1, 2)
+        drawn.processAllAvailable()
+    finally:
+        for query in running:
+            query.stop()
+    allocation = materialize(read_allocation(spark, sizes, version))
+    sample = materialize(read_reservoir(spark, f"{folder}/log", allocation))
+    return rounded(sample_report(sample, allocation, by, "value"), "sample_mean", "sample_std")
+
+
+def stream_allocation_events(spark, sf_dir):
+    """Sizes from two waves of statistics; the second replaces what the first gave."""
+    events = table(spark, sf_dir, "events")
+    folder, by = run_folder(spark), ["event_type"]
+    topic, sizes = f"{folder}/topic", f"{folder}/sizes"
+    early = stored_stats(events.where(F.col("event_id") % 2 == 0), by, "value")
+    whole = stored_stats(events, by, "value")
+    budget = held(whole) // 20
+    early.withColumn("version", F.lit(1)).write.parquet(topic)
+    rows = spark.readStream.schema(spark.read.parquet(topic).schema).parquet(topic)
+    query = latest_stats_writer(rows, by, f"{folder}/latest", f"{folder}/state", "version").start()
+    try:
+        allocate_when_idle(spark, query, f"{folder}/latest", sizes, by, budget, limit_s=300)
+        done = time.time()
+        whole.withColumn("version", F.lit(2)).write.mode("append").parquet(topic)
+        allocate_when_idle(spark, query, f"{folder}/latest", sizes, by, budget, limit_s=300, after=done)
+    finally:
+        query.stop()
+    return read_allocation(spark, sizes)
+
+
+def stream_latest_stats_events(spark, sf_dir):
+    """The newest statistics row of every kind of a stream of them, an old version last."""
+    events = table(spark, sf_dir, "events")
+    folder, by = run_folder(spark), ["event_type"]
+    early = stratum_stats(events.withColumn("value", F.col("value") / 2), by, "value")
+    later = stratum_stats(events.where(F.col("event_type") != "signup"), by, "value")
+    rows = None
+    for i, (stats, version) in enumerate(((early, 1), (later, 2), (early.limit(2), 1))):
+        stats.withColumn("version", F.lit(version)).write.mode("append").parquet(f"{folder}/topic")
+        rows = spark.readStream.schema(spark.read.parquet(f"{folder}/topic").schema).parquet(f"{folder}/topic")
+        writer = latest_stats_writer(rows, by, f"{folder}/latest", f"{folder}/state", "version")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return round_stats(read_latest(spark, f"{folder}/latest"), DIGITS).withColumn("version", F.col("version").cast("bigint"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stratum_stats_orders": stratum_stats_orders,
     "stratum_stats_events": stratum_stats_events,
@@ -534,4 +659,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_report_events": stream_report_events,
     "idle_publish_events": idle_publish_events,
     "idle_emit_events": idle_emit_events,
+    "stream_reservoir_events": stream_reservoir_events,
+    "stream_two_phase_events": stream_two_phase_events,
+    "stream_allocation_events": stream_allocation_events,
+    "stream_latest_stats_events": stream_latest_stats_events,
 }

@@ -270,4 +270,8 @@ FROM (SELECT row_number() OVER (ORDER BY event_id) AS place,
     "stream_report_events": report(*EVENTS_SAMPLE),
     "idle_publish_events": stats("events", ["event_type"], "value"),
     "idle_emit_events": stats("events", ["event_type"], "value"),
+    "stream_reservoir_events": sample(*EVENTS_SAMPLE, EVENTS_OUT),
+    "stream_two_phase_events": report(*EVENTS_SAMPLE),
+    "stream_allocation_events": allocate("events", ["event_type"], "value", "rows // 20"),
 }
+SQL["stream_latest_stats_events"] = SQL["latest_stats_events"]
