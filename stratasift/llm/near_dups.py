@@ -234,23 +234,48 @@ def _hub_pairs(buckets: DataFrame, links: DataFrame, roots: DataFrame, similar:
     return stored(pairs.join(links, ["a", "b"], "left_anti"), "pairs")
 
 
+#: Bits, as 64-bit numbers, in which a text's shingles are marked.
+MARKS = 16
+
+
+def _marks(place: np.ndarray, shingles: np.ndarray, n_texts: int) -> np.ndarray:
+    """One bit per shingle of each text, at a place that depends on the shingle."""
+    out = np.zeros((n_texts, MARKS), dtype=np.uint64)
+    spot = mix(shingles ^ np.uint64(0x1D8E4E27C47D124F))
+    word = (spot % np.uint64(MARKS)).astype(np.int64)
+    np.bitwise_or.at(out, (place, word), np.uint64(1) << (spot >> np.uint64(58)))
+    return out
+
+
 def _shingle_rows(part: pa.RecordBatch) -> pa.RecordBatch:
+    """A row per shingle; the text's marks stand in the row of its first shingle."""
+    n = len(part)
     place, shingles, weights = weighted_shingles(part.column("text"))
-    sizes = np.bincount(place, weights=weights, minlength=len(part)).astype(np.int64)
+    sizes = np.bincount(place, weights=weights, minlength=n).astype(np.int64)
     at = pa.array(place)
+    first = np.concatenate([[True], place[1:] != place[:-1]])[: len(place)]
+    marks = _marks(place, shingles, n)[place[first]].view(np.int64).reshape(-1)
+    ends = np.concatenate([[0], np.cumsum(np.where(first, MARKS, 0))]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(marks), mask=pa.array(~first))
     return pa.RecordBatch.from_arrays(
-        [part.column("node").take(at), part.column("root").take(at), pa.array(sizes[place]), pa.array(shingles.view(np.int64)), pa.array(weights)],
-        names=["node", "root", "size", "shingle", "weight"],
+        [part.column("node").take(at), part.column("root").take(at), pa.array(sizes[place]), pa.array(shingles.view(np.int64)), pa.array(weights), lists],
+        names=["node", "root", "size", "shingle", "weight", "marks"],
     )
 
 
 def _unsettled(buckets: DataFrame, texts: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
-    """Pairs of different components of a bucket that may still be similar enough."""
+    """Pairs of different components of a bucket that may still be similar enough.
+
+    Of two texts x and y, every mark that only x has stands for a shingle that y lacks, so
+    what they share is at most x's size less those marks. Pairs that cannot be similar by
+    this bound are left out in the join itself, and a pair that shares several rare shingles
+    comes from the first of them only.
+    """
     root = F.coalesce("root", "node").alias("root")
     placed = buckets.join(roots, "node", "left").select("band", "node", root)
     mixed = placed.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2")
     nodes = placed.join(mixed.select("band"), "band", "left_semi").select("node", "root").distinct()
-    kind = "node binary, root binary, size long, shingle long, weight long"
+    kind = "node binary, root binary, size long, shingle long, weight long, marks array<long>"
     rows = stored(map_slices(nodes.join(texts, "node").select("node", "root", "text"), _shingle_rows, kind), "shingles")
     # shingles of one component only cannot be shared by two: they come first
     often = rows.groupBy("shingle").agg(
@@ -259,17 +284,29 @@ def _unsettled(buckets: DataFrame, texts: DataFrame, roots: DataFrame, similar:
     before = Window.partitionBy("node").orderBy("across", "often", "shingle").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("size") - F.coalesce(F.sum("weight").over(before), F.lit(0))
     first = (
-        rows.join(often, "shingle")
+        rows.drop("marks").join(often, "shingle")
         .withColumn("left", left)
         .where((F.col("left") >= similar * F.col("size") - 1e-9) & F.col("across"))
-        .select("node", "root", "size", "shingle", "left")
     )
-    some = stored(first, "prefixes")
+    rare = stored(first.select("node", "root", "size", "shingle", "left", "often"), "prefixes")
+    order = F.array_sort(F.collect_list(F.struct("often", "shingle")))
+    about = rare.groupBy("node").agg(F.transform(order, lambda s: s["shingle"]).alias("rare"))
+    about = about.join(rows.where("marks IS NOT NULL").select("node", "marks"), "node")
+    some = stored(rare.join(about, "node"), "prefixes")
     x, y = some.alias("x"), some.alias("y")
-    shared = F.least("x.left", "y.left") >= similar * (F.col("x.size") + F.col("y.size")) / (1 + similar) - 1e-9
+    needed = similar * (F.col("x.size") + F.col("y.size")) / (1 + similar) - 1e-9
+    shared = F.least("x.left", "y.left") >= needed
     apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart & shared)
-    return stored(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
+    x_marks = [F.get("x.marks", F.lit(i)) for i in range(MARKS)]
+    y_marks = [F.get("y.marks", F.lit(i)) for i in range(MARKS)]
+
+    def lacking(ours: list, theirs: list):
+        return sum((F.bit_count(a.bitwiseAND(F.bitwise_not(b))) for a, b in zip(ours, theirs)), F.lit(0))
+
+    close = (F.col("x.size") - lacking(x_marks, y_marks) >= needed) & (F.col("y.size") - lacking(y_marks, x_marks) >= needed)
+    once = F.get(F.array_intersect("x.rare", "y.rare"), F.lit(0)) == F.col("x.shingle")
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart & shared & close & once)
+    return stored(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), "pairs")
 
 
 def _classes(sketched: DataFrame, roots: DataFrame, key: str) -> DataFrame:
@@ -292,8 +329,16 @@ def _classes(sketched: DataFrame, roots: DataFrame, key: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with one row of each class left; all columns as they were."""
-    kept = near_duplicates(docs, key, text).where("keep").select(F.col(key).alias("_key"), F.col("h").alias("_h")).distinct()
-    hashed = docs.withColumn("_h0", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    same = hashed[key].eqNullSafe(kept["_key"]) & (hashed["_h0"] == kept["_h"])
-    return hashed.join(kept, same, "left_semi").dropDuplicates([key, "_h0"]).drop("_h0")
+    """The rows of ``docs`` with one row of each class left; all columns as they were.
+
+    Of rows with the kept key and text that differ in other columns, the one whose columns
+    have the least hash stays. Columns may have any names.
+    """
+    kept = near_duplicates(docs, key, text).where("keep").select(F.col(f"`{key}`").alias("key"), "h").distinct()
+    mark = "h" + "_" * max(map(len, docs.columns))  # longer than any name there is
+    hashed = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
+    same = hashed[f"`{key}`"].eqNullSafe(kept["key"]) & (hashed[mark] == kept["h"])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.xxhash64(*[c for c, f in zip(columns, docs.schema) if "map<" not in f.dataType.simpleString()])
+    rows = hashed.join(kept, same, "left_semi").groupBy(f"`{key}`", mark)
+    return rows.agg(F.min_by(F.struct(*columns), order).alias("row")).select("row.*")

@@ -107,3 +107,42 @@ def test_odd_rows(odd, empty):
     # the null text is a copy of the empty one
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 4]
     assert nd.near_duplicates(empty).collect() == []
+
+
+def test_a_group_of_variants_against_brute_force(spark):
+    """One text in 250 edited forms, many just below or above the threshold."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(250):
+        words = list(base)
+        for at in rng.choice(120, rng.integers(1, 6), replace=False):
+            words[at] = f"x{rng.integers(40)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in nd.near_duplicates(docs).collect()}
+    i, j = np.triu_indices(len(texts), 1)
+    similar = nd.multiset_similarity(pa.array([texts[x] for x in i]), pa.array([texts[x] for x in j]))
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in zip(i[similar >= 0.8].tolist(), j[similar >= 0.8].tolist()):
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    assert got == {x: find(x) for x in range(len(texts))}
+
+
+def test_columns_of_any_name_stay(spark):
+    text = "one two three four five six seven eight"
+    rows = [(1, text, 5, "a", 1, 2, 3), (1, text, 4, "b", 1, 2, 3), (2, text, 3, "c", 1, 2, 3), (None, None, 1, "d", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _h0 int, node string, label int, `a.b` int, mark int")
+    out = nd.drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert len(got) == 2 and all(r in rows for r in got)
+    again = sorted(map(tuple, nd.drop_near_duplicates(docs.orderBy("_h0")).collect()), key=str)
+    assert again == got
