@@ -18,6 +18,7 @@ from stratasift.functions.columns import stratum
 from stratasift.operators.allocate import allocate, shares, totals
 from stratasift.operators.clean import clean, project, rejected
 from stratasift.operators.copies import number_copies
+from stratasift.operators.jump import draw_by_jumps
 from stratasift.operators.stats import (
     latest_stats,
     merge_stats,
@@ -497,6 +498,20 @@ def idle_emit_events(spark, sf_dir):
     return round_stats(emitted, DIGITS)
 
 
+def jump_sample_orders(spark, sf_dir):
+    """Sizes of a sample drawn by jumps, its distinct rows, and rows that are not its stratum's."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", *ORDERS, "o_totalprice")
+    stats = stored_stats(orders, ORDERS, "o_totalprice")
+    sizes = materialize(allocate(stats, ORDERS, held(stats) // 10))
+    drawn = materialize(draw_by_jumps(orders.repartition(6), sizes, ORDERS, SEED))
+    strays = drawn.join(orders, orders.columns, "left_anti").groupBy(*ORDERS).agg(F.count("*").alias("strays"))
+    counts = drawn.groupBy(*ORDERS).agg(
+        F.count("*").alias("drawn"), F.countDistinct("o_orderkey").alias("different")
+    )
+    shown = sizes.select(*ORDERS, "si").join(counts, ORDERS, "left").join(strays, ORDERS, "left")
+    return shown.fillna(0, ["drawn", "different", "strays"])
+
+
 @contextmanager
 def keyed_state(spark: SparkSession):
     """Settings for queries started inside: state in RocksDB, as many partitions as cores at most."""
@@ -659,6 +674,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_report_events": stream_report_events,
     "idle_publish_events": idle_publish_events,
     "idle_emit_events": idle_emit_events,
+    "jump_sample_orders": jump_sample_orders,
     "stream_reservoir_events": stream_reservoir_events,
     "stream_two_phase_events": stream_two_phase_events,
     "stream_allocation_events": stream_allocation_events,

@@ -270,6 +270,9 @@ FROM (SELECT row_number() OVER (ORDER BY event_id) AS place,
     "stream_report_events": report(*EVENTS_SAMPLE),
     "idle_publish_events": stats("events", ["event_type"], "value"),
     "idle_emit_events": stats("events", ["event_type"], "value"),
+    "jump_sample_orders": f"""
+SELECT {joined(ORDERS)}, si, si AS drawn, si AS different, CAST(0 AS BIGINT) AS strays
+FROM ({allocate("orders", ORDERS, "o_totalprice", "rows // 10")})""",
     "stream_reservoir_events": sample(*EVENTS_SAMPLE, EVENTS_OUT),
     "stream_two_phase_events": report(*EVENTS_SAMPLE),
     "stream_allocation_events": allocate("events", ["event_type"], "value", "rows // 20"),
