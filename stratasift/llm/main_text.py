@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +32,9 @@ _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>""",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: An attribute: its name, and its value with or without quotes.
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+_OPEN_COMMENT = re.compile(r"<!--.*", re.S)
 _SPLIT = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 
 # Kinds of tags, and names that mark what is not main text.
@@ -55,6 +58,13 @@ NOISE = {
 }
 #: Noise of any size: readers' texts may be longer than the article.
 READERS = {"comment", "comments", "reply", "replies", "respond", "disqus", "hidden"}
+#: Words that go with noise without naming a subject: "related-posts" is noise, "related-work" is not.
+FILLERS = {
+    "area", "article", "articles", "bar", "block", "blocks", "body", "bottom", "box", "boxes", "button", "buttons", "col", "column", "container",
+    "content", "entry", "form", "global", "group", "holder", "icon", "icons", "inline", "inner", "item", "items", "layout", "left", "link", "links", "list",
+    "main", "meta", "mobile", "more", "news", "outer", "page", "pages", "panel", "post", "posts", "primary", "reader", "readers", "right", "row", "secondary",
+    "section", "site", "slot", "stories", "story", "strip", "tags", "text", "thread", "title", "top", "unit", "user", "wrap", "wrapper", "zone",
+}
 #: Parts of names that say what an element has or lacks, not what it is.
 MODIFIERS = {"has", "with", "without", "no", "non", "not", "is"}
 #: Tags that are never judged by their names.
@@ -64,14 +74,23 @@ BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def _is_noise(value: str) -> int:
-    """Whether one of the names is noise (1) of any size (2); what follows a modifier is none."""
+    """Whether one of the names is noise (1) of any size (2).
+
+    A name is noise if a word of it is and the others are fillers or numbers; what follows a
+    modifier does not count, and a word with another subject makes the name none.
+    """
     noise = 0
     for name in value.split():
+        worst = 0
         for word in (w.lower() for w in _SPLIT.split(name)):
             if word in MODIFIERS:
                 break
             if word in NOISE:
-                noise = max(noise, 1 + (word in READERS))
+                worst = max(worst, 1 + (word in READERS))
+            elif word and not word.isdigit() and word not in FILLERS:
+                worst = 0
+                break
+        noise = max(noise, worst)
     return noise
 
 
@@ -107,6 +126,13 @@ class Page:
         stack: list[tuple[str, str, int, int, bool]] = [("", "", 0, 0, False)]
         parts: list[str] = []
         linked, in_link, at, size = 0, 0, 0, len(source)
+        last = source.rfind(">")  # no tag ends behind it
+        count: Counter[str] = Counter()  # open elements by tag
+
+        def shut(i: int) -> None:
+            for element in stack[i:]:
+                count[element[0]] -= 1
+            del stack[i:]
 
         def flush() -> None:
             nonlocal linked
@@ -118,7 +144,9 @@ class Page:
             linked = 0
 
         while at < size:
-            m = _TAG.search(source, at)
+            m = _TAG.search(source, at) if at <= last else _OPEN_COMMENT.search(source, at)
+            if m and m.start() > last:
+                m = _OPEN_COMMENT.search(source, at)
             end = m.start() if m else size
             if end > at:
                 parts.append(source[at:end])
@@ -127,7 +155,7 @@ class Page:
             if not m:
                 break
             at = m.end()
-            name = m[2] or m[5]
+            name = m.re is _TAG and (m[2] or m[5])
             if not name:
                 continue
             tag, closing = name.lower(), bool(m[1] or m[4])
@@ -142,16 +170,16 @@ class Page:
             elif tag in BLOCKS:
                 flush()
                 if closing:
-                    for i in range(len(stack) - 1, 0, -1):
+                    for i in range(len(stack) - 1, 0, -1) if count[tag] else ():
                         if stack[i][0] == tag:
-                            del stack[i:]
+                            shut(i)
                             in_link = 0
                             break
                 elif tag not in VOID:
                     ends = ENDS[tag]
-                    for i in range(len(stack) - 1, 0, -1):
+                    for i in range(len(stack) - 1, 0, -1) if any(count[e] for e in ends) else ():
                         if stack[i][0] in ends:
-                            del stack[i:]
+                            shut(i)
                         elif stack[i][0] in CONTAINERS or stack[i][0] in ("ul", "ol", "table", "blockquote"):
                             break
                     label, noise = _label(tag, m[3] or m[6] or "")
@@ -166,7 +194,11 @@ class Page:
                         inside = len(self.containers) - 1
                     if tag in ("article", "main", "h1"):
                         wraps[named] = True
+                    if tag == "h1" and (count["article"] or count["main"]):
+                        # the title of an article is no noise inside of it
+                        named = next(e[3] for e in reversed(stack) if e[0] in ("article", "main"))
                     stack.append((tag, path, inside, named, sure or noise == 2))
+                    count[tag] += 1
         flush()
         self._drop_noise(found, outer, wraps)
 
@@ -211,19 +243,18 @@ class Page:
     def text(self, path: str | None) -> str:
         """The blocks inside the containers on ``path`` (or inside the best one), in order."""
         chosen = {c for c, (p, _) in enumerate(self.containers) if p == path}
-        if not any(self._inside(c, chosen) for c in {b[0] for b in self.blocks}):
+        inside = self._inside(chosen)
+        if not any(inside[b[0]] for b in self.blocks):
             best = self.votes()
             chosen = {c for c, (p, _) in enumerate(self.containers) if best and p == best[0][0]}
         chosen |= self._around(chosen)
-        known = {c: self._inside(c, chosen) for c in {b[0] for b in self.blocks}}
-        return "\n".join(text for c, text, _ in self.blocks if known[c])
+        inside = self._inside(chosen)
+        return "\n".join(text for c, text, _ in self.blocks if inside[c])
 
     def _around(self, chosen: set[int]) -> set[int]:
         """For each outermost chosen container, the article or main around it; else the lowest
         container around it, inside the body, with more than half of its text in ``chosen``."""
-        inside, held, won = [False] * len(self.containers), [0] * len(self.containers), [0] * len(self.containers)
-        for c, (_, parent) in enumerate(self.containers):
-            inside[c] = c in chosen or (parent >= 0 and inside[parent])
+        inside, held, won = self._inside(chosen), [0] * len(self.containers), [0] * len(self.containers)
         for c, text, _ in self.blocks:
             held[c] += len(text)
             won[c] += len(text) * inside[c]
@@ -248,12 +279,12 @@ class Page:
                 out.add(c if lowest is None else lowest)
         return out
 
-    def _inside(self, c: int, chosen: set[int]) -> bool:
-        while c >= 0:
-            if c in chosen:
-                return True
-            c = self.containers[c][1]
-        return False
+    def _inside(self, chosen: set[int]) -> list[bool]:
+        """For every container whether it is in ``chosen`` or inside one that is."""
+        inside = [False] * len(self.containers)
+        for c, (_, parent) in enumerate(self.containers):  # parents come first
+            inside[c] = c in chosen or (parent >= 0 and inside[parent])
+        return inside
 
 
 def host_paths(pages: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 import html
 import re
+import time
+
+import pytest
 
 from stratasift.llm import main_text as mt
 from stratasift.llm.common import read_table
@@ -89,3 +92,47 @@ def test_title_and_lead_outside_the_inner_container(spark):
     rows = [(10 * i + j, f"http://h{i}/x", p) for i, p in enumerate(pages) for j in range(3)]
     got = mt.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == len(rows) and all(r["text"] == want[r["page_id"] // 10] for r in got)
+
+
+ARTICLE = "<html><body><nav><a href=x>Home</a></nav><article{}>{}</article><footer>end</footer></body></html>"
+TEXT = "<p>" + "A sentence of the story that goes on for a while. " * 5 + "</p>"
+
+
+def read(page):
+    p = mt.Page(page)
+    best = p.votes()
+    return p.text(best[0][0] if best else None)
+
+
+@pytest.mark.parametrize("attributes", [
+    ' data-title="Hidden truths"', ' data-hidden="false"', ' class=post title="the hidden valley"', " class='a' onclick=\"x('hidden')\"",
+    ' data-role="navigation"', ' data-class="sidebar ad"',
+])
+def test_words_inside_other_attributes_hide_nothing(attributes):
+    assert read(ARTICLE.format(attributes, TEXT)).startswith("A sentence")
+    div = ARTICLE.replace("article", "div").format(attributes, TEXT)
+    assert read(div).startswith("A sentence")
+
+
+@pytest.mark.parametrize("part", [
+    '<div class="related-work">kept</div>', '<section class="search-algorithms">kept</section>', '<table class="alert-levels"><tr><td>kept</td></tr></table>',
+    '<div class="entry-header"><h1>kept</h1></div>', '<div id="cookie-recipes">kept</div>',
+])
+def test_parts_of_an_article_with_names_of_subjects_stay(part):
+    assert "kept" in read(ARTICLE.format("", part + TEXT))
+
+
+@pytest.mark.parametrize("part", [
+    '<div class="cookie-notice">gone</div>', '<div class="related-posts">gone</div>', '<div class="ad">gone</div>', "<div hidden>gone</div>",
+    '<div id="comments"><p>gone</p></div>', '<div class="comment-list"><h2>gone</h2></div>', '<div aria-hidden="true">gone</div>', '<div class="ad-slot-3">gone</div>',
+])
+def test_noise_inside_an_article_goes(part):
+    assert "gone" not in read(ARTICLE.format("", TEXT + part))
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<!--", "<div ", "<!x", '<a "', "<figure>", "<div>", "</p><div>", "<script>", "<li><p>", "</div ", "<"])
+def test_broken_pages_take_linear_time(unit):
+    page = TEXT + unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    mt.Page(page).text(None)
+    assert time.process_time() - began < 12
