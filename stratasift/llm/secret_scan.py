@@ -115,11 +115,12 @@ def redact_secrets(docs: DataFrame, rules: list[Rule] = RULES, key: str = "doc_i
     """The same rows and columns, every found span of ``text`` replaced by ``<kind>``.
 
     Overlapping spans become one replacement, named by the first. A null text stays null.
+    Columns may have any names; repeated rows stay repeated.
     """
     found = _found(text_input(docs, key, text).withColumn("h", F.xxhash64("text")), rules)
     some = found.where(F.size("found") > 0).select(F.col("key").alias("_key"), F.col("h").alias("_h"), F.col("found").alias("_found"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    body = F.col(text)
+    body = docs[f"`{text}`"]
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(body, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
@@ -132,9 +133,10 @@ def redact_secrets(docs: DataFrame, rules: list[Rule] = RULES, key: str = "doc_i
     def end(acc: Column) -> Column:
         return F.concat(acc["out"], F.substring(body, (acc["at"] + 1).cast("int"), F.length(body)))
 
-    same = docs[key].eqNullSafe(F.col("_key")) & (F.xxhash64(docs[text]) == F.col("_h"))
-    clean = F.when(F.col("_found").isNull(), body).otherwise(F.aggregate("_found", start, step, end))
-    columns = [clean.alias(text) if c == text else docs[c] for c in docs.columns]
+    # columns by their table, as the other one may have columns of the same names
+    same = docs[f"`{key}`"].eqNullSafe(some["_key"]) & (F.xxhash64(body) == some["_h"])
+    clean = F.when(some["_found"].isNull(), body).otherwise(F.aggregate(some["_found"], start, step, end))
+    columns = [clean.alias(text) if c == text else docs[f"`{c}`"] for c in docs.columns]
     return docs.join(some, same, "left").select(*columns)
 
 
