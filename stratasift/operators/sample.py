@@ -6,10 +6,11 @@ keep hot strata out of single tasks and the shuffle near the size of the sample:
 1. Cut while scanning. With n rows in the stratum, the si smallest of its n uniform
    priorities lie below (sqrt(si) + 3.5)^2 / n = (si + 7 sqrt(si) + 12.25) / n but for
    a chance near 1e-9, so rows above that limit are dropped before any shuffle.
-2. Count per bucket. Candidates fall in priority buckets of a few thousand rows;
-   running sums over the buckets tell how many rows to take from each.
-3. Rank inside (stratum, bucket), never across a whole stratum. A bucket that came out
-   much larger, because the data grew since the statistics, is cut into buckets again.
+2. Count per bucket. Candidates fall in priority buckets, of a few rows or, in large
+   samples, a few thousand; running sums tell how many rows to take from each.
+3. Take whole buckets where they lie. Only the one bucket of a stratum that is taken in
+   part is shuffled and ranked, never a whole stratum. A bucket that came out much
+   larger, because the data grew since the statistics, is cut into buckets again.
 
 Strata that come out short of rows are drawn again without a limit, so the result
 is exact whatever the limit did.
@@ -30,6 +31,8 @@ from stratasift.operators.skip import prune_partitions
 from stratasift.session import materialize
 
 BUCKET_ROWS = 4096
+LEAST_BUCKET = 8
+BUCKETS = 200_000  # about how many there are before they grow beyond LEAST_BUCKET rows
 LARGE_BUCKET = 4  # times bucket_rows
 SLACK = (7.0, 12.25)
 
@@ -90,6 +93,21 @@ def take_smallest(
     )
 
 
+def take_buckets(
+    candidates: DataFrame, counts: DataFrame, by: list[str], ids: list[str]
+) -> DataFrame:
+    """As :func:`take_smallest`, for counts that are small and cheap to read again.
+
+    Rows of buckets that are taken whole are not shuffled.
+    """
+    wanted = counts.where(F.col("_take") > 0)
+    is_whole = F.col("_take") == F.col("_rows")
+    whole = F.broadcast(wanted.where(is_whole).select(*by, "_bucket"))
+    parted = F.broadcast(wanted.where(~is_whole))
+    ranked = take_smallest(candidates, parted, by, ids)
+    return candidates.join(whole, [*by, "_bucket"]).unionByName(ranked)
+
+
 def draw_sample(
     data: DataFrame,
     allocation: DataFrame,
@@ -110,7 +128,8 @@ def draw_sample(
     without an allocation are left out; a stratum with fewer than ``si`` rows is
     taken whole. ``method='skip'`` also runs the rows below the limit through
     reservoirs, one per stratum and input partition, which skip most rows where no
-    limit can be set; it picks the same rows as ``'rank'``.
+    limit can be set; it picks the same rows as ``'rank'``. About ``bucket_rows`` rows of
+    a stratum are ranked together at most.
     """
     if method not in ("rank", "skip"):
         raise ValueError(f"method must be 'rank' or 'skip', not {method!r}")
@@ -129,27 +148,35 @@ def draw_sample(
     limit = F.least(F.ceil(near / F.col("_n") * SPAN), F.lit(SPAN)).cast("bigint")
     strata = strata.withColumn("_limit", limit)
     expected = F.col("_n") * (F.col("_limit") / SPAN)
-    size, wanted = strata.agg(table_bytes(strata, groups), F.sum("_si")).first()
+    size, wanted, near_rows = strata.agg(
+        table_bytes(strata, groups), F.sum("_si"), F.sum(expected)
+    ).first()
 
     def below_limit(table: DataFrame) -> DataFrame:
         rows = attach(keyed, table, groups, P, "_limit", broadcast_bytes, size)
         return prune_partitions(rows, "_sid", "_si", P) if method == "skip" else rows
 
-    def pick(found: DataFrame, counts: DataFrame) -> DataFrame:
-        return take_smallest(found, counts, groups, keys).select(*columns)
+    def pick(found: DataFrame, counts: DataFrame, small: bool) -> DataFrame:
+        take = take_buckets if small else take_smallest
+        return take(found, counts, groups, keys).select(*columns)
 
-    def counted(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-        rows = materialize(bucketed(below_limit(table), expected, bucket_rows))
+    def counted(table: DataFrame, rows_near: float) -> tuple[DataFrame, DataFrame, int, bool]:
+        """Candidates, their counts, the rows to take, and if the counts can be broadcast."""
+        step = min(bucket_rows, max(LEAST_BUCKET, int(rows_near / BUCKETS)))
+        rows = materialize(bucketed(below_limit(table), expected, step))
         sizes = materialize(bucket_counts(rows, groups))
-        if (sizes.agg(F.max("_rows")).first()[0] or 0) > LARGE_BUCKET * bucket_rows:
+        facts = (F.max("_rows"), F.sum("_take"), table_bytes(sizes, groups))
+        largest, taken, width = sizes.agg(*facts).first()
+        if (largest or 0) > LARGE_BUCKET * bucket_rows:
             rows = materialize(rebucketed(rows, sizes, groups, bucket_rows))
             sizes = materialize(bucket_counts(rows, groups))
-        return rows, sizes
+            largest, taken, width = sizes.agg(*facts).first()
+        return rows, sizes, taken, width <= broadcast_bytes
 
-    found, counts = counted(strata)
+    found, counts, taken, small = counted(strata, near_rows or 0)
     # No stratum gives more than si, so equal sums mean that none came out short.
-    if counts.agg(F.sum("_take")).first()[0] == wanted:
-        return pick(found, counts)
+    if taken == wanted:
+        return pick(found, counts, small)
     totals = counts.groupBy(*groups).agg(F.sum("_rows").alias("_found"))
     short = materialize(
         strata.join(totals, groups, "left")
@@ -157,8 +184,9 @@ def draw_sample(
         .drop("_found")
         .withColumn("_limit", F.lit(SPAN).cast("bigint"))
     )
-    if short.isEmpty():
-        return pick(found, counts)
-    again, again_counts = counted(short)
-    enough = pick(found, counts.join(short.select(*groups), groups, "left_anti"))
-    return enough.unionByName(pick(again, again_counts))
+    near_rows = short.agg(F.sum(expected)).first()[0]
+    if near_rows is None:
+        return pick(found, counts, small)
+    again, again_counts, _, again_small = counted(short, near_rows)
+    enough = pick(found, counts.join(short.select(*groups), groups, "left_anti"), small)
+    return enough.unionByName(pick(again, again_counts, again_small))
