@@ -14,20 +14,23 @@ weights of an item's essential words in the passage are added up for all passage
 and the rest of the item's weight is granted.
 
 The index goes to every task. It covers at most BLOCK_ITEMS items and about BLOCK_BYTES of
-text; a larger benchmark is worked through in blocks, each against all texts.
+text; a larger benchmark is worked through in blocks, each against all texts. How many
+items hold a word, the number of items and their mean length are counted over all items, so
+scores do not depend on the blocks.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratasift.llm.common import ALNUM, map_slices, shingles_of, text_input, words_of
+from stratasift.llm.common import ALNUM, map_slices, shingles_of, stored, text_input, words_of
 
 THRESHOLD, ORDINARY, VERIFIED, WIDTH = 0.6, 0.2, 0.8, 5
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32 << 20
@@ -53,6 +56,17 @@ def _runs(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(shingles_of(np.zeros(len(words), np.int64), words, 1, width)[1])
 
 
+@dataclass(frozen=True)
+class ItemCounts:
+    """What BM25 needs to know of all items: how many hold words, their mean length in words,
+    and for ascending word hashes (at least a block's) how many items hold the word."""
+
+    items: int
+    mean: float
+    words: np.ndarray
+    often: np.ndarray
+
+
 class LengthClass:
     """Postings of the items of one length class."""
 
@@ -159,7 +173,8 @@ class LengthClass:
 class ItemIndex:
     """A block of test items: vocabulary, length classes, and what verification needs."""
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: list, texts: list[str], counts: ItemCounts | None = None):
+        """``counts`` are those of all items; without them the block is all there is."""
         self.ids = ids
         bags, keep = [], []
         for i, t in enumerate(texts):
@@ -169,9 +184,13 @@ class ItemIndex:
                 bags.append(np.unique(words, return_counts=True))
         self.vocabulary = np.unique(np.concatenate([b[0] for b in bags])) if bags else np.zeros(0, np.uint64)
         terms = [np.searchsorted(self.vocabulary, b[0]) for b in bags]
-        often = np.bincount(np.concatenate(terms), minlength=len(self.vocabulary)) if bags else np.zeros(0)
-        rarity = np.log1p((len(bags) - often + 0.5) / (often + 0.5))
-        mean = np.mean([b[1].sum() for b in bags]) if bags else 1.0
+        if counts is None:
+            often = np.bincount(np.concatenate(terms), minlength=len(self.vocabulary)) if bags else np.zeros(0)
+            total, mean = len(bags), np.mean([b[1].sum() for b in bags]) if bags else 1.0
+        else:
+            often = counts.often[np.searchsorted(counts.words, self.vocabulary)]
+            total, mean = counts.items, counts.mean
+        rarity = np.log1p((total - often + 0.5) / (often + 0.5))
         by_class: dict[int, tuple[list[int], list[dict[int, float]]]] = {}
         self.question: dict[int, tuple[int, np.ndarray]] = {}
         self.answer: dict[int, np.ndarray] = {}
@@ -236,15 +255,48 @@ class ItemIndex:
         return q, float(np.isin(answer, passage).mean()) if len(answer) else 1.0
 
 
+def _item_words(part: pa.RecordBatch) -> pa.RecordBatch:
+    """(block, word hash) of each different word of each item."""
+    place, words, _, _ = words_of(part.column("text"), ALNUM)
+    pairs = np.unique(np.stack([place.astype(np.int64), words.view(np.int64)]), axis=1)
+    block = part.column("block").take(pa.array(pairs[0]))
+    return pa.RecordBatch.from_arrays([block, pa.array(pairs[1])], names=["block", "word"])
+
+
+def _item_sizes(part: pa.RecordBatch) -> pa.RecordBatch:
+    """The number of words of each item that has any."""
+    place, _, _, _ = words_of(part.column("text"), ALNUM)
+    sizes = np.bincount(place, minlength=len(part)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(sizes[sizes > 0])], names=["size"])
+
+
 def item_blocks(items: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[ItemIndex]:
-    """Indexes over blocks of the items; each block's size is bounded."""
+    """Indexes over blocks of the items; each block's size is bounded.
+
+    Of the words' counts over all items, the driver reads those of one block at a time.
+    """
     rows = text_input(items, key, text)
     n, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     many = max(1, -(-n // (BLOCK_ITEMS // 2)), -(-(size or 0) // (BLOCK_BYTES // 2)))
-    for b in range(many):
-        part = rows.where(F.pmod(F.xxhash64("key", "text"), F.lit(many)) == b)
-        got = part.orderBy("key", "text").collect()
+    if many == 1:
+        got = rows.orderBy("key", "text").collect()
         yield ItemIndex([r["key"] for r in got], [r["text"] for r in got])
+        return
+    block = F.pmod(F.xxhash64("key", "text"), F.lit(many)).alias("block")
+    dealt = stored(rows.select("key", "text", block), "items")
+    sizes = map_slices(dealt, _item_sizes, "size long")
+    total, length = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    in_block = map_slices(dealt, _item_words, "block long, word long")
+    in_block = stored(in_block.groupBy("block", "word").agg(F.count("*").alias("held")), "item-words")
+    often = in_block.groupBy("word").agg(F.sum("held").alias("often"))
+    words = stored(in_block.select("block", "word").join(often, "word"), "item-counts")
+    for b in range(many):
+        got = dealt.where(F.col("block") == b).orderBy("key", "text").collect()
+        table = words.where(F.col("block") == b).select("word", "often").toArrow()
+        hashes = table["word"].to_numpy().view(np.uint64)
+        order = np.argsort(hashes)
+        counts = ItemCounts(total, length / max(total, 1), hashes[order], table["often"].to_numpy()[order])
+        yield ItemIndex([r["key"] for r in got], [r["text"] for r in got], counts)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id") -> DataFrame:

@@ -64,6 +64,24 @@ def test_blocks_of_items_give_the_same(spark, sf, documents, monkeypatch):
     assert {(r[0], r[1]) for r in dc.find_leaks(documents, items).collect()} == whole
 
 
+def test_scores_do_not_depend_on_the_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    words = [" ".join(f"w{int(x) % 400}" for x in rng.zipf(1.2, rng.integers(12, 40))) for _ in range(60)]
+    items = spark.createDataFrame([*enumerate(words), (60, None), (61, ""), (62, words[0])], "item_id long, text string")
+    # copies of the first 85% to 100% of an item, around the threshold of 0.6 and above it
+    texts = [" ".join(t.split()[: int(len(t.split()) * share)]) for t in words for share in (0.6, 0.85, 0.9, 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def scores():
+        return sorted((r[0], r[1], round(r[2], 12)) for r in dc.find_leaks(docs, items).collect())
+
+    once = scores()
+    assert len(once) >= 60
+    for block in (40, 4):  # 4 and 32 blocks
+        monkeypatch.setattr(dc, "BLOCK_ITEMS", block)
+        assert scores() == once
+
+
 def test_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, "a b c"), (None, "word " * 20)], "item_id long, text string")
     assert sorted((r["doc_id"], r["item_id"]) for r in dc.find_leaks(odd, items).collect() if r["item_id"]) == [(1, 1), (1, 1)]
