@@ -24,6 +24,7 @@ from stratasift.plans.whole_run import stratified_sample
 from stratasift.session import checkpoint_dir, materialize
 from stratasift.sources.csv import parse_csv, read_csv
 from stratasift.sources.lines import read_lines
+from stratasift.sources.positions import FILE, PLACE, with_position
 from stratasift.sources.stats_table import read_stats, write_stats
 from stratasift.sources.text import show_stats, write_lines
 from stratasift.sources.topic import (
@@ -144,25 +145,28 @@ def stored(spark: SparkSession, args: argparse.Namespace, names: list[str]) -> D
 def sample_stream(spark: SparkSession, args: argparse.Namespace) -> None:
     """The sample of a stream and its report, stored once the whole stream is quiet.
 
-    Files have no row ids, so their rows are told apart by all columns that are read; equal
-    rows have equal priorities.
+    Rows of files are told apart by their places, so each of several equal rows has its own
+    chance; the report shows the columns that are read.
     """
     names, value = [f"c{i}" for i in args.groups], f"c{args.value}"
     table = stored(spark, args, names)
     sizes = materialize(allocate(table, names, args.budget, args.weights, args.cv, args.on_mismatch))
     stream = rows(spark, args, True)
-    ids = ["partition", "offset"] if args.topic else stream.columns
-    keep = [c for c in ids if c not in (*names, value)]
+    shown = ["partition", "offset"] if args.topic else stream.columns
+    ids, place = ([FILE], PLACE) if args.file else (shown, None)
+    keep = [c for c in [*shown, *ids] if c not in (*names, value)]
+    if args.file:
+        stream = with_position(stream)
     cleaned = clean(stream, names, value, keep=keep, on_bad=args.on_bad)
     folder = state_folder(spark, args)
     query = sample_writer(
-        cleaned, sizes, names, ids, f"{folder}/sample", f"{folder}/state", args.seed
+        cleaned, sizes, names, ids, f"{folder}/sample", f"{folder}/state", args.seed, place=place
     ).start()
     try:
         drawn = sample_when_idle(spark, query, f"{folder}/sample", args.timeout)
         report = sample_report(drawn, sizes, names, value)
         if args.out:
-            write_lines(report_lines(drawn, report, names, value, ids), args.out)
+            write_lines(report_lines(drawn, report, names, value, shown), args.out)
         show_stats(sort_stats(report, names))
     finally:
         query.stop()
@@ -193,7 +197,9 @@ def sample(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
-    spark = SparkSession.builder.appName(f"stratasift {args.job}").getOrCreate()
+    # intermediate results go when the job no longer holds them
+    cleaned = "spark.cleaner.referenceTracking.cleanCheckpoints"
+    spark = SparkSession.builder.appName(f"stratasift {args.job}").config(cleaned, "true").getOrCreate()
     {"feed": feed, "stats": stats, "sample": sample}[args.job](spark, args)
 
 

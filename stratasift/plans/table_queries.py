@@ -32,6 +32,7 @@ from stratasift.plans.whole_run import SampleRun, stratified_sample
 from stratasift.session import checkpoint_dir, materialize
 from stratasift.sources.csv import parse_csv, read_csv, to_csv_line
 from stratasift.sources.lines import read_lines
+from stratasift.sources.positions import POSITION, with_position
 from stratasift.sources.stats_table import read_stats, write_stats
 from stratasift.sources.topic import (
     from_records,
@@ -504,6 +505,20 @@ def jump_sample_orders(spark, sf_dir):
     stats = stored_stats(orders, ORDERS, "o_totalprice")
     sizes = materialize(allocate(stats, ORDERS, held(stats) // 10))
     drawn = materialize(draw_by_jumps(orders.repartition(6), sizes, ORDERS, SEED))
+    return sample_sizes(drawn, orders, sizes)
+
+
+def position_sample_orders(spark, sf_dir):
+    """The same of a sample whose rows are told apart by their places in the files."""
+    orders = with_position(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    orders = orders.select(*POSITION, "o_orderkey", *ORDERS, "o_totalprice")
+    stats = stored_stats(orders, ORDERS, "o_totalprice")
+    sizes = materialize(allocate(stats, ORDERS, held(stats) // 10))
+    drawn = materialize(draw_sample(orders, sizes, ORDERS, POSITION, SEED))
+    return sample_sizes(drawn, orders, sizes)
+
+
+def sample_sizes(drawn: DataFrame, orders: DataFrame, sizes: DataFrame) -> DataFrame:
     strays = drawn.join(orders, orders.columns, "left_anti").groupBy(*ORDERS).agg(F.count("*").alias("strays"))
     counts = drawn.groupBy(*ORDERS).agg(
         F.count("*").alias("drawn"), F.countDistinct("o_orderkey").alias("different")
@@ -675,6 +690,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "idle_publish_events": idle_publish_events,
     "idle_emit_events": idle_emit_events,
     "jump_sample_orders": jump_sample_orders,
+    "position_sample_orders": position_sample_orders,
     "stream_reservoir_events": stream_reservoir_events,
     "stream_two_phase_events": stream_two_phase_events,
     "stream_allocation_events": stream_allocation_events,

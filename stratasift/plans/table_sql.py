@@ -277,4 +277,5 @@ FROM ({allocate("orders", ORDERS, "o_totalprice", "rows // 10")})""",
     "stream_two_phase_events": report(*EVENTS_SAMPLE),
     "stream_allocation_events": allocate("events", ["event_type"], "value", "rows // 20"),
 }
+SQL["position_sample_orders"] = SQL["jump_sample_orders"]
 SQL["stream_latest_stats_events"] = SQL["latest_stats_events"]

@@ -14,6 +14,7 @@ from stratasift.operators.joins import attach, table_bytes
 from stratasift.operators.sample import P, bucket_counts, bucketed, take_smallest
 from stratasift.operators.skip import prune_partitions
 from stratasift.session import materialize
+from stratasift.sources.positions import place_in_partition
 from stratasift.streaming.slots import read_latest, read_slot, write_slot
 
 
@@ -26,6 +27,7 @@ def sample_writer(
     checkpoint: str,
     seed: int = 0,
     hasher: str = "xxhash64",
+    place: str | None = None,
 ) -> DataStreamWriter:
     """A writer that keeps, after every batch, the sample of all rows so far.
 
@@ -34,10 +36,15 @@ def sample_writer(
     filling up are cut by reservoirs per input partition. The result equals the
     sample drawn from all rows at once with the same seed. Read it with
     :func:`read_sample`.
+
+    ``place`` names a column to be added that tells a batch's rows apart, for streams
+    without row ids: with ``ids`` naming the row's file (which is in one batch only), equal
+    rows are drawn independently of each other. A batch that is run again may then draw
+    other rows, and replaces its version as a whole.
     """
     groups = resolve_all(stream, by)
-    keys = resolve_all(stream, ids)
-    columns = stream.columns
+    keys = [*resolve_all(stream, ids), *([place] if place else [])]
+    columns = [*stream.columns, *([place] if place else [])]
     strata = materialize(
         allocation.where(F.col("si") > 0).select(
             *groups,
@@ -64,7 +71,8 @@ def sample_writer(
                 .withColumn("_limit", limit)
                 .drop("_kept", "_above")
             )
-        keyed = batch.withColumn(P, priority(seed, keys, hasher))
+        told_apart = batch.withColumn(place, place_in_partition()) if place else batch
+        keyed = told_apart.withColumn(P, priority(seed, keys, hasher))
         near = attach(keyed, table, groups, P, "_limit", size=size)
         entering = prune_partitions(near, "_sid", "_si", P)
         if kept is not None:

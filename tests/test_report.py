@@ -1,3 +1,7 @@
+import math
+import random
+from decimal import Decimal
+
 import pytest
 from fixed import RECORDS
 
@@ -74,3 +78,20 @@ def test_columns_named_like_ours(spark):
     with pytest.raises(ValueError, match="rename the columns"):
         named = df.withColumnRenamed("part", "_n")
         stratified_sample(named, ["stratum"], "line", 12, ids=["line"], keep=["_n"])
+
+
+def test_mean_of_amounts_in_any_order(spark):
+    """Cents in several orders and partitions give one mean, which rounds as the exact one does."""
+    rng = random.Random(3)
+    amounts = [Decimal(rng.randrange(10**8)) / 100 for _ in range(32)]
+    amounts[0] += Decimal(1 + 2 * 8) / 100 - sum(amounts) * 100 % 32 / 100  # the mean is a tie at 6 digits
+    exact = sum(amounts) / 32
+    assert str(exact).endswith("5") and -exact.as_tuple().exponent == 7
+    for order in range(6):
+        rng.shuffle(amounts)
+        rows = spark.createDataFrame([("a", float(x)) for x in amounts], "g string, v double").repartition(order + 1)
+        got = sample_stats(rows, ["g"], "v").first().sample_mean
+        assert Decimal(repr(got)) == exact
+    odd = spark.createDataFrame([("n", float("nan")), ("i", float("inf")), ("z", None), ("z", 2.0), ("e", None)], "g string, v double")
+    means = {r.g: r.sample_mean for r in sample_stats(odd, ["g"], "v").collect()}
+    assert math.isnan(means["n"]) and means["i"] == math.inf and means["z"] == 2.0 and means["e"] is None
