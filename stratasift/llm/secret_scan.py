@@ -1,12 +1,16 @@
 """Secret scan over a trigram index, in DataFrame operations only.
 
 1. The rules' patterns give Boolean queries over trigrams (:mod:`secret_rules`).
-2. Postings: one row per (document, indexed trigram in its lower-cased text). Only trigrams
-   that some query asks for are indexed.
-3. The postings of a document are brought together and each query's ANDs and ORs are taken
-   over them; what passes is a candidate for that rule.
-4. Candidates are verified with the pattern itself. Rules without mandatory trigrams are
-   matched on every text.
+2. Documents are dealt to blocks by a hash. The index has one row per block and trigram: the
+   sorted numbers (32 bits) of the block's documents whose lower-cased text holds it. Only
+   trigrams that some query asks for are indexed.
+3. In each block a query's ANDs are intersections of posting lists and its ORs are unions;
+   the documents left are the rule's candidates.
+4. Only candidates are brought back to their texts and verified with the pattern itself.
+   Rules without mandatory trigrams are matched on every text where it is read.
+
+A document's number is a hash of its key and text, so two of a block may share one; such a
+document is verified in vain, and none is lost.
 
 Spans are counted in code points from the texts between the matches: a text is split at the
 pattern, so the lengths of gaps and matches add up to the positions.
@@ -14,15 +18,15 @@ pattern, so the lengths of gaps and matches add up to the positions.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratasift.llm.common import text_input
-from stratasift.llm.secret_rules import BASE_KINDS, RULES, Rule, queries
+from stratasift.llm.secret_rules import BASE_KINDS, RULES, Query, Rule, queries
 
-_ROW = ""  # marks the row itself among the postings
+#: Documents of a block, on average: bounds the lists that are intersected at once.
+BLOCK_DOCS = 4096
+_MATCH = "struct<kind:int,place:int,gap:int,size:int,ok:boolean>"
 
 
 def _least(rule: Rule) -> str:
@@ -33,18 +37,50 @@ def _least(rule: Rule) -> str:
     return rule.pattern
 
 
-def postings(rows: DataFrame, grams: list[str]) -> DataFrame:
-    """(key, h, gram) for every indexed trigram of every text, and one row with an empty gram."""
-    low = rows.select("key", "h", F.lower("text").alias("low"))
-    found = [F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]
-    return low.select("key", "h", F.explode(F.array_compact(F.array(F.lit(_ROW), *found))).alias("gram"))
+def numbered(rows: DataFrame, blocks: int) -> DataFrame:
+    """``rows`` with their block and their number in it."""
+    return rows.withColumns(
+        {"block": F.pmod(F.xxhash64("key", "h"), F.lit(blocks)).cast("int"), "doc": F.hash("h", "key")}
+    )
+
+
+def posting_lists(rows: DataFrame, grams: list[str]) -> DataFrame:
+    """(block, gram, docs): the sorted numbers of the block's documents that hold the trigram."""
+    low = rows.select("block", "doc", F.lower("text").alias("low"))
+    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))
+    hits = low.select("block", "doc", F.explode(held).alias("gram"))
+    return hits.groupBy("block", "gram").agg(F.array_sort(F.collect_set("doc")).alias("docs"))
+
+
+def _answer(query: Column) -> Column:
+    """The documents of a block that a query's posting lists leave; ``lists`` maps trigrams to them."""
+    nothing = F.array().cast("array<int>")
 
+    def docs(gram: Column) -> Column:
+        return F.coalesce(F.col("lists")[gram], nothing)
 
-def _holds(query) -> Column:
-    has = lambda g: F.bool_or(F.col("gram") == g)
-    all_of = lambda xs: reduce(lambda a, b: a & b, xs)
-    any_of = lambda xs: reduce(lambda a, b: a | b, xs)
-    return all_of([any_of([all_of([has(g) for g in alt]) for alt in clause]) for clause in query])
+    def both(alternative: Column) -> Column:
+        rest = F.slice(alternative, 2, F.size(alternative))
+        return F.aggregate(rest, docs(alternative[0]), lambda a, g: F.array_intersect(a, docs(g)))
+
+    def either(clause: Column) -> Column:
+        return F.aggregate(clause, nothing, lambda a, alternative: F.array_union(a, both(alternative)))
+
+    rest = F.slice(query, 2, F.size(query))
+    return F.aggregate(rest, either(query[0]), lambda a, clause: F.array_intersect(a, either(clause)))
+
+
+def candidates(lists: DataFrame, wanted: dict[str, Query]) -> DataFrame:
+    """(block, doc, kinds): documents that may match, and the rules they may match."""
+    index = lists.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("gram", "docs"))).alias("lists"))
+    array = lambda xs: F.array(*xs)
+    asked = array(
+        F.struct(F.lit(kind).alias("kind"), array(array(array(map(F.lit, a)) for a in c) for c in q).alias("query"))
+        for kind, q in wanted.items()
+    )
+    answers = F.transform(asked, lambda r: F.struct(r["kind"].alias("kind"), _answer(r["query"]).alias("docs")))
+    each = index.select("block", F.explode(answers).alias("a")).select("block", "a.kind", F.explode("a.docs").alias("doc"))
+    return each.groupBy("block", "doc").agg(F.collect_set("kind").alias("kinds"))
 
 
 def _matches(rule: Rule, order: int, wanted: Column) -> Column:
@@ -64,7 +100,7 @@ def _matches(rule: Rule, order: int, wanted: Column) -> Column:
             (F.length(m["1"]) >= rule.least).alias("ok"),
         ),
     )
-    nothing = F.array().cast("array<struct<kind:int,place:int,gap:int,size:int,ok:boolean>>")
+    nothing = F.array().cast(f"array<{_MATCH}>")
     seen = wanted & F.regexp_like("text", F.lit(_least(rule)))
     return F.when(seen, rows).otherwise(nothing)
 
@@ -72,22 +108,20 @@ def _matches(rule: Rule, order: int, wanted: Column) -> Column:
 def _found(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     """(key, h, copies, found) for every distinct pair of key and text in ``rows``."""
     wanted, grams = queries(rules)
-    hits = postings(rows, grams).groupBy("key", "h").agg(
-        F.count_if(F.col("gram") == _ROW).alias("copies"),
-        *[_holds(q).alias(f"is_{kind}") for kind, q in wanted.items()],
-    )
-    candidates = hits.withColumnsRenamed({"key": "key_", "h": "h_"})
-    same = rows["key"].eqNullSafe(candidates["key_"]) & (rows["h"] == candidates["h_"])
-    arrays = [
-        _matches(r, i, F.col(f"is_{r.kind}") if r.kind in wanted else F.lit(True))
-        for i, r in enumerate(rules)
-    ]
-    every = (
-        rows.join(candidates, same)
-        .select("key", "h", "copies", F.explode_outer(F.concat(*arrays)).alias("m"))
-        .select("key", "h", "copies", "m.*")
-        .dropDuplicates()
-    )
+    rows = numbered(rows, max(1, -(-rows.count() // BLOCK_DOCS)))
+    scanned, indexed = [], []
+    for i, r in enumerate(rules):
+        if r.kind in wanted:
+            indexed.append(_matches(r, i, F.array_contains("kinds", r.kind)))
+        else:
+            scanned.append(_matches(r, i, F.lit(True)))
+    row = F.expr("array(named_struct('kind', -1, 'place', 0, 'gap', 0, 'size', 0, 'ok', false))").cast(f"array<{_MATCH}>")
+    every = rows.select("key", "h", F.explode(F.concat(row, *scanned)).alias("m"))
+    if indexed:
+        some = rows.join(candidates(posting_lists(rows, grams), wanted), ["block", "doc"])
+        every = every.unionAll(some.select("key", "h", F.explode(F.concat(*indexed)).alias("m")))
+    # repeated rows have the same matches, so a match's count is that of the rows
+    every = every.select("key", "h", "m.*").groupBy("key", "h", "kind", "place", "gap", "size", "ok").agg(F.count("*").alias("copies"))
     upto = Window.partitionBy("key", "h", "kind").orderBy("place")
     ends = every.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(upto))
     kinds = F.array(*[F.lit(r.kind) for r in rules])

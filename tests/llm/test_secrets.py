@@ -2,10 +2,13 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from stratasift.llm import secret_scan
 from stratasift.llm.queries import QUERIES
+from stratasift.llm.common import text_input
 from stratasift.llm.secret_rules import BASE_KINDS, RULES, queries, trigram_query
-from stratasift.llm.secret_scan import redact_secrets, secret_report
+from stratasift.llm.secret_scan import candidates, numbered, posting_lists, redact_secrets, secret_report
 
 PLANTED = [
     'x password: "abcdefgh" Token=secret=abcdefghij apikey = short api_key=/abcd.efgh',
@@ -56,6 +59,34 @@ def test_a_match_has_the_trigrams_its_query_asks_for(rule):
             assert all(any(all(g in low for g in alt) for alt in clause) for clause in query)
 
 
+@pytest.mark.parametrize("blocks", [1, 7])
+def test_posting_lists_and_candidates(spark, documents, blocks):
+    planted = spark.createDataFrame([(-i - 1, t) for i, t in enumerate(PLANTED)], "doc_id long, text string")
+    docs = documents.select("doc_id", "text").unionAll(planted)
+    rows = numbered(text_input(docs).withColumn("h", F.xxhash64("text")), blocks)
+    wanted, grams = queries(RULES)
+    lists = posting_lists(rows, grams)
+    texts = {(r["block"], r["doc"]): r["text"].lower() for r in rows.collect()}
+    want = {}
+    for (block, doc), text in texts.items():
+        for g in grams:
+            if g in text:
+                want.setdefault((block, g), []).append(doc)
+    assert {(r["block"], r["gram"]): r["docs"] for r in lists.collect()} == {k: sorted(v) for k, v in want.items()}
+    holds = lambda q, t: all(any(all(g in t for g in alt) for alt in clause) for clause in q)
+    kinds = {at: {k for k, q in wanted.items() if holds(q, t)} for at, t in texts.items()}
+    got = {(r["block"], r["doc"]): set(r["kinds"]) for r in candidates(lists, wanted).collect()}
+    assert got == {at: k for at, k in kinds.items() if k} and 0 < len(got) < len(texts)
+
+
+def test_spans_do_not_depend_on_blocks(spark, monkeypatch):
+    rows = [(i % 50 or None, PLANTED[i % len(PLANTED)] + " x" * (i % 3)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, secret_report(docs).collect()), key=str)
+    monkeypatch.setattr(secret_scan, "BLOCK_DOCS", 10)
+    assert sorted(map(tuple, secret_report(docs).collect()), key=str) == whole and len(whole) == 120
+
+
 def test_plan_is_native(spark, documents):
     plan = secret_report(documents)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and len(queries(RULES)[1]) > 20
