@@ -1,12 +1,17 @@
 """Severity grades of toxic texts by cumulative-link ordinal regression.
 
 Every word is a feature, and so is what it begins with (4, 5 and 6 bytes, for inflected
-words); a feature's value is log(1 + occurrences). One weight per feature serves all grades: P(grade > k) = sigmoid(w . x - t_k) with ordered thresholds t_0 < t_1 < ... The
-expected severity is the sum of those probabilities.
-
-``labels`` only says toxic or not. Toxic rows are graded 1 to GRADES - 1 by the sum of
-log(1 + occurrences) of telling features (far more frequent in toxic than in other labelled
-rows), cut at equal shares of the toxic rows; rows that are not toxic have grade 0.
+words); a feature's value is log(1 + occurrences). One weight per feature serves all grades:
+P(grade > k) = sigmoid(w . x - t_k) with ordered thresholds t_0 < t_1 < ... The expected
+severity is the sum of those probabilities.
+
+``labels`` only says toxic or not. Rows that are not toxic have grade 0. Toxic rows are
+ordered by their evidence, the sum over features that are APART times as frequent in toxic as
+in other labelled rows of log(1 + occurrences) times the squared correlation of feature and
+class, and cut by rank into GRADES - 1 equal shares (rows of equal evidence share a grade).
+The correlation measures an effect, not how sure it is, and ranks need no fixed bound, so the
+grades mean the same whatever the number of labelled rows. All occur unless a fifth or more of
+the toxic rows tie, or there are fewer different amounts than grades.
 
 All features that FEW distinct texts hold are weighed. A ridge penalty shrinks the weak ones:
 values are scaled by how far the feature's frequencies in the two classes lie apart (the
@@ -29,9 +34,8 @@ PER_CLASS = 3_000
 GRADES = 4
 #: Distinct labelled texts that must hold a feature; the model weighs all such features.
 FEW = 3
-#: What makes a feature telling for the grades: its score (in standard deviations of the
-#: difference between the classes), and how many times more frequent it is in toxic rows.
-TELLING, APART = 8.0, 4.0
+#: How many times more frequent in toxic rows a feature must be to count for the grades.
+APART = 4.0
 #: The ridge penalty is that of so many rows.
 ROUNDS, RATE, RIDGE = 500, 0.1, 1.0
 PREFIXES = (4, 5, 6)
@@ -92,21 +96,29 @@ def grade_rows(rows: np.ndarray, words: np.ndarray, times: np.ndarray, sizes: np
     d1 = np.bincount(code, weights=toxic[rows], minlength=len(vocabulary))
     d0 = np.bincount(code, minlength=len(vocabulary)) - d1
     share = (d1 + d0 + 1) / (n1 + n0 + 2)
-    z = (d1 / n1 - d0 / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
+    apart = (d1 / n1 - d0 / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
+    effect = apart / np.sqrt(max(len(sizes), 1))  # the correlation of feature and class
     # what few rows hold may come from copies of one text; what both classes hold is language
     first = _first_copies(rows, words, times, len(sizes))
     held = np.bincount(code, weights=first[rows], minlength=len(vocabulary)) >= FEW
-    strength = np.abs(z[held]) / np.sqrt(len(sizes))
-    z[(d1 / n1 < APART * d0 / n0) | ~held] = 0
-    telling = z[code] >= TELLING
-    amount = np.bincount(rows[telling], weights=np.log1p(times[telling]), minlength=len(sizes))
+    strength = np.abs(effect[held])
+    telling = np.where(held & (d1 / n1 >= APART * d0 / n0), effect, 0.0).clip(0) ** 2
+    amount = np.bincount(rows, weights=telling[code] * np.log1p(times), minlength=len(sizes))
     grades = np.zeros(len(sizes), dtype=np.int64)
-    if toxic.any():
-        cuts = np.quantile(amount[toxic], [i / (GRADES - 1) for i in range(1, GRADES - 1)])
-        grades[toxic] = 1 + np.searchsorted(cuts, amount[toxic], "left")
+    grades[toxic] = 1 + _by_rank(amount[toxic])
     return grades, vocabulary[held], strength
 
 
+def _by_rank(amount: np.ndarray) -> np.ndarray:
+    """0 to GRADES - 2 by rank, in shares as equal as ties allow."""
+    different, code, count = np.unique(amount.round(9), return_inverse=True, return_counts=True)
+    middle = np.cumsum(count) - count / 2  # mean rank of each amount
+    place = np.minimum(middle * (GRADES - 1) // max(len(amount), 1), GRADES - 2).astype(np.int64)
+    if 0 < len(different) < GRADES:
+        place = np.arange(len(different))
+    return place[code]
+
+
 def _first_copies(rows: np.ndarray, words: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
     """Which rows are the first of those with the same features; ``rows`` ascend."""
     prints = np.zeros(n, dtype=np.uint64)

@@ -1,3 +1,6 @@
+import math
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -72,6 +75,53 @@ def test_severity_query(spark):
     assert np.mean([r["severity"] for r in got if r["label"]]) > 3 * np.mean([r["severity"] for r in got if not r["label"]])
 
 
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.001", LARGER])
+def test_every_grade_occurs(spark, sf_dir):
+    """In equal shares of the toxic rows, from few labelled rows as from many."""
+    texts = {r["doc_id"]: r["text"] for r in read_table(spark, sf_dir, "documents").collect()}
+    labels = [r for r in read_table(spark, sf_dir, "labels").collect() if r["doc_id"] in texts]
+    toxic = np.array([r["toxic"] == 1 for r in labels])
+    counted = sv.word_counts(pa.array([texts[r["doc_id"]] or "" for r in labels]))
+    grades = sv.grade_rows(*counted, toxic)[0]
+    assert (grades[~toxic] == 0).all()
+    shares = np.bincount(grades[toxic], minlength=sv.GRADES)[1:] / toxic.sum()
+    assert len(shares) == sv.GRADES - 1 and (shares > 0.2).all() and (shares < 0.5).all()
+    model = sv.fit(*counted, toxic)
+    own = model.above(pa.array([texts[r["doc_id"]] or "" for r in labels])).sum(1)
+    means = [own[grades == g].mean() for g in range(sv.GRADES)]
+    assert means == sorted(means) and means[-1] > means[1] + 0.3
+
+
+@pytest.mark.parametrize("amounts,want", [
+    ([], []), ([5.0], [0]), ([1.0, 1.0], [0, 0]), ([1.0, 2.0, 2.0], [0, 1, 1]), ([3.0, 1.0, 2.0], [2, 0, 1]),
+    ([0.0] * 8 + [1.0, 2.0, 3.0, 4.0], [1] * 8 + [2] * 4), (list(range(9)), [0] * 3 + [1] * 3 + [2] * 3),
+])
+def test_grades_go_by_rank(amounts, want):
+    assert sv._by_rank(np.array(amounts, dtype=float)).tolist() == want
+
+
+def naive_probabilities(model, text):
+    """P(grade > k) of one text, feature by feature."""
+    lowered = "".join(c.lower() if c.isascii() else c for c in text)
+    found = {}
+    for word in re.findall(r"(?:[^\x00-\x7F]|[a-z0-9])+", lowered):
+        kinds = [list(hashes) for _, hashes in sv.word_features(pa.array([word]))]
+        assert [len(k) for k in kinds] == [1] + [int(len(word.encode()) > k) for k in sv.PREFIXES]
+        asked = [int(x) for k in kinds for x in k]
+        for f in asked:
+            found[f] = found.get(f, 0) + 1
+    weights = dict(zip(model.words.tolist(), model.weights.tolist()))
+    signal = sum(weights.get(f, 0.0) * math.log(1 + n) for f, n in found.items())
+    return [1 / (1 + math.exp(-(signal - t))) for t in model.thresholds]
+
+
+def test_severity_equals_sums_feature_by_feature():
+    rows = list(toxic_rows(300, np.random.default_rng(5)))
+    model = sv.fit(*sv.word_counts(pa.array([t for _, t, _ in rows])), np.array([b > 0 for *_, b in rows]))
+    texts = [t.upper() + " É foobad, barbad-grubly" for _, t, _ in rows[:20]] + ["", "x"]
+    assert np.allclose(model.above(pa.array(texts)), [naive_probabilities(model, t) for t in texts])
+
+
 def test_label_sample_is_bounded(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(None, 1), (5, 0), (6, None)], "doc_id long, toxic int")
     rows = label_sample(labels, "toxic", 10).collect()
