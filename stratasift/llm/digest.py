@@ -231,55 +231,63 @@ def digest(docs: DataFrame, ranks: np.ndarray, key: str = "doc_id", text: str =
 
 
 def in_ranges(docs: DataFrame, key: str, rows_per_range: int) -> tuple[DataFrame, int]:
-    """Rows with ``range``: ranges of the key in ascending order, and how many there are.
+    """Rows with ``tie`` and ``range``: ranges of (key, tie) ascending, and how many there are.
 
-    The borders are percentiles of the key, at most 10,000 (larger inputs have larger
-    ranges), and are compared by a binary search in the JVM. Rows with an equal key fall into one range.
+    ``tie`` is a hash of the text from 0 to below 1; null keys come first. The borders are
+    percentiles, at most 10,000 (larger inputs have larger ranges, which are sorted on disk
+    and read as a stream), of a number that grows with key and tie: integers plus the tie.
+    A key of very many different texts so fills several ranges, as long as it is below 2^50.
     """
     from pyspark.ml.feature import Bucketizer
 
+    whole = docs.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    tie = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
+    known = F.col(key).cast("double") + (F.col("tie") if whole else F.lit(0.0))
+    placed = docs.withColumn("tie", tie).withColumn("at", F.coalesce(known, -1e300 * (2 - F.col("tie"))))
     n = docs.count()
     many = max(1, min(10_000, -(-n // rows_per_range)))
     shares = [i / many for i in range(1, many)]
-    borders = docs.agg(F.percentile_approx(F.col(key).cast("double"), shares, 100_000)).first()[0] if shares else []
+    borders = placed.agg(F.percentile_approx("at", shares, 100_000)).first()[0] if shares else []
     borders = sorted(set(borders or []))
     if not borders:
-        return docs.withColumn("range", F.lit(0)), 1
-    cut = Bucketizer(splits=[-float("inf"), *borders, float("inf")], inputCol="_at", outputCol="_range")
-    at = F.coalesce(F.col(key).cast("double"), F.lit(-float("inf")))
-    ranged = cut.transform(docs.withColumn("_at", at)).withColumn("range", F.col("_range").cast("int"))
-    return ranged.drop("_at", "_range"), len(borders) + 1
+        return placed.withColumn("range", F.lit(0)).drop("at"), 1
+    cut = Bucketizer(splits=[-float("inf"), *borders, float("inf")], inputCol="at", outputCol="_range")
+    ranged = cut.transform(placed).withColumn("range", F.col("_range").cast("int"))
+    return ranged.drop("at", "_range"), len(borders) + 1
 
 
 def digest_report(docs: DataFrame, key: str = "doc_id", text: str = "text", rows_per_range: int = 2000) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likenesses.
 
     The edited text has its last floor(n/2) code points replaced by the first as many (or
-    all) of the next document's, in ascending order of key (nulls first, equal keys by
-    text); after the last comes the first. A single document is its own successor.
+    all) of the next document's, in ascending order of key (nulls first, equal keys by a hash
+    of the text, then by text); after the last comes the first. A single document is its own
+    successor. The key is a number, or text of one.
 
-    Rows are dealt by ranges of the key and sorted in their range. The first row of each
+    Rows are dealt by ranges of key and hash and sorted in their range. The first row of each
     range is also sent to the range before it, so that no row needs another task.
     """
     rows = text_input(docs, key, text)
     ranks = rank_table(level_counts(rows))
     ranged, many = in_ranges(rows, "key", rows_per_range)
-    low = ranged.groupBy("range").agg(F.min(F.struct(F.col("key").isNotNull().alias("known"), "key")).alias("low"))
-    lows = sorted((r["range"], r["low"]["key"]) for r in low.collect())  # one row per range
+    least = F.min(F.struct(F.col("key").isNotNull().alias("known"), "key", "tie")).alias("low")
+    lows = sorted((r["range"], r["low"]["key"], r["low"]["tie"]) for r in ranged.groupBy("range").agg(least).collect())
     spark = docs.sparkSession
     # the range before each, in a circle; borders of ranges without rows are skipped
-    to = {r: lows[i - 1][0] for i, (r, _) in enumerate(lows)}
+    to = {row[0]: lows[i - 1][0] for i, row in enumerate(lows)}
     kind = rows.schema["key"].dataType.simpleString()
-    firsts = spark.createDataFrame([(r, k, to[r]) for r, k in lows], f"range int, low {kind}, to int")
+    firsts = spark.createDataFrame([(*row, to[row[0]]) for row in lows], f"range int, low {kind}, low_tie double, to int")
     heads = (
         ranged.join(F.broadcast(firsts), "range")
-        .where(F.col("key").eqNullSafe(F.col("low")))
-        .groupBy("range", "to", "key")
+        .where(F.col("key").eqNullSafe(F.col("low")) & (F.col("tie") == F.col("low_tie")))
+        .groupBy("range", "to", "key", "tie")
         .agg(F.min("text").alias("text"))
     )
-    sent = heads.select("key", "text", F.col("to").alias("range"), F.lit(True).alias("guest"))
-    both = ranged.select("key", "text", "range", F.lit(False).alias("guest")).unionByName(sent)
-    dealt = both.repartitionById(many, F.col("range")).sortWithinPartitions("range", "guest", "key", "text")
+    columns = ["key", "tie", "text"]
+    sent = heads.select(*columns, F.col("to").alias("range"), F.lit(True).alias("guest"))
+    both = ranged.select(*columns, "range", F.lit(False).alias("guest")).unionByName(sent)
+    dealt = both.repartitionById(many, F.col("range")).sortWithinPartitions("range", "guest", *columns)
+    dealt = dealt.drop("tie")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
