@@ -34,8 +34,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow``, also for columns with dots in their names, which it cannot resolve."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    names = df.columns
+    if not any("." in c for c in names):
+        return df.mapInArrow(run, schema)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches)
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(named, schema)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

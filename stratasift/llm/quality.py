@@ -22,7 +22,7 @@ PER_CLASS = 10_000
 #: Text that is made into features at once; the arrays on the way are many times as large.
 FEATURE_BYTES = 1 << 20
 BINS, PAIR_BINS, PAIRS = 64, 12, 6
-ROUNDS, PAIR_ROUNDS, RATE, LEAVES, LEAST_ROWS = 250, 80, 0.1, 4, 20
+ROUNDS, PAIR_ROUNDS, RATE, LEAVES = 250, 80, 0.1, 4
 
 # Kinds of bytes whose shares are features.
 _SYMBOLS = set(b"#$%&*|<>{}[]^~_=+\\@/")
@@ -110,7 +110,7 @@ def features(array: pa.Array) -> np.ndarray:
 def _tree(gradient: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """A tree of LEAVES leaves over ordered bins: the step of each bin."""
     g, w = np.concatenate([[0], np.cumsum(gradient)]), np.concatenate([[0], np.cumsum(weight)])
-    rows = w  # weights are p (1 - p); LEAST_ROWS / 4 of them is the least a leaf may hold
+    # weights are p (1 - p); a leaf holds at least 0.01 of them, so one unsure row may be a leaf
     leaves = [(0, len(gradient))]
 
     def value(a, b):
@@ -123,7 +123,7 @@ def _tree(gradient: np.ndarray, weight: np.ndarray) -> np.ndarray:
             if not len(cut):
                 continue
             gain = value(a, cut) + value(cut, b) - value(a, b)
-            gain[(rows[cut] - rows[a] < 0.01) | (rows[b] - rows[cut] < 0.01)] = 0
+            gain[(w[cut] - w[a] < 0.01) | (w[b] - w[cut] < 0.01)] = 0
             j = int(np.argmax(gain))
             if gain[j] > best[0]:
                 best = (gain[j], i, cut[j])
