@@ -2,7 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; its
 result is written as Parquet to the shared folder and read again. All stages but the last
-return the columns of ``docs`` as they were.
+return the columns of ``docs`` as they were, whatever the names of the others.
+
+A null text counts as empty, and stays null until it is encoded. Rows without doc_id take part
+like others. Of rows with equal or similar texts one stays, repeated rows among them. An empty
+table gives an empty result; without labels of both classes all rows get about the same score.
 """
 
 from __future__ import annotations
