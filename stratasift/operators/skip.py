@@ -15,6 +15,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PRUNE_ROWS = 100_000
 FLUSH_ROWS = 400_000
+HOLD_BYTES = 32 << 20
 
 
 class Reservoirs:
@@ -22,41 +23,49 @@ class Reservoirs:
 
     A full stratum has a bar, its ``size``-th smallest priority so far; rows above
     the bar are skipped on one comparison. Rows at the bar stay, since equal
-    priorities are ranked later by row id. When the rows held pass ``flush``, they
-    are handed on and only the bars are kept: the bars stay valid, so memory is
-    bounded and the rows handed on still hold every row of the sample.
+    priorities are ranked later by row id. When the rows held pass ``hold`` bytes, they
+    are handed on and only their stratum, size and priority are kept, which raise the
+    bars as before. When the rows so kept or held pass ``flush``, all are handed on and
+    only the bars are kept: the bars stay valid, so memory is bounded, however wide the
+    rows are, and the rows handed on still hold every row of the sample.
     """
 
-    def __init__(self, columns: tuple[str, str, str], prune: int, flush: int):
-        self.stratum, self.size, self.priority = columns
-        self.prune_rows, self.flush_rows = prune, flush
+    def __init__(
+        self, columns: tuple[str, str, str], prune: int, flush: int, hold: int = HOLD_BYTES
+    ):
+        self.columns = columns
+        self.prune_rows, self.flush_rows, self.hold_bytes = prune, flush, hold
         self.bars: dict[int, int] = {}
         self.held: list[pa.Table] = []
-        self.rows = 0
+        self.bytes = 0
+        self.sent = np.empty((3, 0), dtype=np.int64)  # of rows handed on
+        self.rows = 0  # held, and those in sent
 
-    def _numbers(self, table: pa.Table | pa.RecordBatch, column: str) -> np.ndarray:
-        return table.column(column).to_numpy(zero_copy_only=False) if isinstance(
-            table, pa.RecordBatch
-        ) else table.column(column).to_numpy()
+    def _numbers(self, table: pa.Table) -> np.ndarray:
+        """Stratum, size and priority: a copy, which keeps no other column in memory."""
+        return np.stack([table.column(c).to_numpy() for c in self.columns])
+
+    def _all_numbers(self) -> np.ndarray:
+        return np.concatenate([self.sent, *map(self._numbers, self.held)], axis=1)
 
     def add(self, batch: pa.RecordBatch) -> None:
-        strata, at = np.unique(self._numbers(batch, self.stratum), return_inverse=True)
+        table = pa.Table.from_batches([batch])
+        stratum, _, priority = self._numbers(table)
+        strata, at = np.unique(stratum, return_inverse=True)
         top = np.iinfo(np.int64).max
         bars = np.array([self.bars.get(s, top) for s in strata.tolist()], dtype=np.int64)
-        enters = self._numbers(batch, self.priority) <= bars[at]
+        enters = priority <= bars[at]
         if enters.any():
-            kept = pa.Table.from_batches([batch]).filter(pa.array(enters))
+            kept = table if enters.all() else table.filter(pa.array(enters))
             self.held.append(kept)
             self.rows += kept.num_rows
+            self.bytes += kept.nbytes
 
-    def prune(self) -> pa.Table | None:
-        """Raise the bars, drop what they exclude; the rows to hand on, if many."""
-        if not self.held:
-            return None
-        table = pa.concat_tables(self.held)
-        stratum = self._numbers(table, self.stratum)
-        size = self._numbers(table, self.size)
-        priority = self._numbers(table, self.priority)
+    def prune(self) -> None:
+        """Raise the bars and drop what they exclude."""
+        if not self.rows:
+            return
+        stratum, size, priority = self._all_numbers()
         order = np.lexsort((priority, stratum))
         starts = np.flatnonzero(np.r_[True, np.diff(stratum[order]) != 0])
         lengths = np.diff(np.r_[starts, len(order)])
@@ -72,29 +81,39 @@ class Reservoirs:
         bars = np.repeat(np.array([self.bars.get(k, top) for k in keys], dtype=np.int64), lengths)
         keep = np.zeros(len(order), dtype=bool)
         keep[order] = priority[order] <= bars
-        table = table.filter(pa.array(keep))
-        if table.num_rows > self.flush_rows:
-            self.held, self.rows = [], 0
-            return table
-        self.held, self.rows = [table], table.num_rows
-        return None
+        at = self.sent.shape[1]
+        self.sent = self.sent[:, keep[:at]]
+        for i, table in enumerate(self.held):
+            stays = keep[at : at + table.num_rows]
+            at += table.num_rows
+            if not stays.all():
+                self.held[i] = table.filter(pa.array(stays))
+        self.held = [table for table in self.held if table.num_rows]
+        self.bytes = sum(table.nbytes for table in self.held)
+        self.rows = int(keep.sum())
+
+    def hand_on(self) -> Iterator[pa.RecordBatch]:
+        """The rows held; one table after the other leaves memory."""
+        self.sent = self._all_numbers()
+        self.bytes = 0
+        while self.held:
+            yield from self.held.pop(0).to_batches()
 
     def run(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        next_prune = self.prune_rows
+        pruned = 0  # rows that the last pruning left
         for batch in batches:
             self.add(batch)
-            if self.rows >= next_prune:
-                out = self.prune()
-                if out is not None:
-                    yield from out.to_batches()
-                next_prune = max(self.prune_rows, 2 * self.rows)
-        self.prune_last()
-        for table in self.held:
-            yield from table.to_batches()
-
-    def prune_last(self) -> None:
-        self.flush_rows = np.iinfo(np.int64).max
+            full = self.bytes > self.hold_bytes
+            if self.rows >= max(0 if full else self.prune_rows, 2 * pruned):
+                self.prune()
+                pruned = self.rows
+            if self.bytes > self.hold_bytes or pruned > self.flush_rows:
+                yield from self.hand_on()
+            if pruned > self.flush_rows:
+                self.sent = self.sent[:, :0].copy()
+                self.rows = pruned = 0
         self.prune()
+        yield from self.hand_on()
 
 
 def prune_partitions(

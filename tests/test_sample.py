@@ -200,6 +200,59 @@ def test_reservoirs_keep_every_sampled_row(prune, flush):
         assert len(kept) < len(rows) / 5
 
 
+def wide_batches(count, rows, strata, size, width):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(count)
+    for at in range(count):
+        yield pa.RecordBatch.from_pydict(
+            {
+                "s": pa.array(rng.integers(strata, size=rows)),
+                "k": pa.array(np.full(rows, size)),
+                "p": pa.array(rng.integers(1 << 40, size=rows)),
+                "i": pa.array(np.arange(at * rows, (at + 1) * rows)),
+                "t": pa.array(["x" * width] * rows),
+            }
+        )
+
+
+@pytest.mark.parametrize("size", [10, 10**6])
+def test_reservoirs_of_wide_rows_take_bounded_memory(size):
+    """150 MB of rows, whether the sample takes few of them or all."""
+    import pyarrow as pa
+
+    before, most, ids = pa.total_allocated_bytes(), 0, []
+
+    def watched():
+        nonlocal most
+        for batch in wide_batches(75, 1000, 3, size, 2000):
+            most = max(most, pa.total_allocated_bytes() - before)
+            yield batch
+
+    for batch in Reservoirs(("s", "k", "p"), 100_000, 400_000).run(watched()):
+        ids += batch.column("i").to_pylist()
+    assert most < 60 << 20
+    assert len(ids) == len(set(ids))
+    assert len(ids) < 75_000 / 20 if size == 10 else len(ids) == 75_000
+
+
+@pytest.mark.parametrize("hold,flush", [(1, 10**9), (1, 50), (20_000, 10**9), (20_000, 300)])
+def test_reservoirs_hand_on_wide_rows(hold, flush):
+    """Rows handed on early go on raising the bars, and no sampled row is lost."""
+    strata, size = 4, 30
+    batches = [*wide_batches(100, 100, strata, size, 50)]
+    out = list(Reservoirs(("s", "k", "p"), 200, flush, hold).run(iter(batches)))
+    rows = [(r["s"], r["p"], r["i"]) for b in batches for r in b.to_pylist()]
+    kept = [(r["s"], r["p"], r["i"]) for b in out for r in b.to_pylist()]
+    assert len(kept) == len(set(kept)) and set(kept) <= set(rows)
+    for stratum in range(strata):
+        everything = sorted((p, i) for s, p, i in rows if s == stratum)
+        assert sorted((p, i) for s, p, i in kept if s == stratum)[:size] == everything[:size]
+    if flush == 10**9:
+        assert len(kept) < len(rows) / 5
+
+
 def test_prune_moves_nothing(spark):
     df = spark.range(1000).selectExpr("id % 3 as s", "5L as k", "id as p")
     plan = prune_partitions(df, "s", "k", "p")
