@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 from stratasift.session import checkpoint_dir
 
 SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch between executor and worker. Spark's own limit is 64 MB, and its
+#: buffers double as they grow: every task may take several times that beside the heap.
+BATCH_BYTES = 8 << 20
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
@@ -33,17 +38,36 @@ def ship(spark: SparkSession) -> None:
     sc._stratasift_shipped = True
 
 
+def release() -> None:
+    """Give freed memory back to the system.
+
+    A worker lives on after its task; what glibc and Arrow keep for it counts as used in all
+    later stages, beside their own.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``mapInArrow``, also for columns with dots in their names, which it cannot resolve."""
-    ship(df.sparkSession)
+    """``mapInArrow`` over batches of BATCH_BYTES, or of what the session sets; tasks leave no
+    freed memory behind. Also for columns with dots in their names, which it cannot resolve."""
+    spark = df.sparkSession
+    ship(spark)
+    spark.conf.set(BATCH_LIMIT, spark.conf.get(BATCH_LIMIT, f"{BATCH_BYTES}b"))
     names = df.columns
-    if not any("." in c for c in names):
-        return df.mapInArrow(run, schema)
+    dotted = any("." in c for c in names)
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return run(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if dotted:
+            batches = (pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches)
+        try:
+            yield from run(batches)
+        finally:
+            release()
 
-    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(named, schema)
+    return (df.toDF(*[f"c{i}" for i in range(len(names))]) if dotted else df).mapInArrow(task, schema)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,6 +33,9 @@ BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 SIMILAR = 0.8
 WIDTH = 5
+#: Bytes of text per step where each has a second text beside it or becomes a row per shingle,
+#: which is about ten times its size.
+PAIR_BYTES = 1 << 20
 
 
 def weighted_shingles(array: pa.Array, width: int = WIDTH):
@@ -167,7 +170,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     one = texts.select(F.col("node").alias("a"), "text")
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     rows = pairs.join(one, "a").join(two, "b").select("a", "b", "text", "text_b")
-    return stored(map_slices(rows, _verify, "a binary, b binary, similarity double"), "verified")
+    return stored(map_slices(rows, _verify, "a binary, b binary, similarity double", limit=PAIR_BYTES), "verified")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -276,7 +279,8 @@ def _unsettled(buckets: DataFrame, texts: DataFrame, roots: DataFrame, similar:
     mixed = placed.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2")
     nodes = placed.join(mixed.select("band"), "band", "left_semi").select("node", "root").distinct()
     kind = "node binary, root binary, size long, shingle long, weight long, marks array<long>"
-    rows = stored(map_slices(nodes.join(texts, "node").select("node", "root", "text"), _shingle_rows, kind), "shingles")
+    texts = nodes.join(texts, "node").select("node", "root", "text")
+    rows = stored(map_slices(texts, _shingle_rows, kind, limit=PAIR_BYTES), "shingles")
     # shingles of one component only cannot be shared by two: they come first
     often = rows.groupBy("shingle").agg(
         F.count("*").alias("often"), (F.min("root") != F.max("root")).alias("across")
