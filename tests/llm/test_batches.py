@@ -9,9 +9,14 @@ import corpus_pipeline as cp
 from stratasift.llm import common
 
 
-def sizes(batches):
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+def sizes(rows):
+    """(rows, bytes) of each batch that a task gets."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    return common.map_arrow(rows, run, "n long, size long").collect()
 
 
 @pytest.fixture
@@ -26,7 +31,7 @@ def limit(spark):
 def test_batches_are_bounded_in_bytes(spark, limit, name):
     spark.conf.unset(common.BATCH_LIMIT)
     rows = spark.range(8000, numPartitions=1).select(F.repeat(F.lit("x"), 3000).alias(name))
-    got = common.map_arrow(rows, sizes, "n long, size long").collect()
+    got = sizes(rows)
     assert sum(r["n"] for r in got) == 8000
     assert max(r["size"] for r in got) <= common.BATCH_BYTES + 100_000
 
@@ -34,7 +39,7 @@ def test_batches_are_bounded_in_bytes(spark, limit, name):
 def test_the_session_may_set_another_limit(spark, limit):
     limit("100k")
     rows = spark.range(200, numPartitions=1).select(F.repeat(F.lit("x"), 3000).alias("text"))
-    got = common.map_arrow(rows, sizes, "n long, size long").collect()
+    got = sizes(rows)
     assert sum(r["n"] for r in got) == 200 and max(r["size"] for r in got) <= 110_000
     assert spark.conf.get(common.BATCH_LIMIT) == "100k"
 
